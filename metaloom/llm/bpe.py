@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from metaloom.llm.bytesvec import HashIndex, Slice, list_array, ragged_ranges, slices, span_hash
 
 #: Distinct runs that a worker remembers; beyond it the memory starts afresh (no effect on results).
-MEMORY_RUNS = 1_500_000
+MEMORY_RUNS = 800_000
 _MAYBE_SPACE2 = np.zeros(256, dtype=bool)
 _MAYBE_SPACE2[0xC2] = True
 _MAYBE_SPACE3 = np.zeros(256, dtype=bool)
