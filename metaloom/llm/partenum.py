@@ -9,12 +9,16 @@ groups of n2 = 3 parts. With n1 > k/2 some group differs in at most one feature,
 so at least two of its three parts are the same in both sets: the content of each
 two parts of a group is a signature, and every qualifying pair shares one.
 
-Signatures that hold only frequent features would be shared by very many sets.
-They are left out where that is provably harmless: a pair agrees in at least
-n1 - k/2 groups, so a set with more than k/2 groups whose three signatures all
-hold a rare feature meets every partner in such a signature; a set with fewer
-sends all its signatures. n1 is larger than k/2 + 1 to make room for this. The
-join stays exact whatever the list of frequent features is.
+A signature of few, frequent features would be shared by very many sets. Each
+signature therefore has an information content, the sum of log2(documents /
+document frequency) of its features, which depends on the content alone. As a
+pair agrees in at least n1 - k/2 groups, a set takes its k/2 + 1 groups whose
+least informative signature is best, and sends every signature that is at least
+as informative as the worst of these. Of two sets, the one with the higher bar
+has such a signature in common with the other, whose bar is lower: the join
+stays exact whatever the frequencies are. They come from a hashed count over all
+documents (a fixed-size sketch that can only overestimate). n1 is larger than
+k/2 + 1 to leave a choice.
 
 Documents with equal feature sets are one set with a list of documents, so
 copies cost nothing in the join.
@@ -28,6 +32,7 @@ empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,11 +44,11 @@ from pyspark.sql import types as T
 from metaloom.llm.bytesvec import Slice, mix, ragged_ranges, slices, window_hash, words
 from metaloom.llm.durable import durable, shuffle_width
 
-N, THRESHOLD = 1, 0.8
-#: Share of documents from which on a feature counts as frequent (cost only).
-FREQUENT = 0.01
+N, THRESHOLD = 1, 0.85
+#: Counters of the document-frequency sketch, and the pieces that they travel in (cost only).
+SKETCH_BITS, PIECES = 19, 64
 #: Groups beyond the k/2 + 1 that the argument needs, as a share (cost only).
-SPARE = 0.25
+SPARE = 0.1
 _BITS = 48
 _FLUSH = 1_500_000
 
@@ -100,10 +105,16 @@ def _small(s: Slice) -> Iterator[Slice]:
         yield Slice(s.first + at, s.data[o[0] : o[-1]], o - o[0])
 
 
-def signatures(sets: Sets, bands: Bands, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def information(sketch: np.ndarray, total: int) -> np.ndarray:
+    """Information of a feature in 1/16 bit for each counter of the sketch."""
+    return np.rint(16 * np.log2(max(total, 1) / np.clip(sketch, 1, max(total, 1)))).astype(np.int64)
+
+
+def signatures(sets: Sets, bands: Bands, info: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All signatures of a slice's sets and the row of each."""
     sigs, rows = [], []
     filled = np.flatnonzero(sets.size > 0)
+    bits = info[(sets.mixed >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int64)
     for up in (0, 1):
         inst = bands.of(sets.size[filled]) + up
         n1, k = bands.n1[inst], bands.k[inst]
@@ -115,7 +126,8 @@ def signatures(sets: Sets, bands: Bands, rare: np.ndarray) -> tuple[np.ndarray,
         cell = base[which] + (((salted >> np.uint64(32)) * cells[which].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
         acc = np.zeros(int(cells.sum()), np.uint64)
         np.add.at(acc, cell, salted)
-        rares = np.bincount(cell[rare], minlength=len(acc))
+        worth = np.zeros(len(acc), np.int64)
+        np.add.at(worth, cell, bits)
         # bands without room for a difference: the whole set is the signature
         whole = np.flatnonzero(k == 0)
         sigs.append(mix(acc[base[whole]] + mix(inst[whole].astype(np.uint64) + np.uint64(31))))
@@ -124,53 +136,77 @@ def signatures(sets: Sets, bands: Bands, rare: np.ndarray) -> tuple[np.ndarray,
         if not len(some):
             continue
         at = ragged_ranges(base[some], cells[some])
-        a, r = acc[at].reshape(-1, 3), rares[at].reshape(-1, 3)
-        owner = np.repeat(some, n1[some])
-        group = (np.arange(len(owner)) - np.repeat(np.cumsum(n1[some]) - n1[some], n1[some])).astype(np.uint64)
+        a, w = acc[at].reshape(-1, 3), worth[at].reshape(-1, 3)
         pair = a.sum(axis=1, keepdims=True, dtype=np.uint64) - a
-        strong = (r.sum(axis=1, keepdims=True) - r) > 0
-        strong_groups = np.bincount(owner, weights=strong.all(axis=1), minlength=len(filled))
-        keep = strong | (strong_groups <= k // 2)[owner][:, None]
-        tag = mix((group << np.uint64(20)) + inst[owner].astype(np.uint64))[:, None] + np.arange(1, 4, dtype=np.uint64)
+        w = w.sum(axis=1, keepdims=True) - w
+        owner = np.repeat(np.arange(len(some)), n1[some])
+        first = np.cumsum(n1[some]) - n1[some]
+        group = (np.arange(len(owner)) - first[owner]).astype(np.uint64)
+        least = w.min(axis=1)
+        ranked = least[np.lexsort((-least, owner))]
+        bar = ranked[first + k[some] // 2]
+        keep = w >= bar[owner][:, None]
+        tag = mix((group << np.uint64(20)) + inst[some][owner].astype(np.uint64))[:, None] + np.arange(1, 4, dtype=np.uint64)
         sigs.append(mix(pair + mix(tag.ravel()).reshape(tag.shape))[keep])
-        rows.append(np.repeat(filled[owner][:, None], 3, axis=1)[keep])
+        rows.append(np.repeat(filled[some][owner][:, None], 3, axis=1)[keep])
     return np.concatenate(sigs), np.concatenate(rows)
 
 
-_MEMBER = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("set_id", T.LongType()), T.StructField("size", T.LongType())])
+_MEMBER = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("set_id", T.LongType()), T.StructField("size", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("counts", T.BinaryType())])
 _BLOB = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("hi", T.BinaryType()), T.StructField("lo", T.BinaryType()), T.StructField("at", T.BinaryType()), T.StructField("ids", T.BinaryType())])
 _PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 _SET = T.StructType([T.StructField("set_id", T.LongType()), T.StructField("features", T.BinaryType())])
 
 
 def _members(docs: DataFrame, n: int) -> DataFrame:
-    """kind 0: set of each document; kind 1: locally frequent feature with its count."""
+    """Set of each document, and each task's pieces of the frequency sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
             for whole in slices(batch.column(1)):
                 for s in _small(whole):
                     sets = Sets(s, n)
                     some = np.flatnonzero(sets.size > 0)
-                    f, c = np.unique(sets.feature, return_counts=True)
-                    often = c >= max(2, FREQUENT * len(some))
-                    f, c = f[often], c[often]
+                    sketch += np.bincount((sets.mixed >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(np.repeat(np.array([0, 1], np.int32), [len(some), len(f)])),
-                            pa.concat_arrays([batch.column(0).slice(s.first, s.rows).take(pa.array(some)), pa.nulls(len(f), pa.int64())]),
-                            pa.array(np.concatenate([sets.set_id[some], f.astype(np.int64)])),
-                            pa.array(np.concatenate([sets.size[some], c]).astype(np.int64)),
+                            batch.column(0).slice(s.first, s.rows).take(pa.array(some)),
+                            pa.array(sets.set_id[some]),
+                            pa.array(sets.size[some]),
+                            pa.nulls(len(some), pa.int32()),
+                            pa.nulls(len(some), pa.binary()),
                         ],
                         names=_MEMBER.names,
                     )
+        if sketch.any():
+            none = pa.nulls(PIECES, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(np.arange(PIECES, dtype=np.int32)), pa.array([zlib.compress(x.tobytes(), 1) for x in np.split(sketch, PIECES)], pa.binary())], names=_MEMBER.names)
 
     return docs.mapInArrow(run, _MEMBER)
 
 
-def _blobs(docs: DataFrame, n: int, bands: Bands, frequent: np.ndarray, buckets: int) -> DataFrame:
+def _sketch(seen: DataFrame) -> np.ndarray:
+    """The tasks' sketches added up, piece by piece on the executors."""
+    schema = T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("counts", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for piece, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x = np.frombuffer(zlib.decompress(raw), np.int64)
+                sums[piece] = sums[piece] + x if piece in sums else x
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], names=schema.names)
+
+    out = np.zeros((PIECES, (1 << SKETCH_BITS) // PIECES), np.int64)
+    for r in seen.filter("piece IS NOT NULL").select("piece", "counts").repartition("piece").mapInArrow(run, schema).collect():
+        out[r.piece] += np.frombuffer(zlib.decompress(r.counts), np.int64)
+    return out.ravel()
+
+
+def _blobs(docs: DataFrame, n: int, bands: Bands, info: np.ndarray, buckets: int) -> DataFrame:
     """Signatures packed by bucket: 48 bits each, with a number into the sets' ids."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    shared = docs.sparkSession.sparkContext.broadcast(info)
 
     def flush(sigs: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
         sig, sid = np.concatenate(sigs), np.concatenate(ids)
@@ -187,15 +223,13 @@ def _blobs(docs: DataFrame, n: int, bands: Bands, frequent: np.ndarray, buckets:
         return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], names=_BLOB.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = shared.value
+        info = shared.value
         sigs, ids, held = [], [], 0
         for batch in batches:
             for whole in slices(batch.column(1)):
                 for s in _small(whole):
                     sets = Sets(s, n)
-                    at = np.searchsorted(often, sets.feature)
-                    rare = often[np.minimum(at, len(often) - 1)] != sets.feature if len(often) else np.ones(len(sets.feature), bool)
-                    sig, row = signatures(sets, bands, rare)
+                    sig, row = signatures(sets, bands, info)
                     sigs.append(sig)
                     ids.append(sets.set_id[row])
                     held += len(sig)
@@ -346,14 +380,12 @@ class Join:
         width = shuffle_width(docs)
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
         seen = durable(_members(texts, n))
-        members = seen.filter("kind = 0").select("doc_id", "set_id", "size")
+        members = seen.filter("set_id IS NOT NULL").select("doc_id", "set_id", "size")
         #: set_id, its documents in order, their number
         self.sets = members.groupBy("set_id").agg(F.array_sort(F.collect_set("doc_id")).alias("doc_ids"), F.min("doc_id").alias("rep"))
         total, largest = members.agg(F.count("*"), F.coalesce(F.max("size"), F.lit(1))).first()
-        # every feature in at least FREQUENT of all documents is so in some slice; at half of it the list is bounded by twice the mean set size over FREQUENT
-        often = seen.filter("kind = 1").groupBy("set_id").agg(F.sum("size").alias("df")).filter(F.col("df") >= FREQUENT / 2 * max(total, 1)).select("set_id")
-        frequent = np.sort(np.array([r[0] for r in often.collect()], dtype=np.uint64))
-        self.candidates = durable(_candidates(_blobs(texts, n, Bands(threshold, largest), frequent, 2 * width), width).distinct())
+        info = information(_sketch(seen), total).astype(np.int16)  # of a fixed size, whatever the input
+        self.candidates = durable(_candidates(_blobs(texts, n, Bands(threshold, largest), info, 2 * width), width).distinct())
         needed = self.candidates.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
         reps = members.groupBy("set_id").agg(F.min("doc_id").alias("doc_id")).join(needed, "set_id", "left_semi").select("doc_id")
         chosen = texts.join(reps, "doc_id", "left_semi").select("text")

@@ -58,8 +58,11 @@ def train_dictionary(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS,
     """Dictionary bytes, empty where the sample is too small to train on."""
     import zstandard
 
-    rows = docs.filter(F.col("text").isNotNull()).select("text", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("g"))
-    texts = [r.text for r in rows.orderBy("h", "g").limit(sample_docs).select("text").collect()]
+    known = docs.filter("text IS NOT NULL AND doc_id IS NOT NULL").select("text", F.xxhash64("doc_id").alias("h"))
+    # the ids alone settle which documents these are, so no task sends texts that are not among them
+    lowest = known.select("h").distinct().orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
+    texts = [r.text for r in known.filter(F.col("h") <= F.lit(lowest)).select("text").collect()] if lowest is not None else []
+    texts.sort()
     enc = encoder(path, "tiktoken")
     kind = _width(len(enc.table))
     samples = []
