@@ -20,6 +20,11 @@ stays exact whatever the frequencies are. They come from a hashed count over all
 documents (a fixed-size sketch that can only overestimate). n1 is larger than
 k/2 + 1 to leave a choice.
 
+Sets that meet in a signature are candidates. A few of them are listed as pairs;
+a larger gathering is listed as edges to its least member, and all sets with an
+edge to one such hub are then compared with each other, which covers every pair
+of the gathering without listing it once a signature.
+
 Documents with equal feature sets are one set with a list of documents, so
 copies cost nothing in the join.
 
@@ -34,6 +39,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -44,12 +50,17 @@ from pyspark.sql import types as T
 from metaloom.llm.bytesvec import Slice, mix, ragged_ranges, slices, window_hash, words
 from metaloom.llm.durable import durable, shuffle_width
 
-N, THRESHOLD = 1, 0.85
+N, THRESHOLD = 1, 0.82
 #: Counters of the document-frequency sketch, and the pieces that they travel in (cost only).
 SKETCH_BITS, PIECES = 19, 64
 #: Groups beyond the k/2 + 1 that the argument needs, as a share (cost only).
-SPARE = 0.1
+SPARE = 0.2
+#: Parts of a group, and how many of them may differ.
+PARTS, DIFFER = 3, 1
+_LEFT_OUT = [list(c) for c in combinations(range(PARTS), DIFFER)]
 _BITS = 48
+#: Sets up to which a signature's pairs are listed one by one.
+GATHERING = 8
 _FLUSH = 1_500_000
 
 
@@ -63,8 +74,9 @@ class Bands:
         lows.append(int(np.floor(lows[-1] / threshold + 1e-9)) + 1)
         self.low = np.array(lows, dtype=np.int64)
         top = np.append(self.low[1:], np.floor(self.low[-1] / threshold + 1e-9) + 1) - 1
+        #: most differences of a pair, rounded down
         self.k = np.floor((1 - threshold) / (1 + threshold) * 2 * top + 1e-9).astype(np.int64)
-        need = self.k // 2 + 1
+        need = self.k // (DIFFER + 1) + 1
         self.n1 = np.where(self.k > 0, need + np.ceil(need * SPARE).astype(np.int64), 1)
 
     def of(self, size: np.ndarray) -> np.ndarray:
@@ -118,7 +130,7 @@ def signatures(sets: Sets, bands: Bands, info: np.ndarray) -> tuple[np.ndarray,
     for up in (0, 1):
         inst = bands.of(sets.size[filled]) + up
         n1, k = bands.n1[inst], bands.k[inst]
-        parts = np.where(k > 0, 3, 1)
+        parts = np.where(k > 0, PARTS, 1)
         cells = n1 * parts
         base = np.cumsum(cells) - cells
         which = np.repeat(np.arange(len(filled)), sets.size[filled])
@@ -136,25 +148,25 @@ def signatures(sets: Sets, bands: Bands, info: np.ndarray) -> tuple[np.ndarray,
         if not len(some):
             continue
         at = ragged_ranges(base[some], cells[some])
-        a, w = acc[at].reshape(-1, 3), worth[at].reshape(-1, 3)
-        pair = a.sum(axis=1, keepdims=True, dtype=np.uint64) - a
-        w = w.sum(axis=1, keepdims=True) - w
+        a, w = acc[at].reshape(-1, PARTS), worth[at].reshape(-1, PARTS)
+        pair = a.sum(axis=1, keepdims=True, dtype=np.uint64) - np.stack([a[:, c].sum(axis=1, dtype=np.uint64) for c in _LEFT_OUT], axis=1)
+        w = w.sum(axis=1, keepdims=True) - np.stack([w[:, c].sum(axis=1) for c in _LEFT_OUT], axis=1)
         owner = np.repeat(np.arange(len(some)), n1[some])
         first = np.cumsum(n1[some]) - n1[some]
         group = (np.arange(len(owner)) - first[owner]).astype(np.uint64)
         least = w.min(axis=1)
         ranked = least[np.lexsort((-least, owner))]
-        bar = ranked[first + k[some] // 2]
+        bar = ranked[first + k[some] // (DIFFER + 1)]
         keep = w >= bar[owner][:, None]
-        tag = mix((group << np.uint64(20)) + inst[some][owner].astype(np.uint64))[:, None] + np.arange(1, 4, dtype=np.uint64)
+        tag = mix((group << np.uint64(20)) + inst[some][owner].astype(np.uint64))[:, None] + np.arange(1, len(_LEFT_OUT) + 1, dtype=np.uint64)
         sigs.append(mix(pair + mix(tag.ravel()).reshape(tag.shape))[keep])
-        rows.append(np.repeat(filled[some][owner][:, None], 3, axis=1)[keep])
+        rows.append(np.repeat(filled[some][owner][:, None], len(_LEFT_OUT), axis=1)[keep])
     return np.concatenate(sigs), np.concatenate(rows)
 
 
 _MEMBER = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("set_id", T.LongType()), T.StructField("size", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("counts", T.BinaryType())])
 _BLOB = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("hi", T.BinaryType()), T.StructField("lo", T.BinaryType()), T.StructField("at", T.BinaryType()), T.StructField("ids", T.BinaryType())])
-_PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+_PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("hub", T.BooleanType())])
 _SET = T.StructType([T.StructField("set_id", T.LongType()), T.StructField("features", T.BinaryType())])
 
 
@@ -251,8 +263,9 @@ def _unpack(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield x, own[i]
 
 
-def _run_pairs(key: np.ndarray, ids: np.ndarray, chunk: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of different ids that share a key, some at a time."""
+def _run_pairs(key: np.ndarray, ids: np.ndarray, chunk: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Pairs of ids that share a key, some at a time: all of a small gathering,
+    those with the least id (True) of a larger one."""
     order = np.lexsort((ids, key))
     key, ids = key[order], ids[order]
     if len(key):
@@ -260,7 +273,12 @@ def _run_pairs(key: np.ndarray, ids: np.ndarray, chunk: int = 1 << 20) -> Iterat
         key, ids = key[fresh], ids[fresh]
     start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
     size = np.diff(np.append(start, len(key)))
-    start, size = start[size > 1], size[size > 1]
+    large = size > GATHERING
+    rest = size[large] - 1
+    hub = np.repeat(ids[start[large]], rest), ids[ragged_ranges(start[large] + 1, rest)]
+    for at in range(0, len(hub[0]), chunk):
+        yield hub[0][at : at + chunk], hub[1][at : at + chunk], True
+    start, size = start[~large & (size > 1)], size[~large & (size > 1)]
     # the i-th member of a run meets those after it
     first = ragged_ranges(start, size)
     after = np.repeat(start + size, size) - first - 1
@@ -269,7 +287,7 @@ def _run_pairs(key: np.ndarray, ids: np.ndarray, chunk: int = 1 << 20) -> Iterat
     while at < len(first):
         to = max(at + 1, int(np.searchsorted(todo, (todo[at - 1] if at else 0) + chunk, side="right")))
         n = after[at:to]
-        yield np.repeat(ids[first[at:to]], n), ids[ragged_ranges(first[at:to] + 1, n)]
+        yield np.repeat(ids[first[at:to]], n), ids[ragged_ranges(first[at:to] + 1, n)], False
         at = to
 
 
@@ -281,11 +299,11 @@ def _candidates(blobs: DataFrame, width: int) -> DataFrame:
         sig = np.concatenate([x for x, _ in got])
         ids = np.concatenate([y for _, y in got])
         del got
-        for a, b in _run_pairs(sig, ids):
+        for a, b, hub in _run_pairs(sig, ids):
             order = np.lexsort((b, a))
             a, b = a[order], b[order]
             fresh = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(a[fresh]), pa.array(b[fresh])], names=_PAIR.names)
+            yield pa.RecordBatch.from_arrays([pa.array(a[fresh]), pa.array(b[fresh]), pa.array(np.full(int(fresh.sum()), hub))], names=_PAIR.names)
 
     # the map side writes a bucket's blobs to one partition; 48 bits of each signature remain
     return blobs.repartition(width, "bucket").mapInArrow(run, _PAIR)
@@ -327,31 +345,66 @@ def overlaps(features: np.ndarray, bounds: np.ndarray, a: np.ndarray, b: np.ndar
     return out
 
 
-_SIMILAR = T.StructType([*_PAIR.fields, T.StructField("jaccard", T.DoubleType())])
+def gathered(features: np.ndarray, bounds: np.ndarray, members: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (i < j) among the members at or above the threshold, by blocks of products."""
+    size = np.diff(bounds)[members]
+    members, size = members[np.argsort(size, kind="stable")], np.sort(size)
+    flat = features[ragged_ranges(bounds[members], size)]
+    _, code, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = count[code] > 1
+    row = np.repeat(np.arange(len(members)), size)[shared]
+    _, code = np.unique(code[shared], return_inverse=True)
+    width = int(code.max(initial=-1)) + 1
+    step = int(np.clip(6_000_000 // max(width, 1), 16, 1024))
+    cut = np.searchsorted(row, np.arange(0, len(members) + step, step))
+
+    def block(i: int) -> np.ndarray:
+        m = np.zeros((min(step, len(members) - i * step), width), np.float32)
+        m[row[cut[i] : cut[i + 1]] - i * step, code[cut[i] : cut[i + 1]]] = 1
+        return m
+
+    blocks = -(-len(members) // step)
+    for i in range(blocks):
+        x, sx = block(i), size[i * step : (i + 1) * step]
+        for j in range(i, blocks):
+            sy = size[j * step : (j + 1) * step]
+            if sy[0] * threshold > sx[-1] + 1e-9:
+                break
+            common = np.rint(x @ (x if j == i else block(j)).T).astype(np.int64)
+            jaccard = common / np.maximum(sx[:, None] + sy[None, :] - common, 1)
+            p, q = np.nonzero(jaccard >= threshold - 1e-12)
+            if i == j:
+                p, q = p[p < q], q[p < q]
+            yield members[i * step + p], members[j * step + q], jaccard[p, q]
+
+
+_SIMILAR = T.StructType([*_PAIR.fields[:2], T.StructField("jaccard", T.DoubleType())])
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, threshold: float, width: int) -> DataFrame:
-    """Pairs at or above the threshold. Pairs meet at the least set that either
-    side of a neighbourhood touches, so a group's sets are sent once or twice."""
-    least = pairs.select(F.col("b").alias("s"), F.col("a").alias("o")).union(pairs.select("a", "b")).groupBy("s").agg(F.min("o").alias("m")).select("s", F.least("s", "m").alias("task"))
-    placed = durable(pairs.join(least, pairs.a == least.s).select("task", "a", "b"))
+    """Pairs at or above the threshold. Listed pairs meet at the least set that
+    their side's neighbourhood touches, so a group's sets are sent once or twice;
+    the sets of a hub meet there."""
+    listed = pairs.filter("NOT hub").select("a", "b")
+    least = listed.select(F.col("b").alias("s"), F.col("a").alias("o")).union(listed).groupBy("s").agg(F.min("o").alias("m")).select("s", F.least("s", "m").alias("task"))
+    placed = durable(listed.join(least, listed.a == least.s).select("task", "a", "b", F.lit(False).alias("hub")).union(pairs.filter("hub").select(F.col("a").alias("task"), "a", "b", "hub")))
     wanted = placed.select("task", F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    shipped = wanted.join(sets, "set_id").select("task", F.col("set_id").alias("a"), F.lit(None).cast("long").alias("b"), "features")
+    shipped = wanted.join(sets, "set_id").select("task", F.col("set_id").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(False).alias("hub"), "features")
     rows = shipped.unionByName(placed.withColumn("features", F.lit(None).cast("binary")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
-        left, right = [], []
+        got: list[list[np.ndarray]] = [[], [], []]
         for batch in batches:
             f = batch.column("features")
             a = batch.column("a").to_numpy(zero_copy_only=False)
             is_set = f.is_valid().to_numpy(zero_copy_only=False)
             for i in np.flatnonzero(is_set).tolist():
-                if a[i] not in known:
+                if int(a[i]) not in known:
                     known[int(a[i])] = np.frombuffer(f[i].as_py(), np.uint64)
             other = pa.array(~is_set)
-            left.append(batch.column("a").filter(other).to_numpy(zero_copy_only=False))
-            right.append(batch.column("b").filter(other).to_numpy(zero_copy_only=False))
+            for c, name in zip(got, ("a", "b", "hub")):
+                c.append(batch.column(name).filter(other).to_numpy(zero_copy_only=False))
         if not known:
             return
         ids = np.array(sorted(known), dtype=np.int64)
@@ -359,16 +412,25 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold: float, width: int) ->
         bounds = np.concatenate([[0], np.cumsum(size)])
         flat = np.concatenate([known[i] for i in ids.tolist()])
         known.clear()
-        x, y = np.concatenate(left), np.concatenate(right)
-        a, b = np.searchsorted(ids, x), np.searchsorted(ids, y)
+        x, y, hub = (np.concatenate(c) for c in got)
+        hub = hub.astype(bool)
+        a, b = np.searchsorted(ids, x[~hub]), np.searchsorted(ids, y[~hub])
         fits = np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - 1e-9
-        x, y, a, b = x[fits], y[fits], a[fits], b[fits]
+        a, b = a[fits], b[fits]
         common = overlaps(flat, bounds, a, b)
         jaccard = common / np.maximum(size[a] + size[b] - common, 1)
         ok = jaccard >= threshold - 1e-12
-        yield pa.RecordBatch.from_arrays([pa.array(x[ok]), pa.array(y[ok]), pa.array(jaccard[ok])], names=_SIMILAR.names)
-
-    return rows.repartition(width, "task").mapInArrow(run, _SIMILAR)
+        found = [(a[ok], b[ok], jaccard[ok])]
+        centre, member = np.searchsorted(ids, x[hub]), np.searchsorted(ids, y[hub])
+        order = np.argsort(centre, kind="stable")
+        centre, member = centre[order], member[order]
+        edges = np.flatnonzero(np.append(True, centre[1:] != centre[:-1])) if len(centre) else np.zeros(0, np.int64)
+        for e, f in zip(edges.tolist(), np.append(edges[1:], len(centre)).tolist()):
+            found += gathered(flat, bounds, np.append(centre[e], member[e:f]), threshold)
+        for a, b, jaccard in found:
+            yield pa.RecordBatch.from_arrays([pa.array(ids[np.minimum(a, b)]), pa.array(ids[np.maximum(a, b)]), pa.array(jaccard.astype(np.float64))], names=_SIMILAR.names)
+
+    return rows.repartition(width, "task").mapInArrow(run, _SIMILAR).dropDuplicates(["a", "b"])
 
 
 class Join:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from metaloom.llm import bpe, langid, partenum, tokencount, tokenout
+from metaloom.llm import bpe, langid, partenum, sadedup, tokencount, tokenout
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op5_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sadedup.repeated_spans(_table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_sections(_table(spark, sf_dir, "documents"))
 
@@ -38,10 +42,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_output": op2_token_output,
         "op3_bpe": op3_bpe,
         "op4_language_id": op4_language_id,
+        "op5_repeated_spans": op5_repeated_spans,
         "op7_token_counts": op7_token_counts,
         "op9_ngram_join": op9_ngram_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_repeated_spans": sadedup.ORACLE_SQL}
