@@ -4,10 +4,10 @@ A passage is repeated when a window of ``LENGTH`` words occurs twice or more,
 in one document or several. Which windows repeat is decided as follows.
 
 1. Winnowing picks anchors: the word k-grams that are the least by hash in some
-   window. Every window has at least one, picked from its own words alone, so
-   all copies of a window agree in an anchor at the same place.
-2. Around an anchor that occurs twice or more stands a context, the words of all
-   windows that could hold it. Equal contexts are one string with a count. Where
+   window. Every window has one, the leftmost on a tie, picked from its own words
+   alone, so all copies of a window agree in it.
+2. Around an anchor that occurs twice or more stands a context, the words of the
+   windows of which it is the least. Equal contexts are one string with a count. Where
    an anchor has one context only, that whole context repeats.
 3. Anchors with several contexts go, by anchor, to shards. Each shard's
    transform comes from its own suffixes; the shards are merged by iterative
@@ -57,22 +57,37 @@ def _slide(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     return out
 
 
-def anchors(h: np.ndarray, bounds: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the anchors among all words, and their hashes."""
+def anchors(h: np.ndarray, bounds: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the anchors among all words, their hashes, and the first and
+    last begin of the windows of which each is the (leftmost) least; these follow
+    each other."""
     n = len(h)
     last = np.repeat(bounds[1:], np.diff(bounds))
     at = np.arange(n)
     gram = np.full(n, np.iinfo(np.uint64).max, np.uint64)
     ok = at + k <= last
     if not ok.any():
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        none = np.zeros(0, np.int64)
+        return none, np.zeros(0, np.uint64), none, none
     gram[ok] = window_hash(h, at[ok], at[ok] + k)
     width = length - k + 1
     low = _slide(gram, width, np.minimum)
     low[at + length > last] = 0  # no whole window begins here
     high = _slide(low[::-1].copy(), width, np.maximum)[::-1]
     picked = np.flatnonzero((high == gram) & ok & (high > 0))
-    return picked, gram[picked]
+    value = gram[picked]
+    first, last_begin = np.full(len(picked), n), np.full(len(picked), -1)
+    for back in range(width):
+        begin = picked - back
+        mine = (begin >= 0) & (low[begin] == value)
+        first[mine] = np.minimum(first[mine], begin[mine])
+        last_begin[mine] = np.maximum(last_begin[mine], begin[mine])
+    # of equal grams in a window the leftmost is its anchor, so a window has one
+    tie = np.zeros(len(picked), bool)
+    tie[1:] = (value[1:] == value[:-1]) & (picked[1:] - picked[:-1] < width)
+    first[1:] = np.where(tie[1:], np.maximum(first[1:], picked[:-1] + 1), first[1:])
+    some = first <= last_begin
+    return picked[some], value[some], first[some], last_begin[some]
 
 
 _ROW = T.StructType([T.StructField(c, T.LongType()) for c in ("h", "ch", "doc_id")] + [T.StructField(c, T.IntegerType()) for c in ("pos", "before", "size")])
@@ -87,11 +102,11 @@ def _anchor_rows(docs: DataFrame, length: int, k: int) -> DataFrame:
         for batch in batches:
             for s in slices(batch.column(1)):
                 w = words(s)
-                at, gram = anchors(w.hash, w.bounds, length, k)
+                at, gram, low, high = anchors(w.hash, w.bounds, length, k)
                 row = w.row[at]
                 pos = at - w.bounds[row]
-                before = np.minimum(pos, length - k)
-                end = np.minimum(at + length, w.bounds[row + 1])
+                before = at - low
+                end = high + length
                 ch = _context_hash(w.hash, at - before, end, before)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(gram.view(np.int64)), pa.array(ch), batch.column(0).slice(s.first, s.rows).take(pa.array(row)), *(pa.array(x.astype(np.int32)) for x in (pos, before, end - at + before))],
