@@ -116,6 +116,13 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
         at = to
 
 
+def pieces(s: Slice, rows: int) -> Iterator[Slice]:
+    """A slice in pieces of at most so many rows."""
+    for at in range(0, s.rows, rows):
+        o = s.offsets[at : at + rows + 1]
+        yield Slice(s.first + at, s.data[o[0] : o[-1]], o - o[0])
+
+
 @dataclass
 class Words:
     start: np.ndarray

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from metaloom.llm.bytesvec import Slice, slices
+from metaloom.llm.bytesvec import Slice, pieces, slices
 
 #: Bound of the labelled sample, landmarks among it, and the ridge.
 SAMPLE_DOCS, LANDMARKS, RIDGE = 2000, 256, 1e-3
@@ -68,17 +68,11 @@ def presence(s: Slice) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _pieces(s: Slice, rows: int = 128) -> Iterator[Slice]:
-    for at in range(0, s.rows, rows):
-        o = s.offsets[at : at + rows + 1]
-        yield Slice(s.first + at, s.data[o[0] : o[-1]], o - o[0])
-
-
 def dense(column: pa.Array) -> list[np.ndarray]:
     """Normalised presence matrices of a few texts, one for each n."""
     parts: list[list[np.ndarray]] = [[] for _ in ORDERS]
     for whole in slices(column):
-        for s in _pieces(whole):
+        for s in pieces(whole, 128):
             for j, (n, (row, bucket)) in enumerate(zip(ORDERS, presence(s))):
                 m = np.zeros((s.rows, 1 << BUCKET_BITS[n]), np.float32)
                 m[row, bucket] = 1
@@ -122,7 +116,7 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: f
 def score(model: Model, s: Slice) -> np.ndarray:
     """Scores of a slice's texts, rows x languages."""
     out = np.zeros((s.rows, len(model.languages)))
-    for p in _pieces(s):
+    for p in pieces(s, 128):
         for w, (row, bucket) in zip(model.weights, presence(p)):
             count = np.bincount(row, minlength=p.rows)
             edge = np.concatenate([[0], np.cumsum(count)])
