@@ -1,23 +1,70 @@
-"""Corpus pipeline over ``documents``; every stage's result is written and read again."""
+"""Corpus pipeline over ``documents``.
+
+Each stage takes ``(spark, docs, sf_dir)``; its result is written as Parquet and
+read again as the next stage's ``docs``. All stages but the last return the
+columns of ``documents``.
+
+1. language ID: documents without a language that the classifier knows go;
+2. n-gram Jaccard join: of each group of similar documents one stays, that with
+   the least doc_id; rows without doc_id, or without words, are in no group and stay;
+3. suffix-array dedup: later occurrences of repeated passages are cut out;
+4. mixing: the rows in the order of the Pfair schedule, all of them;
+5. byte-level BPE: token ids and character spans of each document.
+
+The stages handle nulls, empty texts, repeated rows and extra columns as their
+operators say. An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from metaloom.llm import bpe
+from metaloom.llm import bpe, langid, partenum, pfair, sadedup
 
+#: The stages have no SQL equivalent.
 ORACLE_SQL = None
 
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.keep_identified(docs)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return docs.join(partenum.duplicates(docs).select(F.col("doc_id").alias("__gone")), F.col("doc_id") == F.col("__gone"), "left_anti")
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sadedup.remove_repeats(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pfair.mixed(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs)
 
 
-STAGES = [("byte-level BPE", encode)]
+STAGES = [
+    ("language ID", identified),
+    ("n-gram Jaccard join", one_of_each),
+    ("suffix-array dedup", without_repeats),
+    ("mixing to target weights", mixed),
+    ("byte-level BPE", encoded),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what is between them stands in the folder
+    that the cluster names in ``spark.checkpoint.dir``."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pipeline-")
+    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for number, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
+        docs = spark.read.parquet(f"{folder}/{number}")
     return docs
