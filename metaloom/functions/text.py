@@ -195,7 +195,7 @@ def section(prefix: Column) -> Column:
 def concept_parts(line: Column) -> Column:
     """``name :: type :: definition``, ``name :: definition`` or ``name (definition)``;
     a bracketed acronym of five capitals at most is part of the name."""
-    parts = F.transform(F.split(line, "::"), F.trim)
+    parts = F.transform(F.split(line, "::"), lambda s: F.trim(s))
     bracket = r"^(.*?)\s*\(([^()]+)\)\s*$"
     inner = F.regexp_extract(line, bracket, 2)
     has = (inner != "") & ~inner.rlike("^[A-Z]{1,5}$")
@@ -209,7 +209,7 @@ def triple_parts(line: Column) -> Column:
     """Subject, predicate, object by the first separator found; two parts are related_to."""
 
     def build(sep: str) -> Column:
-        p = F.transform(F.split(line, re.escape(sep)), F.trim)
+        p = F.transform(F.split(line, re.escape(sep)), lambda s: F.trim(s))
         full = F.struct(p[0].alias("subject"), p[1].alias("predicate"), F.array_join(F.slice(p, 3, 1000), sep).alias("object"))
         pair = F.struct(p[0].alias("subject"), F.lit("related_to").alias("predicate"), F.try_element_at(p, F.lit(2)).alias("object"))
         return F.when(F.size(p) >= 3, full).when(F.size(p) == 2, pair)
@@ -280,7 +280,7 @@ def truncated(c: Column, limit: int) -> Column:
 def enum_values(c: Column) -> Column:
     """Values of a text list, split at semicolons, else at commas; null without any."""
     parts = F.when(F.contains(c, F.lit(";")), F.split(c, ";")).otherwise(F.split(c, ","))
-    values = F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    values = F.filter(F.transform(parts, lambda s: F.trim(s)), lambda x: x != "")
     return F.when(F.size(values) > 0, values)
 
 

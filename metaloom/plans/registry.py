@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from metaloom.plans import fusion
+from metaloom.plans import fusion, scalars
 
-_PLANS = [fusion]
+_PLANS = [fusion, scalars]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
