@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from metaloom.plans import fusion, scalars
+from metaloom.plans import fusion, scalars, validation
 
-_PLANS = [fusion, scalars]
+_PLANS = [fusion, scalars, validation]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
