@@ -30,7 +30,8 @@ def identify(mentions: DataFrame) -> DataFrame:
     base = F.first(F.when(F.col("touches"), F.col("eid")), ignorenulls=True).over(whole)
     own = F.when(F.col("eid").isNull() | (F.col("eid") == F.col("base")), F.col("name_key")).otherwise(F.concat("name_key", F.lit("#id:"), "eid"))
     rows = rows.withColumn("base", base).withColumn("own", own)
-    return rows.withColumn("element_key", F.first("own").over(by_id.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).drop("id_group", "touches", "base", "own")
+    whole_id = by_id.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return rows.withColumn("element_key", F.when(F.col("eid").isNull(), F.col("own")).otherwise(F.first("own").over(whole_id))).drop("id_group", "touches", "base", "own")
 
 
 def fold(steps: Column, priority: list[str] | None = None) -> Column:

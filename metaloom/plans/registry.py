@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from metaloom.plans import fusion, scalars, validation
+from metaloom.plans import discovery, fusion, scalars, validation
 
-_PLANS = [fusion, scalars, validation]
+_PLANS = [fusion, scalars, validation, discovery]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
