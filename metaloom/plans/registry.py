@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from metaloom.plans import discovery, fusion, graphs, scalars, validation
+from metaloom.plans import discovery, extraction, fusion, graphs, scalars, validation
 
-_PLANS = [fusion, scalars, validation, discovery, graphs]
+_PLANS = [fusion, scalars, validation, discovery, graphs, extraction]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
