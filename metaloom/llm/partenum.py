@@ -20,7 +20,8 @@ stays exact whatever the frequencies are. They come from a hashed count over all
 documents (a fixed-size sketch that can only overestimate). n1 is larger than
 k/2 + 1 to leave a choice.
 
-Sets that meet in a signature are candidates. A few of them are listed as pairs;
+Sets that meet in a signature are candidates. Sizes, and parities of feature
+counts in classes, rule most false ones out before any text is sent. A few of them are listed as pairs;
 a larger gathering is listed as edges to its least member, and all sets with an
 edge to one such hub are then compared with each other, which covers every pair
 of the gathering without listing it once a signature.
@@ -43,6 +44,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,6 +64,8 @@ _BITS = 48
 #: Sets up to which a signature's pairs are listed one by one.
 GATHERING = 8
 _FLUSH = 1_500_000
+#: zstandard level of texts on their way (cost only).
+LEVEL = 3
 
 
 class Bands:
@@ -109,6 +113,38 @@ class Sets:
         self.set_id = mix((acc[self.bounds[1:]] - acc[self.bounds[:-1]]) + self.size.astype(np.uint64)).view(np.int64)
 
 
+def parities(sets: Sets) -> list[bytes]:
+    """For each row, whether each of B classes of features has an odd number of them;
+    B is about the set's size, a power of two from 64.
+
+    Sets that differ in d features differ in d classes at most, so a pair whose
+    parities differ in more than similar sets can is none. Of two lengths the
+    longer folds to the shorter by exclusive or of its halves.
+    """
+    size = 1 << np.maximum(6, np.rint(np.log2(np.maximum(sets.size, 1)))).astype(np.int64)
+    base = np.cumsum(size) - size
+    at = base[sets.row] + (sets.mixed & (size[sets.row] - 1).astype(np.uint64)).astype(np.int64)
+    raw = memoryview(np.packbits(np.bincount(at, minlength=int(size.sum())) & 1, bitorder="little").tobytes())
+    return [bytes(raw[a : a + n]) for a, n in zip((base // 8).tolist(), (size // 8).tolist())]
+
+
+def may_be_similar(a: list[bytes], b: list[bytes], size_a: np.ndarray, size_b: np.ndarray, threshold: float) -> np.ndarray:
+    """False for pairs whose sizes or parities rule the threshold out."""
+    ok = np.minimum(size_a, size_b) >= threshold * np.maximum(size_a, size_b) - 1e-9
+    most = np.floor((1 - threshold) / (1 + threshold) * (size_a + size_b) + 1e-9)
+    width = np.array([(len(x), len(y)) for x, y in zip(a, b)], np.int64).reshape(-1, 2)
+    for m, n in np.unique(width[ok], axis=0).tolist():
+        here = np.flatnonzero(ok & (width[:, 0] == m) & (width[:, 1] == n)).tolist()
+        x = np.frombuffer(b"".join(a[i] for i in here), np.uint8).reshape(-1, m)
+        y = np.frombuffer(b"".join(b[i] for i in here), np.uint8).reshape(-1, n)
+        while x.shape[1] > n:
+            x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+        while y.shape[1] > m:
+            y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+        ok[here] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= most[here]
+    return ok
+
+
 def _small(s: Slice) -> Iterator[Slice]:
     """Pieces of at most 2**16 rows, so that a row number fits beside a feature."""
     step = 1 << (64 - _BITS)
@@ -164,10 +200,9 @@ def signatures(sets: Sets, bands: Bands, info: np.ndarray) -> tuple[np.ndarray,
     return np.concatenate(sigs), np.concatenate(rows)
 
 
-_MEMBER = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("set_id", T.LongType()), T.StructField("size", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("counts", T.BinaryType())])
+_MEMBER = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("set_id", T.LongType()), T.StructField("size", T.LongType()), T.StructField("parity", T.BinaryType()), T.StructField("piece", T.IntegerType()), T.StructField("counts", T.BinaryType())])
 _BLOB = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("hi", T.BinaryType()), T.StructField("lo", T.BinaryType()), T.StructField("at", T.BinaryType()), T.StructField("ids", T.BinaryType())])
 _PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("hub", T.BooleanType())])
-_SET = T.StructType([T.StructField("set_id", T.LongType()), T.StructField("features", T.BinaryType())])
 
 
 def _members(docs: DataFrame, n: int) -> DataFrame:
@@ -186,6 +221,7 @@ def _members(docs: DataFrame, n: int) -> DataFrame:
                             batch.column(0).slice(s.first, s.rows).take(pa.array(some)),
                             pa.array(sets.set_id[some]),
                             pa.array(sets.size[some]),
+                            pa.array(parities(sets), pa.binary()).take(pa.array(some)),
                             pa.nulls(len(some), pa.int32()),
                             pa.nulls(len(some), pa.binary()),
                         ],
@@ -193,7 +229,7 @@ def _members(docs: DataFrame, n: int) -> DataFrame:
                     )
         if sketch.any():
             none = pa.nulls(PIECES, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(np.arange(PIECES, dtype=np.int32)), pa.array([zlib.compress(x.tobytes(), 1) for x in np.split(sketch, PIECES)], pa.binary())], names=_MEMBER.names)
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(PIECES, pa.binary()), pa.array(np.arange(PIECES, dtype=np.int32)), pa.array([zlib.compress(x.tobytes(), 1) for x in np.split(sketch, PIECES)], pa.binary())], names=_MEMBER.names)
 
     return docs.mapInArrow(run, _MEMBER)
 
@@ -217,7 +253,7 @@ def _sketch(seen: DataFrame) -> np.ndarray:
 
 
 def _blobs(docs: DataFrame, n: int, bands: Bands, info: np.ndarray, buckets: int) -> DataFrame:
-    """Signatures packed by bucket: 48 bits each, with a number into the sets' ids."""
+    """Signatures packed by bucket: 40 bits each, with a number into the sets' ids."""
     shared = docs.sparkSession.sparkContext.broadcast(info)
 
     def flush(sigs: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
@@ -230,7 +266,7 @@ def _blobs(docs: DataFrame, n: int, bands: Bands, info: np.ndarray, buckets: int
         for b in np.flatnonzero(np.diff(cut)).tolist():
             x, y = sig[cut[b] : cut[b + 1]], sid[cut[b] : cut[b + 1]]
             own, at = np.unique(y, return_inverse=True)
-            for c, v in zip(out, (b, (x >> np.uint64(16)).astype(np.uint32).tobytes(), x.astype(np.uint16).tobytes(), at.astype(np.uint32 if len(own) > 65536 else np.uint16).tobytes(), own.tobytes())):
+            for c, v in zip(out, (b, (x >> np.uint64(16)).astype(np.uint32).tobytes(), (x >> np.uint64(8)).astype(np.uint8).tobytes(), at.astype(np.uint32 if len(own) > 65536 else np.uint16).tobytes(), own.tobytes())):
                 c.append(v)
         return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], names=_BLOB.names)
 
@@ -257,7 +293,7 @@ def _blobs(docs: DataFrame, n: int, bands: Bands, info: np.ndarray, buckets: int
 def _unpack(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for hi, lo, at, ids in zip(*(batch.column(c) for c in ("hi", "lo", "at", "ids"))):
         h = np.frombuffer(hi.as_buffer(), np.uint32).astype(np.uint64)
-        x = (h << np.uint64(16)) | np.frombuffer(lo.as_buffer(), np.uint16)
+        x = (h << np.uint64(8)) | np.frombuffer(lo.as_buffer(), np.uint8)
         own = np.frombuffer(ids.as_buffer(), np.int64)
         i = np.frombuffer(at.as_buffer(), np.uint16 if at.as_buffer().size == 2 * len(x) else np.uint32)
         yield x, own[i]
@@ -305,21 +341,49 @@ def _candidates(blobs: DataFrame, width: int) -> DataFrame:
             fresh = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
             yield pa.RecordBatch.from_arrays([pa.array(a[fresh]), pa.array(b[fresh]), pa.array(np.full(int(fresh.sum()), hub))], names=_PAIR.names)
 
-    # the map side writes a bucket's blobs to one partition; 48 bits of each signature remain
+    # the map side writes a bucket's blobs to one partition; 40 bits of each signature remain
     return blobs.repartition(width, "bucket").mapInArrow(run, _PAIR)
 
 
-def _features(docs: DataFrame, n: int) -> DataFrame:
+def _sifted(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Candidates without the listed pairs that sizes and parities rule out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for whole in slices(batch.column(0)):
-                for s in _small(whole):
-                    sets = Sets(s, n)
-                    raw = memoryview(sets.feature.tobytes())
-                    cut = (sets.bounds * 8).tolist()
-                    yield pa.RecordBatch.from_arrays([pa.array(sets.set_id), pa.array([raw[a:b] for a, b in zip(cut[:-1], cut[1:])], pa.binary())], names=_SET.names)
+            ok = may_be_similar(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_numpy(), batch.column(5).to_numpy(), threshold)
+            kept = batch.select([0, 1]).filter(pa.array(ok))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(np.zeros(len(kept), bool))], names=_PAIR.names)
+
+    one, two = (sets.select(F.col("set_id").alias(x), F.col("parity").alias(f"parity_{x}"), F.col("size").alias(f"size_{x}")) for x in "ab")
+    listed = pairs.filter("NOT hub").select("a", "b").join(one, "a").join(two, "b")
+    return listed.select("a", "b", "parity_a", "parity_b", "size_a", "size_b").mapInArrow(run, _PAIR).union(pairs.filter("hub"))
+
+
+def _compressed(docs: DataFrame) -> DataFrame:
+    """``(doc_id, z)``: texts as zstandard frames, which are smaller than their features."""
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("z", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=LEVEL)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([press.compress(t.as_buffer()) for t in batch.column(1)], pa.binary())], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def _read_sets(frames: list[bytes], n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Set ids and sorted features of compressed texts."""
+    import zstandard
 
-    return docs.mapInArrow(run, _SET)
+    open_ = zstandard.ZstdDecompressor()
+    for at in range(0, len(frames), 256):
+        column = pa.array([open_.decompress(f) for f in frames[at : at + 256]], pa.large_binary())
+        for s in slices(column):
+            sets = Sets(s, n)
+            for i, a, b in zip(sets.set_id.tolist(), sets.bounds[:-1].tolist(), sets.bounds[1:].tolist()):
+                yield i, sets.feature[a:b]
 
 
 def overlaps(features: np.ndarray, bounds: np.ndarray, a: np.ndarray, b: np.ndarray, chunk: int = 1 << 20) -> np.ndarray:
@@ -381,28 +445,26 @@ def gathered(features: np.ndarray, bounds: np.ndarray, members: np.ndarray, thre
 _SIMILAR = T.StructType([*_PAIR.fields[:2], T.StructField("jaccard", T.DoubleType())])
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, threshold: float, width: int) -> DataFrame:
-    """Pairs at or above the threshold. Listed pairs meet at the least set that
-    their side's neighbourhood touches, so a group's sets are sent once or twice;
-    the sets of a hub meet there."""
-    listed = pairs.filter("NOT hub").select("a", "b")
-    least = listed.select(F.col("b").alias("s"), F.col("a").alias("o")).union(listed).groupBy("s").agg(F.min("o").alias("m")).select("s", F.least("s", "m").alias("task"))
-    placed = durable(listed.join(least, listed.a == least.s).select("task", "a", "b", F.lit(False).alias("hub")).union(pairs.filter("hub").select(F.col("a").alias("task"), "a", "b", "hub")))
-    wanted = placed.select("task", F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    shipped = wanted.join(sets, "set_id").select("task", F.col("set_id").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(False).alias("hub"), "features")
-    rows = shipped.unionByName(placed.withColumn("features", F.lit(None).cast("binary")))
+def _verify(pairs: DataFrame, reps: DataFrame, texts: DataFrame, n: int, threshold: float, width: int) -> DataFrame:
+    """Pairs at or above the threshold. Pairs and hubs meet at the least set within
+    two steps, so the sets of a group of similar ones are sent to one place, where
+    each gathering is still compared for itself. reps: ``(set_id, doc_id)``, a document of each set."""
+    edges = pairs.select("a", "b")
+    least = edges.union(edges.select("b", "a")).groupBy(F.col("a").alias("s")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    far = least.select(F.col("s").alias("m"), F.col("m").alias("task"))
+    placed = durable(pairs.join(least.join(far, "m"), F.col("a") == F.col("s")).select("task", "a", "b", "hub"))
+    wanted = placed.select("task", F.explode(F.array("a", "b")).alias("set_id")).distinct().join(reps, "set_id").groupBy("doc_id").agg(F.collect_set("task").alias("tasks"))
+    none = F.lit(None).cast("long")
+    shipped = _compressed(texts).join(wanted, "doc_id").select(F.explode("tasks").alias("task"), none.alias("a"), none.alias("b"), F.lit(False).alias("hub"), "z")
+    rows = shipped.unionByName(placed.withColumn("z", F.lit(None).cast("binary")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
         got: list[list[np.ndarray]] = [[], [], []]
         for batch in batches:
-            f = batch.column("features")
-            a = batch.column("a").to_numpy(zero_copy_only=False)
-            is_set = f.is_valid().to_numpy(zero_copy_only=False)
-            for i in np.flatnonzero(is_set).tolist():
-                if int(a[i]) not in known:
-                    known[int(a[i])] = np.frombuffer(f[i].as_py(), np.uint64)
-            other = pa.array(~is_set)
+            is_text = batch.column("z").is_valid()
+            known.update(_read_sets(batch.column("z").filter(is_text).to_pylist(), n))
+            other = pa.compute.invert(is_text)
             for c, name in zip(got, ("a", "b", "hub")):
                 c.append(batch.column(name).filter(other).to_numpy(zero_copy_only=False))
         if not known:
@@ -442,17 +504,17 @@ class Join:
         width = shuffle_width(docs)
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
         seen = durable(_members(texts, n))
-        members = seen.filter("set_id IS NOT NULL").select("doc_id", "set_id", "size")
+        members = seen.filter("set_id IS NOT NULL").select("doc_id", "set_id", "size", "parity")
         #: set_id, its documents in order, their number
         self.sets = members.groupBy("set_id").agg(F.array_sort(F.collect_set("doc_id")).alias("doc_ids"), F.min("doc_id").alias("rep"))
         total, largest = members.agg(F.count("*"), F.coalesce(F.max("size"), F.lit(1))).first()
         info = information(_sketch(seen), total).astype(np.int16)  # of a fixed size, whatever the input
         self.candidates = durable(_candidates(_blobs(texts, n, Bands(threshold, largest), info, 2 * width), width).distinct())
-        needed = self.candidates.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-        reps = members.groupBy("set_id").agg(F.min("doc_id").alias("doc_id")).join(needed, "set_id", "left_semi").select("doc_id")
-        chosen = texts.join(reps, "doc_id", "left_semi").select("text")
+        reps = durable(members.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("size").alias("size"), F.max("parity").alias("parity")))
+        self.candidates = durable(_sifted(self.candidates, reps, threshold))
+        reps = reps.select("set_id", "doc_id")
         #: pairs of different sets
-        self.pairs = _verify(self.candidates, _features(chosen, n).dropDuplicates(["set_id"]), threshold, width)
+        self.pairs = _verify(self.candidates, reps, texts, n, threshold, width)
 
 
 def similar_documents(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
