@@ -9,7 +9,10 @@ columns of ``documents``.
    the least doc_id; rows without doc_id, or without words, are in no group and stay;
 3. suffix-array dedup: later occurrences of repeated passages are cut out;
 4. mixing: the rows in the order of the Pfair schedule, all of them;
-5. byte-level BPE: token ids and character spans of each document.
+5. byte-level BPE: token ids and character spans of each document, and its
+   ``position`` in the mixed order (from 0, without gaps when read from Parquet).
+   Readers take part files in any order, so the position comes from the number
+   of a row's part file and the row's place in it.
 
 The stages handle nulls, empty texts, repeated rows and extra columns as their
 operators say. An empty table gives an empty result.
@@ -17,9 +20,11 @@ operators say. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,8 +50,25 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pfair.mixed(docs)
 
 
+def _in_place(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``(doc_id, text, position)``: position is the order in which the rows were written, or that of the rows of an unwritten table."""
+    path, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    try:
+        rows = docs.select("doc_id", "text", path.alias("__path"), row.alias("__at"))
+    except AnalysisException:  # read from no Parquet files
+        return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("position"))
+    number = lambda p: (int((re.search(r"part-(\d+)[^/]*$", p) or [0, -1])[1]), p)
+    counts = {r["p"]: r["count"] for r in docs.select(path.alias("p")).groupBy("p").count().collect()}
+    begin, files = 0, []
+    for p in sorted(counts, key=number):
+        files.append((p, begin))
+        begin += counts[p]
+    starts = F.broadcast(spark.createDataFrame(files, "__path string, __begin bigint"))
+    return rows.join(starts, "__path").select("doc_id", "text", (F.col("__begin") + F.col("__at")).alias("position"))
+
+
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(docs)
+    return bpe.encode_documents(_in_place(spark, docs), along="position")
 
 
 STAGES = [

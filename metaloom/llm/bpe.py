@@ -211,14 +211,16 @@ SCHEMA = T.StructType(
 )
 
 
-def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str | None = None, along: str | None = None) -> DataFrame:
     """One row a document: ids, first and past-last character of each token, and
     whether decoding the ids gives the text's bytes back.
 
     A token that holds a part of a character covers that character, so tokens of
-    a split character share it. Null texts give empty arrays.
+    a split character share it. Null texts give empty arrays. along: a bigint
+    column that is kept, as the last.
     """
     place = path or tokenizer_path()
+    schema = T.StructType([*SCHEMA.fields, T.StructField(along, T.LongType())]) if along else SCHEMA
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(place)
@@ -240,11 +242,12 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
                         list_array(e.start.astype(np.int32), e.count, pa.int32()),
                         list_array(e.end.astype(np.int32), e.count, pa.int32()),
                         pa.array(exact),
+                        *([batch.column(2).slice(s.first, s.rows)] if along else []),
                     ],
-                    names=SCHEMA.names,
+                    names=schema.names,
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text", *([along] if along else [])).mapInArrow(run, schema)
 
 
 def decode_documents(tokens: DataFrame, path: str | None = None) -> DataFrame:

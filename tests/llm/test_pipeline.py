@@ -1,6 +1,7 @@
 """The pipeline: its stages in order, on planted cases and odd rows."""
 
 import corpus_pipeline
+from metaloom.llm import pfair
 from tests.llm.helpers import DOCS, awkward, empty
 from tests.llm.test_langid import texts
 
@@ -35,3 +36,19 @@ def test_odd_rows_and_empty_tables(spark, tmp_path):
         assert name == corpus_pipeline.STAGES[-1][0] or docs.columns == df.columns
     assert {1, 5} <= {r.doc_id for r in docs.collect()}
     assert corpus_pipeline.run(spark, saved(empty(spark), tmp_path)).collect() == []
+
+
+def test_the_mixed_order_survives_part_files(spark, tmp_path, monkeypatch):
+    rows = [(i, f"t{i} " + " ".join(f"{i * j}" for j in range(i % 7 * 40)), "en", "s" + str(i % 3), 1) for i in range(900)]
+    sf = saved(spark.createDataFrame(rows, DOCS), tmp_path / "in")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[3:])
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        got = corpus_pipeline.run(spark, sf)
+        assert len(got.inputFiles()) > 2
+        place = {r.doc_id: r.position for r in pfair.schedule(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+        assert [r.doc_id for r in got.sort("position").select("doc_id").collect()] == sorted(place, key=place.get)
+        assert sorted(r.position for r in got.select("position").collect()) == list(range(900))
+    finally:
+        spark.conf.unset(key)
