@@ -94,3 +94,16 @@ def test_groups_follow_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (90, 95)], "x bigint, y bigint")
     roots = {r.node: r.root for r in partenum.components(edges).collect()}
     assert roots == {i: 0 for i in range(41)} | {100: 90, 95: 90, 90: 90}
+
+
+def test_case_and_edge_punctuation_are_no_other_words(spark):
+    plain = [f"wort{i} über{i}" for i in range(10)]
+    edited = [f"„Wort{i}, (ÜBER{i})…" for i in range(10)]
+    rows = [(1, " ".join(plain)), (2, " ".join(edited)), (3, "!!! ???"), (4, "??? !!!"), (5, "wort0 wort-1")]
+    assert expand(partenum.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string"))) == {(1, 2): 1.0, (3, 4): 1.0}
+
+
+def test_a_copy_with_three_edited_words_of_thirty_is_found(spark):
+    words = [f"w{i}" for i in range(30)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:27] + [f"x{i}" for i in range(3)]))]
+    assert set(expand(partenum.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")))) == {(1, 2)}
