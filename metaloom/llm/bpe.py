@@ -74,7 +74,8 @@ def run_bounds(s: Slice) -> np.ndarray:
 
 
 class RunEncoder:
-    """Ids of distinct runs, remembered by hash."""
+    """Ids of distinct runs, remembered by hash. The ids of every slice are decoded and
+    compared with its bytes, so a run that meets another's hash gets its own ids."""
 
     def __init__(self, path: str, library: str = "tokenizers"):
         self.path, self.library = path, library
@@ -152,8 +153,12 @@ class RunEncoder:
         ids = self.flat[ragged_ranges(self.start[number], length)]
         done = np.zeros(len(begin) + 1, np.int64)
         np.cumsum(length, out=done[1:])
-        at = done[np.searchsorted(begin, s.offsets, side="left")]
-        return ids, np.diff(at)
+        count = np.diff(done[np.searchsorted(begin, s.offsets, side="left")])
+        if not np.array_equal(self.decode_bytes(ids), s.data):  # runs met in one hash, or bytes are no UTF-8: ask the library for the rows themselves
+            rows = [self.tok.encode(s.text(r), add_special_tokens=False).ids if self.library == "tokenizers" else self.tok.encode_ordinary(s.text(r)) for r in range(s.rows)]
+            count = np.array([len(r) for r in rows], dtype=np.int64)
+            ids = np.array([i for r in rows for i in r], dtype=np.int32)
+        return ids, count
 
     def decode_bytes(self, ids: np.ndarray) -> np.ndarray:
         """Bytes of a run of ids; characters split between tokens come together again."""
@@ -183,18 +188,12 @@ class Encoded:
 def encode_slice(enc: RunEncoder, s: Slice) -> Encoded:
     """Ids with character offsets: a token covers the characters that own any of its bytes."""
     ids, count = enc.encode(s)
-    size = enc.byte_len[ids]
-    if int(size.sum()) != len(s.data):  # two runs met in one hash: encode this slice directly
-        rows = [enc.tok.encode(s.text(r), add_special_tokens=False).ids if enc.library == "tokenizers" else enc.tok.encode_ordinary(s.text(r)) for r in range(s.rows)]
-        count = np.array([len(r) for r in rows], dtype=np.int64)
-        ids = np.array([i for r in rows for i in r], dtype=np.int32)
-        size = enc.byte_len[ids]
-    to = np.cumsum(size)
+    to = np.cumsum(enc.byte_len[ids])
     lead = np.zeros(len(s.data) + 1, np.int64)
     np.cumsum((s.data & 0xC0) != 0x80, out=lead[1:])
     row = np.repeat(np.arange(s.rows), count)
     base = lead[s.offsets[:-1]][row]
-    start = lead[to - size + 1] - 1 - base if len(ids) else to
+    start = lead[to - enc.byte_len[ids] + 1] - 1 - base if len(ids) else to
     end = lead[to] - base
     return Encoded(ids, count, start, end)
 
@@ -227,7 +226,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, along: str | None
         for batch in batches:
             for s in slices(batch.column(1)):
                 e = encode_slice(enc, s)
-                back = enc.decode_bytes(e.ids)
+                back = enc.decode_bytes(e.ids)  # asked again of the ids that are returned, for the column ``exact``
                 exact = np.ones(s.rows, dtype=bool)
                 if not np.array_equal(back, s.data):
                     done = np.concatenate([[0], np.cumsum(e.count)])

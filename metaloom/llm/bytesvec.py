@@ -2,8 +2,8 @@
 
 A text column is handled as one UTF-8 byte buffer plus row offsets. Words are
 the maximal runs of bytes other than ASCII white space (tab, line feed,
-vertical tab, form feed, carriage return, space); each has a 64-bit hash from a
-prefix-summed polynomial, so a batch costs a few numpy passes and no Python
+vertical tab, form feed, carriage return, space); each has a 64-bit hash from two
+prefix-summed polynomials, so a batch costs a few numpy passes and no Python
 object per word.
 """
 
@@ -17,25 +17,30 @@ import pyarrow as pa
 
 #: Bytes of text that one numpy pass holds; a longer single text is handled whole.
 SLICE_BYTES = 1 << 21
-_P = 0x9E3779B97F4A7C15 | 1
-_PINV = pow(_P, -1, 1 << 64)
-_M64 = (1 << 64) - 1
+#: Two primes and a base for each: a hash is a pair of polynomials modulo these.
+_PRIMES = (2147483647, 2147483629)
+_BASES = (1297834573, 1783920611)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
-_pow: dict[int, np.ndarray] = {}
+_pow: dict[tuple[int, bool], np.ndarray] = {}
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """``base ** i`` modulo 2**64 for i in 0..n, kept between calls while small."""
-    have = _pow.get(base)
+def powers(which: int, n: int, inverse: bool = False) -> np.ndarray:
+    """``base ** i`` (or its inverse) modulo the prime for i in 0..n, kept between calls while small."""
+    have = _pow.get((which, inverse))
     if have is None or len(have) <= n:
+        p = _PRIMES[which]
+        base = pow(_BASES[which], -1, p) if inverse else _BASES[which]
         size = max(n + 1, SLICE_BYTES + 1)
-        seq = np.full(size, base & _M64, dtype=np.uint64)
-        seq[0] = 1
-        have = np.multiply.accumulate(seq)
+        have = np.ones(size, dtype=np.uint64)
+        done = 1
+        while done < size:
+            to = min(2 * done, size)
+            have[done:to] = have[: to - done] * np.uint64(pow(base, done, p)) % np.uint64(p)
+            done = to
         if size <= 4 * SLICE_BYTES:
-            _pow[base] = have
+            _pow[which, inverse] = have
     return have
 
 
@@ -50,27 +55,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each ``data[start:end]``, equal for equal bytes."""
-    n = len(data)
-    acc = np.zeros(n + 1, dtype=np.uint64)
-    term = data.astype(np.uint64)
-    term += np.uint64(1)
-    term *= powers(_P, n)[:n]
+def _spans(term: np.ndarray, which: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sums of each term[start:end], shifted to begin at power 0, modulo the prime. The sum of all terms is below 2**64."""
+    p = np.uint64(_PRIMES[which])
+    acc = np.zeros(len(term) + 1, dtype=np.uint64)
     np.cumsum(term, out=acc[1:])
-    h = acc[end] - acc[start]
-    h *= powers(_PINV, n)[start]
-    return mix(h)
+    return (acc[end] - acc[start]) % p * powers(which, len(term), inverse=True)[start] % p
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each ``data[start:end]``, equal for equal bytes.
+
+    Polynomials modulo two primes: texts built to defeat arithmetic modulo 2**64
+    have no hold on it. Unequal spans of n bytes meet with a chance of about (n / 2**31)**2.
+    """
+    n, both = len(data), []
+    value = data.astype(np.uint64) + np.uint64(1)
+    for which, p in enumerate(_PRIMES):
+        term = value * powers(which, n)[:n]
+        if n > 1 << 24:
+            term %= np.uint64(p)
+        both.append(_spans(term, which, start, end))
+    return mix((both[0] << np.uint64(32)) | both[1])
 
 
 def window_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each run ``values[start:end]`` of 64-bit values."""
-    n = len(values)
-    acc = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(values * powers(_P, n)[:n], out=acc[1:])
-    h = acc[end] - acc[start]
-    h *= powers(_PINV, n)[start]
-    return mix(h)
+    """64-bit hash of each run ``values[start:end]`` of 64-bit values, as ``span_hash``."""
+    n, both = len(values), []
+    for which, p in enumerate(_PRIMES):
+        term = values % np.uint64(p) + np.uint64(1)
+        term *= powers(which, n)[:n]
+        term %= np.uint64(p)
+        both.append(_spans(term, which, start, end))
+    return mix((both[0] << np.uint64(32)) | both[1])
 
 
 @dataclass

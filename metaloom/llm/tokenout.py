@@ -102,10 +102,6 @@ def encode_frames(docs: DataFrame, path: str | None = None, dictionary: bytes |
             known = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
             for s in slices(batch.column(1)):
                 ids, count = enc.encode(s)
-                if int(enc.byte_len[ids].sum()) != len(s.data):  # two runs met in one hash
-                    rows = [enc.tok.encode_ordinary(s.text(r)) for r in range(s.rows)]
-                    count = np.array([len(x) for x in rows], np.int64)
-                    ids = np.array([i for x in rows for i in x], np.int32)
                 here = known[s.first : s.first + s.rows]
                 raw = memoryview(ids.astype(kind).tobytes())
                 to = np.cumsum(count) * kind.itemsize
