@@ -180,6 +180,18 @@ def ragged_ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(np.asarray(start, np.int64) - first, length)
 
 
+def united(label: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Labels after joining p[i] with q[i]; a label is the least number of its group."""
+    while True:
+        x, y = label[p], label[q]
+        differ = x != y
+        if not differ.any():
+            return label
+        np.minimum.at(label, np.maximum(x, y)[differ], np.minimum(x, y)[differ])
+        while not np.array_equal(after := label[label], label):
+            label = after
+
+
 def list_array(flat: np.ndarray, length: np.ndarray, kind: pa.DataType) -> pa.Array:
     """Arrow list column from flat values and row lengths."""
     offs = np.zeros(len(length) + 1, dtype=np.int32)

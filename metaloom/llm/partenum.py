@@ -1,48 +1,56 @@
 """N-gram Jaccard join with PartEnum signatures (operator 9).
 
-A document's features are its distinct word n-grams (48-bit hashes). Words are
-compared in lower case and without punctuation at their edges (a word of nothing
-else stays as it is), so that ordinary edits don't count as other words. Two feature
-sets with Jaccard similarity of at least t differ in at most
+A document's features are its distinct word n-grams (54-bit hashes; a text of 500
+n-grams has two that meet in one hash with a chance of 1e-11). Words are compared in
+lower case and without punctuation at their edges (a word of nothing else stays as
+it is), so that ordinary edits don't count as other words.
+
+Two feature sets with Jaccard similarity of at least t differ in at most
 k = (1-t)/(1+t) * (|r|+|s|) features. Sizes fall in bands of ratio 1/t, so such a
-pair lies in one band or two neighbouring ones; instance j of the scheme serves
-bands j-1 and j with one k. An instance cuts the feature domain by hash into n1
-groups of n2 = 3 parts. With n1 > k/2 some group differs in at most one feature,
-so at least two of its three parts are the same in both sets: the content of each
-two parts of a group is a signature, and every qualifying pair shares one.
+pair lies in one band or two neighbouring ones; instance j of the scheme serves the
+pairs within band j-1 and those between j-1 and j. An instance cuts the feature
+domain by hash into n1 groups of n2 = 2 parts; a group that differs in at most one
+feature has a part that is the same in both sets. The content of a part, that is, of
+a subset of its group's parts, is a signature, and a pair shares all but k of the
+2 * n1 at least.
 
 A signature of few, frequent features would be shared by very many sets. Each
-signature therefore has an information content, the sum of log2(documents /
-document frequency) of its features, which depends on the content alone. As a
-pair agrees in at least n1 - k/2 groups, a set takes its k/2 + 1 groups whose
-least informative signature is best, and sends every signature that is at least
-as informative as the worst of these. Of two sets, the one with the higher bar
-has such a signature in common with the other, whose bar is lower: the join
-stays exact whatever the frequencies are. They come from a hashed count over all
-documents (a fixed-size sketch that can only overestimate). n1 is larger than
-k/2 + 1 to leave a choice.
-
-Sets that meet in a signature are candidates. Sizes, and parities of feature
-counts in classes, rule most false ones out before any text is sent. A few of them are listed as pairs;
-a larger gathering is listed as edges to its least member, and all sets with an
-edge to one such hub are then compared with each other, which covers every pair
-of the gathering without listing it once a signature.
-
-Documents with equal feature sets are one set with a list of documents, so
-copies cost nothing in the join.
-
-Definitions: words are split at ASCII white space; a text of fewer
-than n words has its whole word sequence as its one feature; a null text, a text
-without words and a null doc_id take no part; rows that repeat a doc_id with
-the same features count once; other columns are ignored. An empty table gives an
-empty result.
+therefore has an information content, the sum of log2(documents / document
+frequency) of its features, which depends on the content alone. A set sends its
+k + 1 + c most informative signatures (ties go by hash), with the k of its own size:
+all but k are shared with a similar set. Of two sets, the one whose least sent
+signature is the more informative has c + 1 among them that both contain, and the
+other, whose bar is lower, sends these too: the join stays exact whatever the
+frequencies are. They come from a hashed count over all documents (of a fixed size;
+it can only overestimate). c is 0 for small sets and grows with the instance.
+
+Sets that meet in a signature are candidates. Those of a small gathering are listed
+as pairs with their number of meetings, and what stays below the c + 1 of its
+instance goes before any text is sent. A larger gathering is listed as edges to its
+least member, its hub. All sets at one hub are compared with each other, which
+covers every pair of a gathering without listing it once a signature. Hubs that
+share members are one task; a task of more than ``TASK_FEATURES`` is cut into blocks
+and each pair of blocks is a task of its own, so no task holds more. A pair that
+meets at several hubs counts at the least of them only. Tasks return, for each set,
+how many documents it is linked with and one set that it hangs together with: pairs
+are never written.
+
+Documents with equal feature sets are one set (128 bits of hash: a set id of 64 that
+is checked against another 64, and salted anew should two sets meet in it).
+
+Definitions: words are split at ASCII white space; a text of fewer than n words has
+its whole word sequence as its one feature; a null text and a text without words
+have no links; rows of null doc_id take no part; rows that repeat a doc_id with the
+same features count once, and a doc_id with several texts is one document that has
+the links of each of them; texts of any length are taken whole; pairs exactly at the
+threshold are links; a class is named by its least doc_id; other columns are
+ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -51,23 +59,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from metaloom.llm.bytesvec import Slice, Words, column_bytes, mix, ragged_ranges, slices, span_hash, window_hash, words
+from metaloom.llm.bytesvec import Slice, Words, column_bytes, mix, ragged_ranges, slices, span_hash, united, words
 from metaloom.llm.durable import durable, shuffle_width
 
-#: The README gives the recall on edited copies by which the threshold was chosen.
-N, THRESHOLD = 1, 0.8
+#: Words of an n-gram, and the threshold; the README gives the recall on edited copies by which it was chosen.
+N, THRESHOLD = 3, 0.6
 #: Counters of the document-frequency sketch, and the pieces that they travel in (cost only).
-SKETCH_BITS, PIECES = 19, 64
-#: Groups beyond the k/2 + 1 that the argument needs, as a share (cost only).
-SPARE = 0.2
-#: Parts of a group, and how many of them may differ.
-PARTS, DIFFER = 3, 1
-_LEFT_OUT = [list(c) for c in combinations(range(PARTS), DIFFER)]
-_BITS = 48
-#: Sets up to which a signature's pairs are listed one by one.
-GATHERING = 8
-_FLUSH = 1_500_000
-#: zstandard level of texts on their way (cost only).
+SKETCH_BITS, PIECES = 21, 64
+#: Parts of a group; groups beyond the k/2 + 1 that the argument needs, as a share (cost only).
+PARTS, SPARE = 2, 0.6
+_BITS = 54
+#: Sets up to which a signature's pairs are listed one by one (cost only).
+GATHERING = 32
+#: (differences from which on, c): meetings that a similar pair has beyond one (cost only).
+#: c + 1 divides _MET, the sum that a listed pair needs when each meeting counts _MET / (c + 1).
+SURPLUS = ((0, 0), (16, 2), (64, 5), (160, 11))
+_MET = 12
+#: Signatures that a worker packs at once, features that a task holds, features compared at once (cost only).
+_FLUSH, TASK_FEATURES, BATCH_FEATURES = 4_000_000, 8_000_000, 1_000_000
+#: zstandard level of what travels (cost only).
 LEVEL = 3
 
 
@@ -75,20 +85,34 @@ class Bands:
     """Size bands and the parameters of the instance that serves each."""
 
     def __init__(self, threshold: float, largest: int):
+        self.threshold = threshold
         lows = [1]
         while lows[-1] <= largest:
             lows.append(int(np.floor(lows[-1] / threshold + 1e-9)) + 1)
         lows.append(int(np.floor(lows[-1] / threshold + 1e-9)) + 1)
         self.low = np.array(lows, dtype=np.int64)
-        top = np.append(self.low[1:], np.floor(self.low[-1] / threshold + 1e-9) + 1) - 1
-        #: most differences of a pair, rounded down
-        self.k = np.floor((1 - threshold) / (1 + threshold) * 2 * top + 1e-9).astype(np.int64)
-        need = self.k // (DIFFER + 1) + 1
-        self.n1 = np.where(self.k > 0, need + np.ceil(need * SPARE).astype(np.int64), 1)
+        self.top = np.append(self.low[1:], int(np.floor(self.low[-1] / threshold + 1e-9)) + 1) - 1
+        most = self.differences(2 * self.top)
+        #: of each instance, its place in SURPLUS and its c
+        self.kind = np.searchsorted([k for k, _ in SURPLUS], most, side="right") - 1
+        self.surplus = np.array([c for _, c in SURPLUS])[self.kind]
+        need = (most + self.surplus) // 2 + 1
+        self.groups = need + np.ceil(need * SPARE).astype(np.int64)
+
+    def differences(self, total: np.ndarray) -> np.ndarray:
+        """Most features in which a similar pair of so many features in all differs."""
+        return np.floor((1 - self.threshold) / (1 + self.threshold) * total + 1e-9).astype(np.int64)
 
     def of(self, size: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.low, size, side="right") - 1
 
+    def partner(self, size: np.ndarray, up: int) -> np.ndarray:
+        """Largest size of a set that one of this size must meet in its own band's
+        instance, where all partners are of the band below, or in the next, where
+        they are of its own band or the one above."""
+        j = self.of(size)
+        return self.low[j] - 1 if not up else np.minimum(np.floor(size / self.threshold + 1e-9).astype(np.int64), self.top[j + 1])
+
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -148,16 +172,19 @@ def normal_words(s: Slice) -> Words:
 class Sets:
     """Distinct features of the rows of a slice: sorted, with row bounds and set ids."""
 
-    def __init__(self, s: Slice, n: int):
+    def __init__(self, s: Slice, n: int, salt: int = 0):
         w = normal_words(s)
-        if n == 1:
-            row, h = w.row, w.hash
-        else:
-            count = np.diff(w.bounds)
-            grams = np.where(count >= n, count - n + 1, np.minimum(count, 1))
-            start = ragged_ranges(w.bounds[:-1], grams)
-            row = np.repeat(np.arange(s.rows), grams)
-            h = window_hash(w.hash, start, np.minimum(start + n, w.bounds[1:][row]))
+        count = np.diff(w.bounds)
+        grams = np.where(count >= n, count - n + 1, np.minimum(count, 1))
+        start = ragged_ranges(w.bounds[:-1], grams)
+        row = np.repeat(np.arange(s.rows), grams)
+        # whole n-grams word by word; the one of a shorter text with its length
+        h = np.zeros(len(start), np.uint64)
+        last = w.bounds[1:][row] - 1
+        for i in range(n):
+            h = mix(h * np.uint64(3) + w.hash[np.minimum(start + i, last)])
+        short = np.flatnonzero(count[row] < n)
+        h[short] = mix(h[short] ^ mix(count[row[short]].astype(np.uint64)))
         key = np.sort((row.astype(np.uint64) << np.uint64(_BITS)) | (h >> np.uint64(64 - _BITS)))
         if len(key):
             key = key[np.append(True, key[1:] != key[:-1])]
@@ -166,45 +193,17 @@ class Sets:
         self.bounds = np.searchsorted(self.row, np.arange(s.rows + 1))
         self.size = np.diff(self.bounds)
         self.mixed = mix(self.feature + np.uint64(1))
-        acc = np.zeros(len(key) + 1, np.uint64)
-        np.cumsum(mix(self.mixed), out=acc[1:])
-        self.set_id = mix((acc[self.bounds[1:]] - acc[self.bounds[:-1]]) + self.size.astype(np.uint64)).view(np.int64)
-
-
-def parities(sets: Sets) -> list[bytes]:
-    """For each row, whether each of B classes of features has an odd number of them;
-    B is about the set's size, a power of two from 64.
+        self.set_id = self._sum(2 * salt + 1)
+        self.check = self._sum(2 * salt + 2)
 
-    Sets that differ in d features differ in d classes at most, so a pair whose
-    parities differ in more than similar sets can is none. Of two lengths the
-    longer folds to the shorter by exclusive or of its halves.
-    """
-    size = 1 << np.maximum(6, np.rint(np.log2(np.maximum(sets.size, 1)))).astype(np.int64)
-    base = np.cumsum(size) - size
-    at = base[sets.row] + (sets.mixed & (size[sets.row] - 1).astype(np.uint64)).astype(np.int64)
-    raw = memoryview(np.packbits(np.bincount(at, minlength=int(size.sum())) & 1, bitorder="little").tobytes())
-    return [bytes(raw[a : a + n]) for a, n in zip((base // 8).tolist(), (size // 8).tolist())]
-
-
-def may_be_similar(a: list[bytes], b: list[bytes], size_a: np.ndarray, size_b: np.ndarray, threshold: float) -> np.ndarray:
-    """False for pairs whose sizes or parities rule the threshold out."""
-    ok = np.minimum(size_a, size_b) >= threshold * np.maximum(size_a, size_b) - 1e-9
-    most = np.floor((1 - threshold) / (1 + threshold) * (size_a + size_b) + 1e-9)
-    width = np.array([(len(x), len(y)) for x, y in zip(a, b)], np.int64).reshape(-1, 2)
-    for m, n in np.unique(width[ok], axis=0).tolist():
-        here = np.flatnonzero(ok & (width[:, 0] == m) & (width[:, 1] == n)).tolist()
-        x = np.frombuffer(b"".join(a[i] for i in here), np.uint8).reshape(-1, m)
-        y = np.frombuffer(b"".join(b[i] for i in here), np.uint8).reshape(-1, n)
-        while x.shape[1] > n:
-            x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
-        while y.shape[1] > m:
-            y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
-        ok[here] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= most[here]
-    return ok
+    def _sum(self, salt: int) -> np.ndarray:
+        acc = np.zeros(len(self.mixed) + 1, np.uint64)
+        np.cumsum(mix(self.mixed + np.uint64(salt)), out=acc[1:])
+        return mix((acc[self.bounds[1:]] - acc[self.bounds[:-1]]) + self.size.astype(np.uint64)).view(np.int64)
 
 
 def _small(s: Slice) -> Iterator[Slice]:
-    """Pieces of at most 2**16 rows, so that a row number fits beside a feature."""
+    """Pieces of so many rows that a row number fits beside a feature."""
     step = 1 << (64 - _BITS)
     for at in range(0, s.rows, step):
         o = s.offsets[at : at + step + 1]
@@ -216,91 +215,94 @@ def information(sketch: np.ndarray, total: int) -> np.ndarray:
     return np.rint(16 * np.log2(max(total, 1) / np.clip(sketch, 1, max(total, 1)))).astype(np.int64)
 
 
-def signatures(sets: Sets, bands: Bands, info: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All signatures of a slice's sets and the row of each."""
-    sigs, rows = [], []
-    filled = np.flatnonzero(sets.size > 0)
-    bits = info[(sets.mixed >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int64)
+def signatures(sets: Sets, bands: Bands, info: np.ndarray, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures that the (given) rows' sets send, and the row of each. The two
+    lowest bits are the place of the instance in SURPLUS."""
+    chosen = np.flatnonzero(sets.size > 0) if rows is None else rows
+    size = sets.size[chosen]
+    at = ragged_ranges(sets.bounds[chosen], size)
+    mixed = sets.mixed[at]
+    bits = info[(mixed >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
+    which = np.repeat(np.arange(len(chosen)), size)
+    sigs, owners = [], []
     for up in (0, 1):
-        inst = bands.of(sets.size[filled]) + up
-        n1, k = bands.n1[inst], bands.k[inst]
-        parts = np.where(k > 0, PARTS, 1)
-        cells = n1 * parts
-        base = np.cumsum(cells) - cells
-        which = np.repeat(np.arange(len(filled)), sets.size[filled])
-        salted = mix(sets.mixed ^ mix(inst.astype(np.uint64) + np.uint64(977))[which])
-        cell = base[which] + (((salted >> np.uint64(32)) * cells[which].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
-        acc = np.zeros(int(cells.sum()), np.uint64)
-        np.add.at(acc, cell, salted)
-        worth = np.zeros(len(acc), np.int64)
+        inst = bands.of(size) + up
+        sent = bands.differences(size + bands.partner(size, up)) + 1 + bands.surplus[inst]
+        parts = PARTS * bands.groups[inst]
+        base = np.cumsum(parts) - parts
+        salted = mix(mixed ^ mix(inst.astype(np.uint64) + np.uint64(977))[which])
+        cell = base[which] + (((salted >> np.uint64(32)) * parts[which].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+        content = np.zeros(int(parts.sum()), np.uint64)
+        np.add.at(content, cell, salted)
+        worth = np.zeros(len(content), np.uint64)
         np.add.at(worth, cell, bits)
-        # bands without room for a difference: the whole set is the signature
-        whole = np.flatnonzero(k == 0)
-        sigs.append(mix(acc[base[whole]] + mix(inst[whole].astype(np.uint64) + np.uint64(31))))
-        rows.append(filled[whole])
-        some = np.flatnonzero(k > 0)
-        if not len(some):
-            continue
-        at = ragged_ranges(base[some], cells[some])
-        a, w = acc[at].reshape(-1, PARTS), worth[at].reshape(-1, PARTS)
-        pair = a.sum(axis=1, keepdims=True, dtype=np.uint64) - np.stack([a[:, c].sum(axis=1, dtype=np.uint64) for c in _LEFT_OUT], axis=1)
-        w = w.sum(axis=1, keepdims=True) - np.stack([w[:, c].sum(axis=1) for c in _LEFT_OUT], axis=1)
-        owner = np.repeat(np.arange(len(some)), n1[some])
-        first = np.cumsum(n1[some]) - n1[some]
-        group = (np.arange(len(owner)) - first[owner]).astype(np.uint64)
-        least = w.min(axis=1)
-        ranked = least[np.lexsort((-least, owner))]
-        bar = ranked[first + k[some] // (DIFFER + 1)]
-        keep = w >= bar[owner][:, None]
-        tag = mix((group << np.uint64(20)) + inst[some][owner].astype(np.uint64))[:, None] + np.arange(1, len(_LEFT_OUT) + 1, dtype=np.uint64)
-        sigs.append(mix(pair + mix(tag.ravel()).reshape(tag.shape))[keep])
-        rows.append(np.repeat(filled[some][owner][:, None], len(_LEFT_OUT), axis=1)[keep])
-    return np.concatenate(sigs), np.concatenate(rows)
-
-
-_MEMBER = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("set_id", T.LongType()), T.StructField("size", T.LongType()), T.StructField("parity", T.BinaryType()), T.StructField("piece", T.IntegerType()), T.StructField("counts", T.BinaryType())])
-_BLOB = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("hi", T.BinaryType()), T.StructField("lo", T.BinaryType()), T.StructField("at", T.BinaryType()), T.StructField("ids", T.BinaryType())])
-_PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("hub", T.BooleanType())])
-
-
-def _members(docs: DataFrame, n: int) -> DataFrame:
+        owner = np.repeat(np.arange(len(chosen)), parts)
+        place = np.arange(len(owner)) - base[owner]
+        sig = mix(content + mix((place.astype(np.uint64) << np.uint64(20)) + inst[owner].astype(np.uint64)))
+        rank = (np.minimum(worth, np.uint64((1 << 20) - 1)) << np.uint64(34)) | (sig >> np.uint64(30))
+        # in each owner the most informative first
+        order = np.argsort(~rank & np.uint64((1 << 54) - 1) | (owner.astype(np.uint64) << np.uint64(54)))
+        sig = (sig[order] & ~np.uint64(3)) | bands.kind[inst][owner].astype(np.uint64)
+        # what travels is the lower half; where two of a set's are the same there, it sends more
+        low = (owner.astype(np.uint64) << np.uint64(32)) | (sig & np.uint64(0xFFFFFFFF))
+        kept = np.sort(low[place < sent[owner]])
+        for o in np.unique(kept[1:][kept[1:] == kept[:-1]] >> np.uint64(32)).astype(np.int64).tolist():
+            own = low[base[o] : base[o] + parts[o]]
+            _, first = np.unique(own, return_index=True)
+            sent[o] = np.sort(first)[sent[o] - 1] + 1 if len(first) >= sent[o] else parts[o]
+        keep = place < sent[owner]
+        sigs.append(sig[keep])
+        owners.append(chosen[owner[keep]])
+    return np.concatenate(sigs), np.concatenate(owners)
+
+
+def _schema(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+_LONG, _INT, _BINARY = T.LongType(), T.IntegerType(), T.BinaryType()
+_MEMBER = _schema(doc_id=_LONG, set_id=_LONG, check=_LONG, size=_LONG, piece=_INT, counts=_BINARY)
+_BLOB = _schema(bucket=_INT, sigs=_BINARY, at=_BINARY, ids=_BINARY)
+_EDGE = _schema(a=_LONG, b=_LONG, met=_INT)
+
+
+def _members(docs: DataFrame, n: int, salt: int) -> DataFrame:
     """Set of each document, and each task's pieces of the frequency sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        sketch = np.zeros(1 << SKETCH_BITS, np.int32)
         for batch in batches:
             for whole in slices(batch.column(1)):
                 for s in _small(whole):
-                    sets = Sets(s, n)
+                    sets = Sets(s, n, salt)
                     some = np.flatnonzero(sets.size > 0)
-                    sketch += np.bincount((sets.mixed >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
+                    np.add.at(sketch, (sets.mixed >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
                     yield pa.RecordBatch.from_arrays(
                         [
                             batch.column(0).slice(s.first, s.rows).take(pa.array(some)),
-                            pa.array(sets.set_id[some]),
-                            pa.array(sets.size[some]),
-                            pa.array(parities(sets), pa.binary()).take(pa.array(some)),
+                            *(pa.array(x[some]) for x in (sets.set_id, sets.check, sets.size)),
                             pa.nulls(len(some), pa.int32()),
                             pa.nulls(len(some), pa.binary()),
                         ],
                         names=_MEMBER.names,
                     )
         if sketch.any():
-            none = pa.nulls(PIECES, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(PIECES, pa.binary()), pa.array(np.arange(PIECES, dtype=np.int32)), pa.array([zlib.compress(x.tobytes(), 1) for x in np.split(sketch, PIECES)], pa.binary())], names=_MEMBER.names)
+            none = [pa.nulls(PIECES, pa.int64())] * 4
+            pieces = pa.array([zlib.compress(x.tobytes(), 1) for x in np.split(sketch, PIECES)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*none, pa.array(np.arange(PIECES, dtype=np.int32)), pieces], names=_MEMBER.names)
 
     return docs.mapInArrow(run, _MEMBER)
 
 
 def _sketch(seen: DataFrame) -> np.ndarray:
     """The tasks' sketches added up, piece by piece on the executors."""
-    schema = T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("counts", T.BinaryType())])
+    schema = _schema(piece=_INT, counts=_BINARY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for piece, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = np.frombuffer(zlib.decompress(raw), np.int64)
+            for piece, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                x = np.frombuffer(zlib.decompress(raw.as_buffer()), np.int32).astype(np.int64)
                 sums[piece] = sums[piece] + x if piece in sums else x
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], names=schema.names)
 
@@ -310,58 +312,90 @@ def _sketch(seen: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def _blobs(docs: DataFrame, n: int, bands: Bands, info: np.ndarray, buckets: int) -> DataFrame:
-    """Signatures packed by bucket: 40 bits each, with a number into the sets' ids."""
-    shared = docs.sparkSession.sparkContext.broadcast(info)
+#: Bits by which a set goes in the search for candidates, 40 at most (cost only).
+SHORT_BITS = 40
+
+
+def _pack(sig: np.ndarray, sid: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Signatures by bucket, 32 bits each, sorted and as differences, byte by byte.
+    Sets: 40 bits each, or a number into their list where that is shorter."""
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=1)
+    bucket = (sig >> np.uint64(32)) % np.uint64(buckets)
+    order = np.argsort((bucket << np.uint64(32)) | (sig & np.uint64(0xFFFFFFFF)))
+    bucket, sig, sid = bucket[order], sig[order].astype(np.uint32), sid[order]
+    cut = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+    out: list[list] = [[], [], [], []]
+    for b in np.flatnonzero(np.diff(cut)).tolist():
+        x, y = sig[cut[b] : cut[b + 1]], sid[cut[b] : cut[b + 1]]
+        own, at = np.unique(y, return_inverse=True)
+        if len(own) <= 65536 and 5 * len(own) + 2 * len(y) < 5 * len(y):
+            number = at.astype(np.uint16).tobytes()
+        else:
+            own, number = y, b""
+        step = np.diff(x, prepend=np.uint32(0))
+        planes = np.ascontiguousarray(step.view(np.uint8).reshape(-1, 4).T)
+        wide = np.ascontiguousarray(own.view(np.uint8).reshape(-1, 8)[:, :5])
+        for c, v in zip(out, (b, press.compress(planes.tobytes()), number, wide.tobytes())):
+            c.append(v)
+    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], names=_BLOB.names)
+
+
+def _unpack(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    import zstandard
 
-    def flush(sigs: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
-        sig, sid = np.concatenate(sigs), np.concatenate(ids)
-        bucket = (sig >> np.uint64(48)) % np.uint64(buckets)
-        order = np.argsort(bucket, kind="stable")
-        sig, sid = sig[order], sid[order]
-        cut = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-        out: list[list] = [[], [], [], [], []]
-        for b in np.flatnonzero(np.diff(cut)).tolist():
-            x, y = sig[cut[b] : cut[b + 1]], sid[cut[b] : cut[b + 1]]
-            own, at = np.unique(y, return_inverse=True)
-            for c, v in zip(out, (b, (x >> np.uint64(16)).astype(np.uint32).tobytes(), (x >> np.uint64(8)).astype(np.uint8).tobytes(), at.astype(np.uint32 if len(own) > 65536 else np.uint16).tobytes(), own.tobytes())):
-                c.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], names=_BLOB.names)
+    open_ = zstandard.ZstdDecompressor()
+    for sigs, at, ids in zip(*(batch.column(c) for c in ("sigs", "at", "ids"))):
+        planes = np.frombuffer(open_.decompress(sigs.as_buffer()), np.uint8).reshape(4, -1)
+        x = np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.uint32)
+        wide = np.frombuffer(ids.as_buffer(), np.uint8).reshape(-1, 5)
+        own = np.zeros((len(wide), 8), np.uint8)
+        own[:, :5] = wide
+        own = own.view(np.uint64).ravel()
+        i = np.frombuffer(at.as_buffer(), np.uint16)
+        yield x, own[i] if len(i) else own
+
+
+def _blobs(docs: DataFrame, n: int, salt: int, bands: Bands, info: np.ndarray, buckets: int) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(info)
+    cut = 64 - SHORT_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        info = shared.value
         sigs, ids, held = [], [], 0
+        seen: set[int] = set()  # the sets of this packing; copies send nothing
         for batch in batches:
             for whole in slices(batch.column(1)):
                 for s in _small(whole):
-                    sets = Sets(s, n)
-                    sig, row = signatures(sets, bands, info)
+                    sets = Sets(s, n, salt)
+                    _, first = np.unique(sets.set_id, return_index=True)
+                    new = np.array([i for i in first.tolist() if sets.size[i] and int(sets.set_id[i]) not in seen], np.int64)
+                    seen.update(sets.set_id[new].tolist())
+                    sig, row = signatures(sets, bands, shared.value, new)
                     sigs.append(sig)
-                    ids.append(sets.set_id[row])
+                    ids.append(sets.set_id[row].view(np.uint64) >> np.uint64(cut))
                     held += len(sig)
                     if held >= _FLUSH:
-                        yield flush(sigs, ids)
+                        yield _pack(np.concatenate(sigs), np.concatenate(ids), buckets)
                         sigs, ids, held = [], [], 0
+                        seen.clear()
         if held:
-            yield flush(sigs, ids)
+            yield _pack(np.concatenate(sigs), np.concatenate(ids), buckets)
 
     return docs.mapInArrow(run, _BLOB)
 
 
-def _unpack(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for hi, lo, at, ids in zip(*(batch.column(c) for c in ("hi", "lo", "at", "ids"))):
-        h = np.frombuffer(hi.as_buffer(), np.uint32).astype(np.uint64)
-        x = (h << np.uint64(8)) | np.frombuffer(lo.as_buffer(), np.uint8)
-        own = np.frombuffer(ids.as_buffer(), np.int64)
-        i = np.frombuffer(at.as_buffer(), np.uint16 if at.as_buffer().size == 2 * len(x) else np.uint32)
-        yield x, own[i]
-
-
-def _run_pairs(key: np.ndarray, ids: np.ndarray, chunk: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """Pairs of ids that share a key, some at a time: all of a small gathering,
-    those with the least id (True) of a larger one."""
-    order = np.lexsort((ids, key))
+def _run_pairs(key: np.ndarray, ids: np.ndarray, chunk: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of ids that share a key and what the meeting counts, some at a time: all
+    of a small gathering, those with the least id of a larger one, which count _MET."""
+    order = np.argsort(key, kind="stable")
     key, ids = key[order], ids[order]
+    if len(key):  # what stands alone goes first, the rest is sorted in full
+        edge = np.append(True, key[1:] != key[:-1])
+        shared = ~(edge & np.append(edge[1:], True))
+        key, ids = key[shared], ids[shared]
+        order = np.lexsort((ids, key))
+        key, ids = key[order], ids[order]
     if len(key):
         fresh = np.append(True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]))
         key, ids = key[fresh], ids[fresh]
@@ -371,8 +405,10 @@ def _run_pairs(key: np.ndarray, ids: np.ndarray, chunk: int = 1 << 20) -> Iterat
     rest = size[large] - 1
     hub = np.repeat(ids[start[large]], rest), ids[ragged_ranges(start[large] + 1, rest)]
     for at in range(0, len(hub[0]), chunk):
-        yield hub[0][at : at + chunk], hub[1][at : at + chunk], True
+        a, b = hub[0][at : at + chunk], hub[1][at : at + chunk]
+        yield a, b, np.full(len(a), _MET)
     start, size = start[~large & (size > 1)], size[~large & (size > 1)]
+    counts = (_MET // (np.array([c for _, c in SURPLUS]) + 1))[(key & np.uint32(3)).astype(np.int64)]
     # the i-th member of a run meets those after it
     first = ragged_ranges(start, size)
     after = np.repeat(start + size, size) - first - 1
@@ -381,45 +417,51 @@ def _run_pairs(key: np.ndarray, ids: np.ndarray, chunk: int = 1 << 20) -> Iterat
     while at < len(first):
         to = max(at + 1, int(np.searchsorted(todo, (todo[at - 1] if at else 0) + chunk, side="right")))
         n = after[at:to]
-        yield np.repeat(ids[first[at:to]], n), ids[ragged_ranges(first[at:to] + 1, n)], False
+        yield np.repeat(ids[first[at:to]], n), ids[ragged_ranges(first[at:to] + 1, n)], np.repeat(counts[first[at:to]], n)
         at = to
 
 
 def _candidates(blobs: DataFrame, width: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [x for batch in batches for x in _unpack(batch)]
-        if not got:
-            return
-        sig = np.concatenate([x for x, _ in got])
-        ids = np.concatenate([y for _, y in got])
-        del got
-        for a, b, hub in _run_pairs(sig, ids):
-            order = np.lexsort((b, a))
-            a, b = a[order], b[order]
-            fresh = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(a[fresh]), pa.array(b[fresh]), pa.array(np.full(int(fresh.sum()), hub))], names=_PAIR.names)
-
-    # the map side writes a bucket's blobs to one partition; 40 bits of each signature remain
-    return blobs.repartition(width, "bucket").mapInArrow(run, _PAIR)
-
+    """``(a, b, met)`` of sets that share a signature, by their short ids; a bucket is solved by itself."""
 
-def _sifted(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Candidates without the listed pairs that sizes and parities rule out."""
+    def solve(got: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for a, b, met in _run_pairs(np.concatenate([x for x, _ in got]), np.concatenate([y for _, y in got])):
+            order = np.lexsort((b, a))
+            a, b, met = a[order], b[order], met[order]
+            fresh = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, np.int64)
+            total = np.minimum(np.add.reduceat(met, fresh), _MET) if len(a) else met
+            yield pa.RecordBatch.from_arrays([pa.array(a[fresh].view(np.int64)), pa.array(b[fresh].view(np.int64)), pa.array(total.astype(np.int32))], names=_EDGE.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, bucket = [], None
         for batch in batches:
-            ok = may_be_similar(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_numpy(), batch.column(5).to_numpy(), threshold)
-            kept = batch.select([0, 1]).filter(pa.array(ok))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(np.zeros(len(kept), bool))], names=_PAIR.names)
-
-    one, two = (sets.select(F.col("set_id").alias(x), F.col("parity").alias(f"parity_{x}"), F.col("size").alias(f"size_{x}")) for x in "ab")
-    listed = pairs.filter("NOT hub").select("a", "b").join(one, "a").join(two, "b")
-    return listed.select("a", "b", "parity_a", "parity_b", "size_a", "size_b").mapInArrow(run, _PAIR).union(pairs.filter("hub"))
+            for i, b in enumerate(batch.column(0).to_pylist()):
+                if b != bucket and got:
+                    yield from solve(got)
+                    got = []
+                bucket = b
+                got += _unpack(batch.slice(i, 1))
+        if got:
+            yield from solve(got)
+
+    return blobs.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _EDGE)
+
+
+def _named(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(a, b)``: candidates with enough meetings, by their set ids. Sets that share
+    a short id are candidates as well."""
+    short = F.shiftrightunsigned("set_id", 64 - SHORT_BITS)
+    one, two = (sets.select(short.alias(f"short_{x}"), F.col("set_id").alias(f"set_{x}")) for x in "ab")
+    same = sets.groupBy(short.alias("a")).agg(F.count("*").alias("c")).filter("c > 1").select("a", F.col("a").alias("b"))
+    asked = met.groupBy("a", "b").agg(F.sum("met").alias("met")).filter(F.col("met") >= _MET).select("a", "b").unionByName(same)
+    # where a short id stands for several sets, each of them is a hub of what the id meets
+    joined = asked.join(one, F.col("a") == F.col("short_a")).join(two, F.col("b") == F.col("short_b"))
+    return joined.filter("set_a <> set_b AND (a <> b OR set_a < set_b)").select(F.col("set_a").alias("a"), F.col("set_b").alias("b"))
 
 
 def _compressed(docs: DataFrame) -> DataFrame:
     """``(doc_id, z)``: texts as zstandard frames, which are smaller than their features."""
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("z", T.BinaryType())])
+    schema = _schema(doc_id=_LONG, z=_BINARY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -431,19 +473,6 @@ def _compressed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _read_sets(frames: list[bytes], n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Set ids and sorted features of compressed texts."""
-    import zstandard
-
-    open_ = zstandard.ZstdDecompressor()
-    for at in range(0, len(frames), 256):
-        column = pa.array([open_.decompress(f) for f in frames[at : at + 256]], pa.large_binary())
-        for s in slices(column):
-            sets = Sets(s, n)
-            for i, a, b in zip(sets.set_id.tolist(), sets.bounds[:-1].tolist(), sets.bounds[1:].tolist()):
-                yield i, sets.feature[a:b]
-
-
 def overlaps(features: np.ndarray, bounds: np.ndarray, a: np.ndarray, b: np.ndarray, chunk: int = 1 << 20) -> np.ndarray:
     """Common features of set pairs (a[i], b[i]); features: sorted in each set."""
     _, code = np.unique(features, return_inverse=True)
@@ -467,8 +496,8 @@ def overlaps(features: np.ndarray, bounds: np.ndarray, a: np.ndarray, b: np.ndar
     return out
 
 
-def gathered(features: np.ndarray, bounds: np.ndarray, members: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs (i < j) among the members at or above the threshold, by blocks of products."""
+def gathered(features: np.ndarray, bounds: np.ndarray, members: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs among the members at or above the threshold, by blocks of products."""
     size = np.diff(bounds)[members]
     members, size = members[np.argsort(size, kind="stable")], np.sort(size)
     flat = features[ragged_ranges(bounds[members], size)]
@@ -497,97 +526,148 @@ def gathered(features: np.ndarray, bounds: np.ndarray, members: np.ndarray, thre
             p, q = np.nonzero(jaccard >= threshold - 1e-12)
             if i == j:
                 p, q = p[p < q], q[p < q]
-            yield members[i * step + p], members[j * step + q], jaccard[p, q]
+            yield members[i * step + p], members[j * step + q]
+
 
+_LINK = _schema(set_id=_LONG, links=_LONG, other=_LONG)
+#: Sets that hang together by hubs up to which their pairs are listed rather than found by products (cost only).
+_LISTED = 24
 
-_SIMILAR = T.StructType([*_PAIR.fields[:2], T.StructField("jaccard", T.DoubleType())])
 
+def _links(task: np.ndarray, left: np.ndarray, right: np.ndarray, ids: np.ndarray, weight: np.ndarray, features: np.ndarray, bounds: np.ndarray, hub_row: np.ndarray, hub: np.ndarray, hub_task: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(set ids, linked documents, another set of the group)`` of rows of whole cells.
 
-def _verify(pairs: DataFrame, reps: DataFrame, texts: DataFrame, n: int, threshold: float, width: int) -> DataFrame:
-    """Pairs at or above the threshold. Pairs and hubs meet at the least set within
-    two steps, so the sets of a group of similar ones are sent to one place, where
-    each gathering is still compared for itself. reps: ``(set_id, doc_id)``, a document of each set."""
-    edges = pairs.select("a", "b")
-    least = edges.union(edges.select("b", "a")).groupBy(F.col("a").alias("s")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    A row is a set in one cell of a task: on the left side, the right, or (in an
+    undivided task or block) both. hub_row, hub, hub_task: the hubs of each row, and
+    the task of each hub.
+    """
+    n = len(ids)
+    # rows of one cell that share a hub hang together; a cell is named by its first row
+    cell = np.cumsum(np.append(True, (task[1:] != task[:-1]).any(axis=1))) - 1
+    order = np.lexsort((hub_row, hub, cell[hub_row]))
+    r, h = hub_row[order], hub[order]
+    near = np.flatnonzero((h[1:] == h[:-1]) & (cell[r[1:]] == cell[r[:-1]]))
+    label = united(np.arange(n), r[near], r[near + 1])
+    by = np.argsort(label, kind="stable")
+    start = np.flatnonzero(np.append(True, label[by][1:] != label[by][:-1]))
+    size = np.diff(np.append(start, n))
+    few = (size > 1) & (size <= _LISTED)
+    members = ragged_ranges(start[few], size[few])
+    after = np.repeat(start[few] + size[few], size[few]) - members - 1
+    found = []
+    a, b = by[np.repeat(members, after)], by[ragged_ranges(members + 1, after)]
+    length = np.diff(bounds)
+    fits = np.minimum(length[a], length[b]) >= threshold * np.maximum(length[a], length[b]) - 1e-9
+    a, b = a[fits], b[fits]
+    common = overlaps(features, bounds, a, b)
+    ok = common / np.maximum(length[a] + length[b] - common, 1) >= threshold - 1e-12
+    found.append((a[ok], b[ok]))
+    for e in np.flatnonzero(size > _LISTED).tolist():
+        found += gathered(features, bounds, by[start[e] : start[e] + size[e]], threshold)
+    # hubs of each row, and whether all of them are of the row's own task
+    first = np.searchsorted(hub_row, np.arange(n + 1))
+    foreign = np.zeros(n, bool)
+    foreign[hub_row[hub_task != task[hub_row, 0]]] = True
+    links, group = np.zeros(n, np.int64), np.arange(n)
+    for a, b in found:
+        # in a pair of blocks, only pairs across them count
+        across = (left[a] & right[b]) | (left[b] & right[a])
+        a, b = a[across], b[across]
+        mine = np.ones(len(a), bool)
+        for i in np.flatnonzero(foreign[a] & foreign[b]).tolist():
+            x, y = slice(first[a[i]], first[a[i] + 1]), slice(first[b[i]], first[b[i] + 1])
+            both, p, _ = np.intersect1d(hub[x], hub[y], return_indices=True)
+            mine[i] = len(both) > 0 and hub_task[x][p[0]] == task[a[i], 0]
+        a, b = a[mine], b[mine]
+        np.add.at(links, a, weight[b])
+        np.add.at(links, b, weight[a])
+        group = united(group, a, b)
+    some = np.flatnonzero(links > 0)
+    yield ids[some], links[some], ids[group[some]]
+
+
+def _verify(edges: DataFrame, sets: DataFrame, texts: DataFrame, n: int, salt: int, threshold: float, width: int) -> DataFrame:
+    """``(set_id, links, other)``: rows of similar sets, from each task in which they are.
+
+    sets: ``(set_id, doc_id, size, n_docs)``, doc_id being one of its documents.
+    """
+    pairs = edges.select("a", "b")
+    hubs = pairs.select("a").distinct()
+    # hubs meet at the least set within two steps
+    least = pairs.union(pairs.select("b", "a")).groupBy(F.col("a").alias("s")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
     far = least.select(F.col("s").alias("m"), F.col("m").alias("task"))
-    placed = durable(pairs.join(least.join(far, "m"), F.col("a") == F.col("s")).select("task", "a", "b", "hub"))
-    wanted = placed.select("task", F.explode(F.array("a", "b")).alias("set_id")).distinct().join(reps, "set_id").groupBy("doc_id").agg(F.collect_set("task").alias("tasks"))
-    none = F.lit(None).cast("long")
-    shipped = _compressed(texts).join(wanted, "doc_id").select(F.explode("tasks").alias("task"), none.alias("a"), none.alias("b"), F.lit(False).alias("hub"), "z")
-    rows = shipped.unionByName(placed.withColumn("z", F.lit(None).cast("binary")))
+    placed = hubs.join(least, F.col("a") == F.col("s")).join(far, "m").select(F.col("a").alias("hub"), "task")
+    at = durable(pairs.select(F.col("a").alias("hub"), F.col("b").alias("set_id")).union(hubs.select("a", F.col("a").alias("set_id"))).join(placed, "hub"))
+    shown = at.select("task", "set_id").distinct().join(sets.select("set_id", "size"), "set_id")
+    loads = shown.groupBy("task").agg(F.ceil(F.sum("size") / TASK_FEATURES).cast("int").alias("blocks"))
+    # cells (task, i, j) with i <= j; a set of block x is on the left of (x, j) and on the right of (i, x)
+    x = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
+    cells = shown.join(loads, "task").withColumn("x", x).select(
+        "set_id", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda y: F.struct("task", F.least("x", y).alias("i"), F.greatest("x", y).alias("j"), (F.col("x") <= y).alias("left"), (F.col("x") >= y).alias("right")))).alias("cell")
+    )
+    own = at.groupBy("set_id").agg(F.collect_set(F.struct("hub", "task")).alias("hubs"))
+    wanted = cells.groupBy("set_id").agg(F.collect_list("cell").alias("cells")).join(own, "set_id").join(sets.select("set_id", "doc_id", "n_docs"), "set_id")
+    shipped = _compressed(texts).join(wanted, "doc_id")
+    rows = shipped.select(F.explode("cells").alias("cell"), "set_id", "n_docs", F.col("hubs.hub").alias("hub"), F.col("hubs.task").alias("hub_task"), "z").select("cell.*", "set_id", "n_docs", "hub", "hub_task", "z")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
-        got: list[list[np.ndarray]] = [[], [], []]
-        for batch in batches:
-            is_text = batch.column("z").is_valid()
-            known.update(_read_sets(batch.column("z").filter(is_text).to_pylist(), n))
-            other = pa.compute.invert(is_text)
-            for c, name in zip(got, ("a", "b", "hub")):
-                c.append(batch.column(name).filter(other).to_numpy(zero_copy_only=False))
-        if not known:
-            return
-        ids = np.array(sorted(known), dtype=np.int64)
-        size = np.array([len(known[i]) for i in ids.tolist()], dtype=np.int64)
-        bounds = np.concatenate([[0], np.cumsum(size)])
-        flat = np.concatenate([known[i] for i in ids.tolist()])
-        known.clear()
-        x, y, hub = (np.concatenate(c) for c in got)
-        hub = hub.astype(bool)
-        a, b = np.searchsorted(ids, x[~hub]), np.searchsorted(ids, y[~hub])
-        fits = np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - 1e-9
-        a, b = a[fits], b[fits]
-        common = overlaps(flat, bounds, a, b)
-        jaccard = common / np.maximum(size[a] + size[b] - common, 1)
-        ok = jaccard >= threshold - 1e-12
-        found = [(a[ok], b[ok], jaccard[ok])]
-        centre, member = np.searchsorted(ids, x[hub]), np.searchsorted(ids, y[hub])
-        order = np.argsort(centre, kind="stable")
-        centre, member = centre[order], member[order]
-        edges = np.flatnonzero(np.append(True, centre[1:] != centre[:-1])) if len(centre) else np.zeros(0, np.int64)
-        for e, f in zip(edges.tolist(), np.append(edges[1:], len(centre)).tolist()):
-            found += gathered(flat, bounds, np.append(centre[e], member[e:f]), threshold)
-        for a, b, jaccard in found:
-            yield pa.RecordBatch.from_arrays([pa.array(ids[np.minimum(a, b)]), pa.array(ids[np.maximum(a, b)]), pa.array(jaccard.astype(np.float64))], names=_SIMILAR.names)
-
-    return rows.repartition(width, "task").mapInArrow(run, _SIMILAR).dropDuplicates(["a", "b"])
-
-
-class Join:
-    """The parts of the join that its results are made of."""
-
-    def __init__(self, docs: DataFrame, n: int = N, threshold: float = THRESHOLD):
-        if n < 1 or not 0 < threshold <= 1:
-            raise ValueError("n is at least 1 and the threshold in (0, 1]")
-        width = shuffle_width(docs)
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-        seen = durable(_members(texts, n))
-        members = seen.filter("set_id IS NOT NULL").select("doc_id", "set_id", "size", "parity")
-        #: set_id, its documents in order, their number
-        self.sets = members.groupBy("set_id").agg(F.array_sort(F.collect_set("doc_id")).alias("doc_ids"), F.min("doc_id").alias("rep"))
-        total, largest = members.agg(F.count("*"), F.coalesce(F.max("size"), F.lit(1))).first()
-        info = information(_sketch(seen), total).astype(np.int16)  # of a fixed size, whatever the input
-        self.candidates = durable(_candidates(_blobs(texts, n, Bands(threshold, largest), info, 2 * width), width).distinct())
-        reps = durable(members.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("size").alias("size"), F.max("parity").alias("parity")))
-        self.candidates = durable(_sifted(self.candidates, reps, threshold))
-        reps = reps.select("set_id", "doc_id")
-        #: pairs of different sets
-        self.pairs = _verify(self.candidates, reps, texts, n, threshold, width)
+        import zstandard
 
+        open_ = zstandard.ZstdDecompressor()
+        parts: list[tuple] = []
+        load, last, kept = 0, None, None
 
-def similar_documents(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """Every pair of documents with Jaccard similarity >= threshold, in the form
-    ``(doc_ids_a, doc_ids_b, jaccard)``: each document of the one list pairs with
-    each of the other. A row of jaccard 1 holds one list twice: all documents
-    with the same features, two at least.
-    """
-    join = Join(docs, n, threshold)
-    a = join.sets.select(F.col("set_id").alias("a"), F.col("doc_ids").alias("list_a"))
-    b = join.sets.select(F.col("set_id").alias("b"), F.col("doc_ids").alias("list_b"))
-    swap = F.element_at("list_a", 1) > F.element_at("list_b", 1)
-    pairs = join.pairs.join(a, "a").join(b, "b").select(F.when(swap, F.col("list_b")).otherwise(F.col("list_a")).alias("doc_ids_a"), F.when(swap, F.col("list_a")).otherwise(F.col("list_b")).alias("doc_ids_b"), "jaccard")
-    copies = join.sets.filter(F.size("doc_ids") > 1).select(F.col("doc_ids").alias("doc_ids_a"), F.col("doc_ids").alias("doc_ids_b"), F.lit(1.0).alias("jaccard"))
-    return pairs.unionByName(copies)
+        def solve() -> Iterator[pa.RecordBatch]:
+            task, left, right, ids, weight, size, feature, count, hub, hub_task = (np.concatenate([p[c] for p in parts]) for c in range(10))
+            bounds = np.concatenate([[0], np.cumsum(size)])
+            for found in _links(task, left, right, ids, weight, feature, bounds, np.repeat(np.arange(len(ids)), count), hub, hub_task, threshold):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=_LINK.names)
+
+        for batch in batches:
+            for piece in range(0, len(batch), 256):
+                b = batch.slice(piece, 256)
+                task = np.stack([b.column(c).to_numpy().astype(np.int64) for c in range(3)], axis=1)
+                left, right = (b.column(c).to_numpy(zero_copy_only=False) for c in (3, 4))
+                ids, weight = b.column(5).to_numpy(), b.column(6).to_numpy()
+                frames = pa.array([open_.decompress(z.as_buffer()) for z in b.column(9)], pa.large_binary())
+                got = [Sets(s, n, salt) for whole in slices(frames) for s in _small(whole)]
+                of = np.concatenate([g.set_id for g in got])
+                size, feature = np.concatenate([g.size for g in got]), np.concatenate([g.feature for g in got])
+                bounds = np.concatenate([[0], np.cumsum(size)])
+                count = pa.compute.list_value_length(b.column(7)).to_numpy(zero_copy_only=False).astype(np.int64)
+                ends = np.cumsum(count)
+                hub, hub_task = (b.column(c).flatten().to_numpy() for c in (7, 8))
+                # rows of a doc_id with another text are none of ours, repeated rows are one
+                mine = np.flatnonzero(of == ids)
+                named = np.concatenate([task[mine], ids[mine, None]], axis=1)
+                again = np.zeros(len(mine), bool)
+                again[1:] = (named[1:] == named[:-1]).all(axis=1)
+                if len(mine):
+                    again[0] = kept is not None and (named[0] == kept).all()
+                    kept = named[-1]
+                fine = np.zeros(len(b), bool)
+                fine[mine[~again]] = True
+                # cells are cut apart where enough is held
+                edge = np.flatnonzero((task[1:] != task[:-1]).any(axis=1)) + 1
+                if last is not None and (task[0] != last).any():
+                    edge = np.append(0, edge)
+                begin = 0
+                for e in [*edge.tolist(), len(b)]:
+                    rows_ = np.arange(begin, e)
+                    rows_ = rows_[fine[rows_]]
+                    if len(rows_):
+                        sel, hubs_ = ragged_ranges(bounds[rows_], size[rows_]), ragged_ranges(ends[rows_] - count[rows_], count[rows_])
+                        parts.append((task[rows_], left[rows_], right[rows_], ids[rows_], weight[rows_], size[rows_], feature[sel], count[rows_], hub[hubs_], hub_task[hubs_]))
+                        load += len(sel)
+                    if e < len(b) and load >= BATCH_FEATURES:
+                        yield from solve()
+                        parts, load = [], 0
+                    begin = e
+                last = task[-1]
+        if parts:
+            yield from solve()
+
+    return rows.repartition(width, "task", "i", "j").sortWithinPartitions("task", "i", "j", "set_id").mapInArrow(run, _LINK)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -608,13 +688,75 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
+def _grouped(texts: DataFrame, n: int, salt: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What ``_members`` says; ``(set_id, doc_id)``; and the sets."""
+    seen = durable(_members(texts, n, salt))
+    members = seen.filter("set_id IS NOT NULL").groupBy("set_id", "doc_id").agg(F.max("size").alias("size"), F.min("check").alias("low"), F.max("check").alias("high"))
+    sets = members.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_docs"), F.max("size").alias("size"), (F.min("low") != F.max("high")).alias("mixed"))
+    return seen, members.select("set_id", "doc_id"), durable(sets)
+
+
+def similar_documents(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """``(doc_id, class_id, links)``, one row a document: how many other documents have a
+    Jaccard similarity >= threshold with it, copies among them, and the least doc_id
+    of those that it hangs together with by such links (its own where there are none).
+    """
+    if n < 1 or not 0 < threshold <= 1:
+        raise ValueError("n is at least 1 and the threshold in (0, 1]")
+    width = shuffle_width(docs)
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
+    texts = named.filter("text IS NOT NULL")
+    for salt in range(8):
+        seen, members, sets = _grouped(texts, n, salt)
+        if sets.filter("mixed").isEmpty():
+            break
+    total, largest = sets.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.max("size"), F.lit(1))).first()
+    info = information(_sketch(seen), total).astype(np.int16)  # of a fixed size, whatever the input
+    met = _candidates(_blobs(texts, n, salt, Bands(threshold, largest), info, width), width)
+    edges = durable(_named(met, sets))
+    found = durable(_verify(edges, sets.select("set_id", "doc_id", "size", "n_docs"), texts, n, salt, threshold, width))
+    # a class hangs together by similar sets, and by documents that have several texts
+    first = sets.select("set_id", F.col("doc_id").alias("first"))
+    ties = found.select("set_id", "other").filter("set_id <> other").distinct().join(first.withColumnRenamed("first", "x"), "set_id").join(first.select(F.col("set_id").alias("other"), F.col("first").alias("y")), "other").select("x", "y")
+    several = members.groupBy("doc_id").agg(F.count("*").alias("c"), F.collect_set("set_id").alias("sets")).filter("c > 1").select("doc_id", F.explode("sets").alias("set_id")).join(first, "set_id").select(F.col("doc_id").alias("x"), F.col("first").alias("y"))
+    roots = components(ties.union(several).filter("x <> y"))
+    linked = found.groupBy("set_id").agg(F.sum("links").alias("links"))
+    about = sets.filter("n_docs > 1").select("set_id").union(linked.select("set_id")).union(sets.join(roots, F.col("doc_id") == F.col("node")).select("set_id")).distinct()
+    known = about.join(sets.select("set_id", "doc_id", "n_docs"), "set_id").join(linked, "set_id", "left").join(roots, F.col("doc_id") == F.col("node"), "left")
+    known = known.select("set_id", F.coalesce("root", "doc_id").alias("class"), (F.col("n_docs") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    rows = members.join(known, "set_id").groupBy("doc_id").agg(F.min("class").alias("class"), F.sum("links").alias("links"))
+    return named.select("doc_id").distinct().join(rows, "doc_id", "left").select("doc_id", F.coalesce("class", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """``(doc_id, keeper)`` of every document that goes when one of each group
-    stays: groups are connected by similar pairs, the least doc_id stays."""
-    join = Join(docs, n, threshold)
-    rep = join.sets.select("set_id", "rep")
-    edges = join.pairs.join(rep.select(F.col("set_id").alias("a"), F.col("rep").alias("x")), "a").join(rep.select(F.col("set_id").alias("b"), F.col("rep").alias("y")), "b").select("x", "y")
-    roots = components(edges)
-    owned = join.sets.select("rep", F.explode("doc_ids").alias("doc_id"))
-    found = owned.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("keeper"))
-    return found.filter("doc_id <> keeper").groupBy("doc_id").agg(F.min("keeper").alias("keeper"))
+    """``(doc_id, keeper)`` of every document that goes when one of each class
+    stays: the least doc_id does."""
+    return similar_documents(docs, n, threshold).filter("doc_id <> class_id").select("doc_id", F.col("class_id").alias("keeper"))
+
+
+ORACLE_SQL = rf"""
+WITH RECURSIVE t AS (
+  SELECT DISTINCT doc_id, list_transform(list_filter(string_split_regex(text, '[ \t\n\r\x0b\x0c]+'), lambda x: x <> ''), lambda x: CASE WHEN trim(x, m.marks) = '' THEN lower(x) ELSE trim(lower(x), m.marks) END) AS w
+  FROM documents, (SELECT '!"#$%&''()*+,-./:;<=>?@[\]^_`{{|}}~¡§«¶·»¿' || array_to_string(list_transform(range(8208, 8255), lambda c: chr(c::INTEGER)), '') || array_to_string(list_transform(range(12289, 12306), lambda c: chr(c::INTEGER)), '') AS marks) m
+  WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), f AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < {N} THEN array_to_string(w, ' ') ELSE array_to_string(w[p : p + {N - 1}], ' ') END AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {N - 1}, 1) + 1)) AS p FROM t WHERE len(w) > 0)
+), s AS (
+  SELECT doc_id, count(*) AS n FROM f GROUP BY doc_id
+), c AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM f a JOIN f b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), e AS (
+  SELECT x, y FROM c JOIN s p ON p.doc_id = x JOIN s q ON q.doc_id = y WHERE c.n >= {THRESHOLD} * (p.n + q.n - c.n) - 1e-9
+), u AS (
+  SELECT x, y FROM e UNION ALL SELECT y, x FROM e
+), r AS (
+  SELECT x AS doc_id, x AS root FROM u UNION SELECT u.y, r.root FROM r JOIN u ON u.x = r.doc_id WHERE r.root < u.y
+), k AS (
+  SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id
+), l AS (
+  SELECT x AS doc_id, count(*) AS links FROM u GROUP BY x
+)
+SELECT d.doc_id, coalesce(k.root, d.doc_id) AS class_id, coalesce(l.links, 0) AS links
+FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOIN k USING (doc_id) LEFT JOIN l USING (doc_id)
+"""

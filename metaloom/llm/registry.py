@@ -69,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_repeated_spans": sadedup.ORACLE_SQL, "op8_top_k": topk.ORACLE_SQL, "op10_near_duplicates": egojoin.ORACLE_SQL}
+    return {"op5_repeated_spans": sadedup.ORACLE_SQL, "op8_top_k": topk.ORACLE_SQL, "op9_ngram_join": partenum.ORACLE_SQL, "op10_near_duplicates": egojoin.ORACLE_SQL}

@@ -34,54 +34,103 @@ def features(text, n):
 
 
 def brute(rows, n, threshold):
-    sets = {d: features(t, n) for d, t in rows if d is not None}
-    out = {}
-    for a, b in combinations(sorted(sets), 2):
-        x, y = sets[a], sets[b]
-        if x and y and len(x & y) / len(x | y) >= threshold - 1e-12:
-            out[a, b] = len(x & y) / len(x | y)
+    """doc_id: (class_id, links) by comparing all pairs of texts."""
+    sets = [(d, features(t, n)) for d, t in dict.fromkeys(rows) if d is not None]
+    links, root = {d: 0 for d, _ in sets}, {d: d for d, _ in sets}
+
+    def top(d):
+        return d if root[d] == d else top(root[d])
+
+    for (a, x), (b, y) in combinations(sets, 2):
+        if a != b and x and y and len(x & y) / len(x | y) >= threshold - 1e-12:
+            links[a] += 1
+            links[b] += 1
+            p, q = top(a), top(b)
+            root[max(p, q)] = min(p, q)
+    return {d: (top(d), links[d]) for d in links}
+
+
+def found(df, n=partenum.N, threshold=partenum.THRESHOLD):
+    got = partenum.similar_documents(df, n, threshold).collect()
+    out = {r.doc_id: (r.class_id, r.links) for r in got}
+    assert len(out) == len(got)
     return out
 
 
-def expand(df):
-    out = {}
-    for r in df.collect():
-        for a in r.doc_ids_a:
-            for b in r.doc_ids_b:
-                if a != b:
-                    out[min(a, b), max(a, b)] = r.jaccard
-    return out
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "doc_id bigint, text string")
 
 
-@pytest.mark.parametrize("n,threshold,seed", [(1, 0.82, 1), (2, 0.6, 2), (3, 0.5, 3), (1, 1.0, 4)])
+@pytest.mark.parametrize("n,threshold,seed", [(1, 0.8, 1), (2, 0.6, 2), (3, 0.6, 3), (3, 0.5, 6), (3, 1.0, 4)])
 def test_all_pairs(spark, n, threshold, seed):
     rows = corpus(seed)
-    got = expand(partenum.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), n, threshold))
-    want = brute(rows, n, threshold)
-    assert got.keys() == want.keys()
-    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    got = found(frame(spark, rows), n, threshold)
+    assert got == brute(rows, n, threshold) and any(links for _, links in got.values())
 
 
-def test_many_variants_meet_at_hubs(spark):
+@pytest.mark.parametrize("features_a_task,together", [(partenum.TASK_FEATURES, partenum._LISTED), (1500, 3), (400, 24)])
+def test_many_variants_meet_at_hubs(spark, monkeypatch, features_a_task, together):
+    """Also where a task is cut into blocks, and where products take the place of lists."""
+    monkeypatch.setattr(partenum, "TASK_FEATURES", features_a_task)
+    monkeypatch.setattr(partenum, "_LISTED", together)
+    monkeypatch.setattr(partenum, "GATHERING", 4)
     rng = random.Random(5)
-    base = [f"v{i}" for i in range(80)]
     rows = []
-    for i in range(60):
-        words = list(base)
-        for _ in range(rng.randint(0, 8)):
-            words[rng.randrange(80)] = f"x{rng.randrange(500)}"
-        rows.append((i, " ".join(words)))
-    got = expand(partenum.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")))
-    assert got.keys() == brute(rows, 1, partenum.THRESHOLD).keys()
+    for base in range(3):
+        for i in range(50):
+            words = [f"v{base}_{j}" for j in range(80)]
+            for _ in range(rng.randint(0, 14)):
+                words[rng.randrange(80)] = f"x{rng.randrange(500)}"
+            rows.append((base * 100 + i, " ".join(words)))
+    rows += [(400 + i, rows[i][1]) for i in range(20)]  # copies
+    assert found(frame(spark, rows)) == brute(rows, partenum.N, partenum.THRESHOLD)
+
+
+def test_short_ids_that_meet_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(partenum, "SHORT_BITS", 6)
+    rows = corpus(8)
+    assert found(frame(spark, rows)) == brute(rows, partenum.N, partenum.THRESHOLD)
+
+
+def test_packed_signatures_come_back():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for sets in (3, 5000):
+        sig, ids = rng.integers(0, 1 << 63, 6000).astype(np.uint64), rng.integers(0, 1 << 40, sets).astype(np.uint64)[rng.integers(0, sets, 6000)]
+        batch = partenum._pack(sig, ids, 7)
+        got = [(b, int(x), int(y)) for i, b in enumerate(batch.column(0).to_pylist()) for s, t in partenum._unpack(batch.slice(i, 1)) for x, y in zip(s, t)]
+        assert sorted(got) == sorted(((int(s) >> 32) % 7, int(s) & 0xFFFFFFFF, int(i)) for s, i in zip(sig, ids))
 
 
 def test_nulls_empties_copies_and_extra_columns(spark):
     long = " ".join(f"a{i}" for i in range(30_000))
-    rows = [(1, "x y z", 0.5), (2, "x y z", None), (2, "x y z", None), (3, None, 1.0), (4, "", 1.0), (5, " \n\t", 1.0), (None, "x y z", 1.0), (6, "z y x", 1.0), (7, long, 1.0), (8, long + " tail", 1.0)]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string, jaccard double").withColumnsRenamed({}).selectExpr("*", "1 AS set_id", "2 AS task")
-    assert set(expand(partenum.similar_documents(df))) == {(1, 2), (1, 6), (2, 6), (7, 8)}
+    rows = [(1, "x y z", 0.5), (2, "x y z", None), (2, "x y z", None), (3, None, 1.0), (4, "", 1.0), (5, " \n\t", 1.0), (None, "x y z", 1.0), (6, "z y x", 1.0), (7, long, 1.0), (8, long + " tail", 1.0), (9, "x y", 0.0), (10, "x y", 0.0)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, links double").selectExpr("*", "1 AS set_id", "2 AS task", "3 AS class_id", "4 AS doc")
+    want = {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 0), 5: (5, 0), 6: (6, 0), 7: (7, 1), 8: (7, 1), 9: (9, 1), 10: (9, 1)}
+    assert found(df) == want
     gone = {r.doc_id: r.keeper for r in partenum.duplicates(df).collect()}
-    assert gone == {2: 1, 6: 1, 8: 7}
+    assert gone == {2: 1, 8: 7, 10: 9}
+
+
+def test_repeated_rows_and_a_document_with_two_texts(spark):
+    one, two = (" ".join(f"{x}{i}" for i in range(40)) for x in "pq")
+    rows = [(5, one), (5, one), (3, one + " end"), (3, one + " end"), (5, two), (9, two + " end"), (9, two + " end"), (11, two)]
+    assert found(frame(spark, rows)) == {5: (3, 3), 3: (3, 1), 9: (3, 2), 11: (3, 2)}
+
+
+def test_pairs_at_the_threshold_are_links(spark):
+    a, b = "a b c d e f g h".split(), "a b c d e f x y z w".split()
+    rows = [(1, " ".join(a)), (2, " ".join(b))]  # words: 6 of 12
+    assert found(frame(spark, rows), 1, 0.5) == {1: (1, 1), 2: (1, 1)}
+    assert found(frame(spark, rows), 1, 0.51) == {1: (1, 0), 2: (2, 0)}
+
+
+def test_words_that_only_a_weak_hash_confuses_are_no_copies(spark):
+    morse = ["ab"[bin(i).count("1") & 1] for i in range(2048)]
+    x, y = "".join(morse), "".join("ba"[c == "b"] for c in morse)
+    rows = [(1, x), (2, y), (3, x + " the end of it"), (4, y + " the end of it")]
+    assert all(links == 0 for _, links in found(frame(spark, rows)).values())
 
 
 def test_empty_table(spark):
@@ -90,6 +139,17 @@ def test_empty_table(spark):
     assert partenum.duplicates(df).collect() == []
 
 
+def test_sql_says_the_same(spark, tmp_path):
+    import duckdb
+
+    rows = corpus(9) + [(500, None), (501, ""), (502, "!!! ???"), (503, "??? !!!"), (504, "„Wort eins, zwei…“"), (505, "wort EINS (zwei)")]
+    frame(spark, rows).write.parquet(f"{tmp_path}/d")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    want = {d: (c, n) for d, c, n in con.execute(partenum.ORACLE_SQL).fetchall()}
+    assert found(spark.read.parquet(f"{tmp_path}/d")) == want and want[505] == (504, 1)
+
+
 def test_groups_follow_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (90, 95)], "x bigint, y bigint")
     roots = {r.node: r.root for r in partenum.components(edges).collect()}
@@ -99,11 +159,11 @@ def test_groups_follow_chains(spark):
 def test_case_and_edge_punctuation_are_no_other_words(spark):
     plain = [f"wort{i} über{i}" for i in range(10)]
     edited = [f"„Wort{i}, (ÜBER{i})…" for i in range(10)]
-    rows = [(1, " ".join(plain)), (2, " ".join(edited)), (3, "!!! ???"), (4, "??? !!!"), (5, "wort0 wort-1")]
-    assert expand(partenum.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string"))) == {(1, 2): 1.0, (3, 4): 1.0}
+    rows = [(1, " ".join(plain)), (2, " ".join(edited)), (3, "!!! ???"), (4, "!!! ???"), (5, "wort0 wort-1")]
+    assert found(frame(spark, rows)) == {1: (1, 1), 2: (1, 1), 3: (3, 1), 4: (3, 1), 5: (5, 0)}
 
 
-def test_a_copy_with_three_edited_words_of_thirty_is_found(spark):
-    words = [f"w{i}" for i in range(30)]
-    rows = [(1, " ".join(words)), (2, " ".join(words[:27] + [f"x{i}" for i in range(3)]))]
-    assert set(expand(partenum.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")))) == {(1, 2)}
+def test_a_copy_with_two_edited_words_of_forty_is_found(spark):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:12], "x", *words[13:30], "y", *words[31:]]))]
+    assert found(frame(spark, rows)) == {1: (1, 1), 2: (1, 1)}
