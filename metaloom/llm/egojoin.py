@@ -10,10 +10,12 @@ are compared again, and short intervals are compared by partial distances on the
 leading axes first. What passes is computed in double precision from the vectors
 themselves, so the join is exact.
 
-Equal vectors are one with a list of ids, so copies cost nothing in the join.
+Equal vectors are one with a number of ids, so copies cost nothing in the join. Each
+pair of intervals returns, for every vector, how many ids it is linked with there and
+one vector that it hangs together with: pairs are never written.
 
-Definitions: those of ``vectors``; the radius belongs to the join; an empty
-table gives an empty result.
+Definitions: those of ``vectors``; vectors exactly at the radius are linked; a class
+is named by its least id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from metaloom.llm.bytesvec import united
 from metaloom.llm.durable import durable, shuffle_width
+from metaloom.llm.partenum import components
 from metaloom.llm.vectors import BLOCK_ROWS, blocks, matrix, rotation, unpack, usable
 
 #: Radius: cosine similarity of 0.955 for unit vectors.
@@ -34,9 +38,9 @@ RADIUS = 0.3
 #: Leading axes with cells and boxes, leading axes of partial distances, rows of a short interval (cost only).
 GRID_AXES, PARTIAL_AXES, SHORT = 8, 16, 512
 
-_GRID = T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.ArrayType(T.FloatType())), T.StructField("cell", T.ArrayType(T.LongType()))])
+_GRID = T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.ArrayType(T.FloatType())), T.StructField("weight", T.LongType()), T.StructField("cell", T.ArrayType(T.LongType()))])
 _BOX = T.StructType([T.StructField("block", T.LongType()), T.StructField("low", T.ArrayType(T.DoubleType())), T.StructField("high", T.ArrayType(T.DoubleType()))])
-_PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("distance", T.DoubleType())])
+_LINK = T.StructType([T.StructField("id", T.LongType()), T.StructField("links", T.LongType()), T.StructField("other", T.LongType())])
 
 
 class Interval:
@@ -89,21 +93,35 @@ def join(a: Interval, b: Interval, radius: float, same: bool) -> Iterator[tuple[
         yield a.ids[m[ok]], b.ids[n[ok]], d[ok]
 
 
+def linked(a: Interval, b: Interval, radius: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of two intervals' linked vectors, the weight that each is linked with, and
+    another of its group. The intervals' ids are ``(id, weight)``."""
+    rows = a.ids if same else np.concatenate([a.ids, b.ids])
+    rows = rows[np.argsort(rows[:, 0])]
+    links, label = np.zeros(len(rows), np.int64), np.arange(len(rows))
+    for p, q, _ in join(a, b, radius, same):
+        x, y = np.searchsorted(rows[:, 0], p[:, 0]), np.searchsorted(rows[:, 0], q[:, 0])
+        np.add.at(links, x, q[:, 1])
+        np.add.at(links, y, p[:, 1])
+        label = united(label, x, y)
+    some = np.flatnonzero(links)
+    return rows[some, 0], links[some], rows[label[some], 0]
+
+
 def near_duplicates(rows: DataFrame, radius: float = RADIUS, key: str = "vec_id", vector: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Every pair of vectors at most ``radius`` apart, in the form
-    ``(vec_ids_a, vec_ids_b, distance)``: each id of the one list pairs with each
-    of the other. A row of distance 0 that holds one list twice has the ids, two
-    at least, of equal vectors.
+    """``(vec_id, class_id, links)``, one row an id: how many other ids have a vector at
+    most ``radius`` away, copies among them, and the least id of those that it hangs
+    together with by such links (its own where there are none).
     """
     if radius <= 0:
         raise ValueError("the radius is positive")
-    spark = rows.sparkSession
     # negative zeros become zeros and vectors get one length, so equal vectors are equal arrays
     found = usable(rows, key, vector)
     count, dim = found.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     dim = max(dim, 1)
     padded = F.transform(F.concat("v", F.array_repeat(F.lit(0.0).cast("float"), F.lit(dim) - F.size("v"))), lambda x: x + F.lit(0.0).cast("float"))
-    groups = durable(found.groupBy(padded.alias("v")).agg(F.array_sort(F.collect_list("id")).alias("vec_ids"), F.min("id").alias("id")))
+    same = durable(found.select("id", padded.alias("v")))
+    groups = durable(same.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("weight")))
     axes = rotation(groups, dim, centred=True)
     lead = min(GRID_AXES, dim)
 
@@ -112,15 +130,19 @@ def near_duplicates(rows: DataFrame, radius: float = RADIUS, key: str = "vec_id"
             t = matrix(batch.column(1), dim).astype(np.float64) @ axes[:, :lead]
             cell = np.floor(np.clip(t / radius, -1e15, 1e15)).astype(np.int64)
             offs = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * lead)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offs, pa.array(cell.ravel()))], names=_GRID.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.ListArray.from_arrays(offs, pa.array(cell.ravel()))], names=_GRID.names)
+
+    ordered = groups.select("id", "v", "weight").mapInArrow(grid, _GRID)
+    packed = blocks(ordered, [F.asc("cell"), F.asc("id")], count, dim, block_rows, weighted=True)
 
-    ordered = groups.select("id", "v").mapInArrow(grid, _GRID)
-    packed = blocks(ordered, [F.asc("cell"), F.asc("id")], count, dim, block_rows)
+    def opened(ids: pa.Scalar, data: pa.Scalar) -> Interval:
+        i, x = unpack(ids, data, dim)
+        return interval(i.reshape(-1, 2), x, axes)
 
     def box(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, i, x in zip(*(batch.column(c) for c in (0, 2, 3))):
-                b = interval(*unpack(i, x, dim), axes)
+                b = opened(i, x)
                 yield pa.RecordBatch.from_arrays([pa.array([k.as_py()]), pa.array([b.low.tolist()], pa.list_(pa.float64())), pa.array([b.high.tolist()], pa.list_(pa.float64()))], names=_BOX.names)
 
     boxes = durable(packed.mapInArrow(box, _BOX))
@@ -139,25 +161,33 @@ def near_duplicates(rows: DataFrame, radius: float = RADIUS, key: str = "vec_id"
         own, first = None, None
         for batch in batches:
             for k, other, i, x in zip(*(batch.column(c) for c in range(4))):
-                b = interval(*unpack(i, x, dim), axes)
+                b = opened(i, x)
                 if k.as_py() != own:
                     own, first = k.as_py(), b
-                for p, q, d in join(first, b, radius, other.as_py() == own):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(d)], names=_PAIR.names)
+                got = linked(first, b, radius, other.as_py() == own)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=_LINK.names)
 
     width = max(shuffle_width(rows), -(-count // block_rows))
-    near = tasks.repartition(width, "i").sortWithinPartitions("i", "block").mapInArrow(run, _PAIR)
-    lists = groups.select("id", "vec_ids")
-    out = near.join(lists.select(F.col("id").alias("a"), F.col("vec_ids").alias("vec_ids_a")), "a").join(lists.select(F.col("id").alias("b"), F.col("vec_ids").alias("vec_ids_b")), "b")
-    copies = groups.filter(F.size("vec_ids") > 1).select(F.col("vec_ids").alias("vec_ids_a"), F.col("vec_ids").alias("vec_ids_b"), F.lit(0.0).alias("distance"))
-    return out.select("vec_ids_a", "vec_ids_b", F.round("distance", 6).alias("distance")).unionByName(copies)
+    near = durable(tasks.repartition(width, "i").sortWithinPartitions("i", "block").mapInArrow(run, _LINK))
+    roots = components(near.select(F.col("id").alias("x"), F.col("other").alias("y")).filter("x <> y").distinct())
+    links = near.groupBy(F.col("id").alias("node")).agg(F.sum("links").alias("links")).join(roots, "node", "left")
+    known = groups.join(links, F.col("id") == F.col("node"), "left").select("v", F.coalesce("root", "id").alias("class_id"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    return same.join(known, "v").select(F.col("id").alias("vec_id"), "class_id", "links")
 
 
 ORACLE_SQL = f"""
-WITH v AS (
-  SELECT e, list_sort(list(vec_id)) AS ids FROM (SELECT vec_id, max(embedding) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL GROUP BY vec_id) GROUP BY e
+WITH RECURSIVE v AS (
+  SELECT vec_id, max(embedding) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL GROUP BY vec_id
+), p AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id < b.vec_id AND list_distance(a.e::DOUBLE[], b.e::DOUBLE[]) <= {RADIUS}
+), u AS (
+  SELECT x, y FROM p UNION ALL SELECT y, x FROM p
+), r AS (
+  SELECT x AS vec_id, x AS root FROM u UNION SELECT u.y, r.root FROM r JOIN u ON u.x = r.vec_id WHERE r.root < u.y
+), k AS (
+  SELECT vec_id, min(root) AS root FROM r GROUP BY vec_id
+), l AS (
+  SELECT x AS vec_id, count(*) AS links FROM u GROUP BY x
 )
-SELECT a.ids AS vec_ids_a, b.ids AS vec_ids_b, round(list_distance(a.e::DOUBLE[], b.e::DOUBLE[]), 6) AS distance
-FROM v a JOIN v b ON a.ids[1] < b.ids[1] AND list_distance(a.e::DOUBLE[], b.e::DOUBLE[]) <= {RADIUS}
-UNION ALL SELECT ids, ids, 0.0::DOUBLE FROM v WHERE len(ids) > 1
+SELECT v.vec_id, coalesce(k.root, v.vec_id) AS class_id, coalesce(l.links, 0) AS links FROM v LEFT JOIN k USING (vec_id) LEFT JOIN l USING (vec_id)
 """

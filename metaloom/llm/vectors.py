@@ -81,8 +81,9 @@ def rotation(vectors: DataFrame, dim: int, centred: bool) -> np.ndarray:
     return np.ascontiguousarray(axes[:, ::-1])
 
 
-def blocks(vectors: DataFrame, order: list[Column], count: int, dim: int, rows: int = BLOCK_ROWS) -> DataFrame:
-    """Rows in the given order, packed; blocks are numbered in that order."""
+def blocks(vectors: DataFrame, order: list[Column], count: int, dim: int, rows: int = BLOCK_ROWS, weighted: bool = False) -> DataFrame:
+    """Rows in the given order, packed; blocks are numbered in that order. weighted:
+    each id is followed by the row's ``weight``."""
     width = max(1, -(-count // rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,6 +101,8 @@ def blocks(vectors: DataFrame, order: list[Column], count: int, dim: int, rows:
 
         for batch in batches:
             i, x = batch.column(0).to_numpy(), matrix(batch.column(1), dim)
+            if weighted:
+                i = np.stack([i, batch.column(2).to_numpy()], axis=1)
             while len(i):
                 room = rows - sum(map(len, ids))
                 ids.append(i[:room])
@@ -110,7 +113,7 @@ def blocks(vectors: DataFrame, order: list[Column], count: int, dim: int, rows:
         if ids:
             yield flush()
 
-    ordered = vectors.repartitionByRange(width, *order).sortWithinPartitions(*order).select("id", "v")
+    ordered = vectors.repartitionByRange(width, *order).sortWithinPartitions(*order).select("id", "v", *(["weight"] if weighted else []))
     return durable(ordered.mapInArrow(run, _BLOCK))
 
 

@@ -46,8 +46,8 @@ def test_odd_rows(spark):
     got = topk.neighbours(df, 2).collect()
     assert {r.vec_id for r in got} == {1, 2, 5, 7}
     assert [(r.neighbor_id, r.inner_product) for r in sorted(got, key=lambda r: r["rank"]) if r.vec_id == 1] == [(2, 1.0), (7, 1.0)]
-    near = {(tuple(r.vec_ids_a), tuple(r.vec_ids_b)) for r in egojoin.near_duplicates(df, 0.1).collect()}
-    assert near == {((1, 2), (1, 2)), ((1, 2), (7,))}
+    near = {r.vec_id: (r.class_id, r.links) for r in egojoin.near_duplicates(df, 0.1).collect()}
+    assert near == {1: (1, 2), 2: (1, 2), 5: (5, 0), 7: (1, 2)}
     none = spark.createDataFrame([], SCHEMA)
     assert topk.neighbours(none).collect() == [] and egojoin.near_duplicates(none).collect() == []
 
@@ -57,9 +57,9 @@ def test_near_duplicates_are_all_pairs(spark, monkeypatch, n, d, radius, block,
     monkeypatch.setattr(egojoin, "SHORT", 16)
     x = vectors(n, d, seed, lengths=False)
     df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA)
-    got = set()
-    for r in egojoin.near_duplicates(df, radius, block_rows=block).collect():
-        got |= {(min(a, b), max(a, b)) for a in r.vec_ids_a for b in r.vec_ids_b if a != b}
-    dist = np.sqrt(((x[:, None].astype(np.float64) - x[None]) ** 2).sum(-1))
-    want = {(i, j) for i in range(n) for j in range(i + 1, n) if dist[i, j] <= radius}
-    assert got == want and want
+    got = {r.vec_id: (r.class_id, r.links) for r in egojoin.near_duplicates(df, radius, block_rows=block).collect()}
+    dist = np.sqrt(((x[:, None].astype(np.float64) - x[None]) ** 2).sum(-1)) <= radius
+    root = list(range(n))
+    for _ in range(n):  # least labels along links, until nothing changes
+        root = [min(root[j] for j in np.flatnonzero(dist[i])) for i in range(n)]
+    assert got == {i: (root[i], int(dist[i].sum()) - 1) for i in range(n)} and any(links for _, links in got.values())
