@@ -94,59 +94,70 @@ def default_weights(docs: dict) -> dict:
     return {s: max(1, round(PARTS * r / total)) for s, r in roots.items()}
 
 
-def _ranked(docs: DataFrame) -> tuple[DataFrame, list]:
-    """``docs`` with ``rank``, that of each row in its source (from 0), and the sources' counts."""
-    keyed = docs.withColumn("h", F.xxhash64(F.lit(6), "doc_id"))
+def _ranked(rows: DataFrame) -> tuple[DataFrame, list]:
+    """``rows`` (doc_id, source and, at will, row) with ``rank``, that of each in its source (from 0), and the sources' counts.
+
+    Rows without an id go by a hash of their whole row, where they carry it, and are
+    spread at random otherwise: they are all alike then.
+    """
+    h = F.xxhash64(F.lit(6), "doc_id")
+    carried = "row" in rows.columns
+    tie = F.xxhash64("row") if carried else F.rand(6)
+    spread = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(7), tie)).otherwise(h)
+    keyed = rows.withColumn("h", spread)
     counts = keyed.groupBy("source").count().collect()
     bits = min(20, (max((r["count"] for r in counts), default=1) // RANGE_DOCS).bit_length())
     keyed = keyed.withColumn("part", F.shiftright("h", 64 - bits) if bits else F.lit(0).cast("long"))
     before = F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = keyed.groupBy("source", "part").agg(F.count("*").alias("n")).select(F.col("source").alias("s"), F.col("part").alias("p"), F.coalesce(before, F.lit(0)).alias("before"))
-    own = F.row_number().over(Window.partitionBy("source", "part").orderBy("h", "doc_id"))
+    order = ["h", "doc_id", *([F.xxhash64("row")] if carried else [])]
+    own = F.row_number().over(Window.partitionBy("source", "part").orderBy(*order))
     ranked = keyed.withColumn("own", own).join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
-    return ranked.select("doc_id", "source", (F.col("own") - 1 + F.col("before")).alias("rank")), counts
-
+    return ranked.select(*rows.columns, (F.col("own") - 1 + F.col("before")).alias("rank")), counts
 
-def schedule(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """``(doc_id, source, rank, block, phase, release, deadline, slot, position)``.
 
-    rank: of the document in its source; release, deadline and slot: of its block
-    (counted over all phases; a deadline is the slot by whose begin it is served);
-    position: of the document in the mixed order, without gaps in a block.
-    """
+def _placed(rows: DataFrame, weights: dict | None, block_docs: int) -> DataFrame:
+    """``rows`` with their places in the schedule."""
     if block_docs < 1:
         raise ValueError("a block has one document at least")
     if weights is not None and any(int(w) != w or w < 0 for w in weights.values()):
         raise ValueError("weights are whole numbers, 0 or more")
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"))
-    ranked, counts = _ranked(plain)
+    ranked, counts = _ranked(rows)
     sizes = {r["source"]: r["count"] for r in counts}
-    rows = phases({s: -(-n // block_docs) for s, n in sizes.items()}, default_weights(sizes) if weights is None else {s: int(w) for s, w in weights.items()})
-    spark = docs.sparkSession
-    table = spark.createDataFrame(rows, SCHEDULE).withColumnRenamed("source", "__source")
-    if sum(len(r[-1]) for r in rows) <= BROADCAST_ENTRIES:
-        table = F.broadcast(table)
+    table = phases({s: -(-n // block_docs) for s, n in sizes.items()}, default_weights(sizes) if weights is None else {s: int(w) for s, w in weights.items()})
+    periods = rows.sparkSession.createDataFrame(table, SCHEDULE).withColumnRenamed("source", "__source")
+    if sum(len(r[-1]) for r in table) <= BROADCAST_ENTRIES:
+        periods = F.broadcast(periods)
     j = F.col("block") - F.col("j_from")
     blocked = ranked.withColumn("block", F.expr(f"rank div {int(block_docs)}"))
-    joined = blocked.join(table, F.col("source").eqNullSafe(F.col("__source")) & (F.col("block") >= F.col("j_from")) & (F.col("block") < F.col("j_to")))
+    joined = blocked.join(periods, F.col("source").eqNullSafe(F.col("__source")) & (F.col("block") >= F.col("j_from")) & (F.col("block") < F.col("j_to")))
     slot = F.col("start") + F.expr("(block - j_from) div share") * F.col("period") + F.element_at("places", (j % F.col("share") + 1).cast("int"))
     return joined.select(
-        "doc_id", "source", F.col("rank").cast("long").alias("rank"), F.col("block").cast("long").alias("block"), "phase",
+        *rows.columns, F.col("rank").cast("long").alias("rank"), F.col("block").cast("long").alias("block"), "phase",
         (F.col("start") + F.expr("((block - j_from) * period) div share")).alias("release"),
         (F.col("start") + F.expr("((block - j_from + 1) * period + share - 1) div share")).alias("deadline"),
         slot.cast("long").alias("slot"), (slot * block_docs + F.col("rank") % block_docs).cast("long").alias("position"),
     )
 
 
+def schedule(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """``(doc_id, source, rank, block, phase, release, deadline, slot, position)``.
+
+    rank: of the document in its source; release, deadline and slot: of its block
+    (counted over all phases; a deadline is the slot by whose begin it is served);
+    position: of the document in the mixed order, without gaps in a block.
+    """
+    return _placed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source")), weights, block_docs)
+
+
 def mixed(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """All rows of ``docs`` in the mixed order, their columns as they were."""
+    """All rows of ``docs`` in the mixed order, their columns as they were.
+
+    Rows of one source take its places in the order of a hash of their ids, as in
+    ``schedule``; those that tie there (null or repeated ids) in the order of a hash
+    of the whole row, so that no task gets all of them.
+    """
     # the row travels as one value, so its columns' names clash with none here
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"))
-    rows = docs.select(key.alias("k"), F.xxhash64("text").alias("t"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    # of rows with one doc_id and source, any may take any of their places
-    mine = rows.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("t")))
-    places = schedule(docs, weights, block_docs).select(key.alias("k"), "position")
-    places = places.withColumn("m", F.row_number().over(Window.partitionBy("k").orderBy("position")))
-    # not an equality, so that both sides keep the partitioning of their windows
-    found = mine.join(places, (mine.k == places.k) & (mine.n <= places.m) & (mine.n >= places.m))
-    return found.select("row", "position").sort("position").select("row.*")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), whole.alias("row"))
+    return _placed(rows, weights, block_docs).select("row", "position").sort("position").select("row.*")

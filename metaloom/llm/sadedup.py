@@ -19,9 +19,12 @@ in one document or several. Which windows repeat is decided as follows.
 
 The first occurrence of a window, by (doc_id, position), is the one that stays.
 
-Definitions: words are split at ASCII white space, case counts; rows with null
-text or null doc_id, and texts of fewer than LENGTH words, hold no repeats;
-rows that repeat a doc_id count as one document; other columns are ignored. An
+Definitions: words are split at ASCII white space, case counts; words are equal
+where their 64-bit hashes are (two given words differ and meet with a chance of
+1e-17 or so); rows with null text or null doc_id, and texts of fewer than LENGTH
+words, hold no repeats; rows that repeat a doc_id count as one document; of windows
+that tie, that is, have the same words, the first by (doc_id, position) stays; texts
+of any length are taken whole; other columns are ignored, whatever their names. An
 empty table gives an empty result.
 """
 
@@ -120,7 +123,7 @@ _CONTEXT = T.StructType([T.StructField(c, T.LongType()) for c in ("h", "ch", "n"
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The words (32-bit hashes) of each wanted context, read from its first occurrence."""
+    """The words (64-bit hashes) of each wanted context, read from its first occurrence."""
     lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "before", "size", "h", "ch", "n")).alias("wants"))
     joined = docs.join(lists, "doc_id").select("doc_id", "text", "wants")
 
@@ -139,8 +142,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 same = np.zeros(len(pos), bool)  # rows of one doc_id may hold different texts
                 same[inside] = _context_hash(w.hash, start[inside], (start + size)[inside], before[inside]) == ch[inside]
                 row, start, size, h, ch, n, pos, before = (x[same] for x in (row, start, size, h, ch, n, pos, before))
-                small = w.hash.astype(np.uint32)
-                texts = [small[a:b].tobytes() for a, b in zip(start.tolist(), (start + size).tolist())]
+                texts = [w.hash[a:b].tobytes() for a, b in zip(start.tolist(), (start + size).tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h), pa.array(ch), pa.array(n), batch.column(0).slice(s.first, s.rows).take(pa.array(row)), pa.array(pos), pa.array(before), pa.array(texts, pa.binary())],
                     names=_CONTEXT.names,
@@ -225,10 +227,9 @@ def repeated_windows(lists: list[np.ndarray], weight: np.ndarray, doc: np.ndarra
     size = np.array([len(x) for x in lists], np.int64)
     stop = np.cumsum(size + 1)
     start = stop - size - 1
-    tokens = np.zeros(int(stop[-1]), np.uint32)
     spots = ragged_ranges(start, size)
     _, code = np.unique(np.concatenate(lists), return_inverse=True)
-    symbols = np.zeros(len(tokens), np.int32)
+    symbols = np.zeros(int(stop[-1]), np.int32)
     symbols[spots] = code + 1
     parts = np.array_split(np.arange(len(lists)), min(shards, len(lists)))
     order, bwt, lf = [], [], []
@@ -285,19 +286,20 @@ def _merge(contexts: DataFrame, length: int, width: int) -> DataFrame:
         fresh = np.append(True, (h[1:] != h[:-1]) | (ch[1:] != ch[:-1]))
         raw = t.column(6).to_pylist()
         keep = np.flatnonzero(fresh)
-        lists = [np.frombuffer(raw[i], np.uint32) for i in keep.tolist()]
+        lists = [np.frombuffer(raw[i], np.uint64) for i in keep.tolist()]
         h, ch, n, doc, pos, before = (x[keep] for x in (h, ch, n, doc, pos, before))
         spans = repeated_windows(lists, n, doc, pos.astype(np.int64) - before, length)
-        spans = np.where(spans >= 0, spans - before[:, None], -(1 << 20)).astype(np.int32)
-        some = np.flatnonzero(spans[:, 0] > -(1 << 20))
-        return pa.RecordBatch.from_arrays([pa.array(h[some]), pa.array(ch[some]), *(pa.array(spans[some, i]) for i in range(6))], names=_FOUND.names)
+        none = spans < 0
+        spans = (spans - before[:, None]).astype(np.int32)
+        some = np.flatnonzero(~none[:, 0])
+        return pa.RecordBatch.from_arrays([pa.array(h[some]), pa.array(ch[some]), *(pa.array(spans[some, i], mask=none[some, i]) for i in range(6))], names=_FOUND.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         load = 0
         for batch in batches:
             h = batch.column(0).to_numpy()
-            sizes = np.diff(batch.column(6).offsets.to_numpy() if hasattr(batch.column(6), "offsets") else np.frombuffer(batch.column(6).buffers()[1], np.int32)[batch.column(6).offset : batch.column(6).offset + len(batch) + 1]) // 4 + 1
+            sizes = np.diff(batch.column(6).offsets.to_numpy() if hasattr(batch.column(6), "offsets") else np.frombuffer(batch.column(6).buffers()[1], np.int32)[batch.column(6).offset : batch.column(6).offset + len(batch) + 1]) // 8 + 1
             at = 0
             edges = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
             done = np.concatenate([[0], np.cumsum(sizes)])
@@ -335,7 +337,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     kinds = rows.groupBy("h", "ch").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first"), F.first("before").alias("before"), F.first("size").alias("size"))
     kinds = durable(kinds.withColumn("kinds", F.count("*").over(by_anchor)).select("h", "ch", "n", "first.doc_id", "first.pos", "before", "size", "kinds"))
     several = _contexts(texts, kinds.filter("kinds > 1"), length)
-    none = F.lit(-(1 << 20)).cast("int")
+    none = F.lit(None).cast("int")
     whole = (-F.col("before")).cast("int"), (F.col("size") - F.col("before")).cast("int")
     single = kinds.filter("kinds = 1").select("h", "ch", whole[0].alias("all_a"), whole[1].alias("all_b"), none.alias("dup_a"), none.alias("dup_b"), whole[0].alias("own_a"), whole[1].alias("own_b"))
     found = _merge(several, length, width).unionByName(single)
@@ -349,7 +351,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
                 F.array(F.struct((F.col("pos") + F.col("all_a")).alias("a"), (F.col("pos") + F.col("all_b")).alias("b"), F.lit(False).alias("is_first")))
             )
         ).alias("s"),
-    ).select("doc_id", "s.a", "s.b", "s.is_first").filter("a >= 0")
+    ).select("doc_id", "s.a", "s.b", "s.is_first").filter("a IS NOT NULL")
     order = Window.partitionBy("doc_id", "is_first").orderBy("a", "b")
     reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("a") <= F.col("reach"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
@@ -363,9 +365,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     there is such a column, is counted anew for texts that change. A document
     whose words all go is left out. All others keep every column as it was.
     """
-    spans = repeated_spans(docs, length, anchor).filter("NOT is_first").groupBy(F.col("doc_id").alias("__doc")).agg(F.array_sort(F.collect_list(F.struct("start_word", "end_word"))).alias("__spans"))
-    joined = docs.join(spans, docs.doc_id == spans["__doc"], "left").drop("__doc")
+    spans = repeated_spans(docs, length, anchor).filter("NOT is_first").groupBy(F.col("doc_id").alias("doc")).agg(F.array_sort(F.collect_list(F.struct("start_word", "end_word"))).alias("spans"))
+    # the row travels as one value, so its columns' names clash with none here
+    rows = docs.select(F.col("doc_id").cast("long").alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     columns = docs.columns
+    inner = [f"c{i}" for i in range(len(columns))]
+    joined = rows.join(spans, F.col("key") == F.col("doc"), "left").select(*[F.col("row").getField(c).alias(i) for c, i in zip(columns, inner)], "spans")
     at, counted = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
