@@ -5,8 +5,8 @@ read again as the next stage's ``docs``. All stages but the last return the
 columns of ``documents``.
 
 1. language ID: documents without a language that the classifier knows go;
-2. n-gram Jaccard join: of each group of similar documents one stays, that with
-   the least doc_id; rows without doc_id, or without words, are in no group and stay;
+2. n-gram Jaccard join: of each class of similar documents one stays, that with
+   the least doc_id; rows without doc_id, or without words, are in no class and stay;
 3. suffix-array dedup: later occurrences of repeated passages are cut out;
 4. mixing: the rows in the order of the Pfair schedule, all of them;
 5. byte-level BPE: token ids and character spans of each document, and its
@@ -14,8 +14,9 @@ columns of ``documents``.
    Readers take part files in any order, so the position comes from the number
    of a row's part file and the row's place in it.
 
-The stages handle nulls, empty texts, repeated rows and extra columns as their
-operators say. An empty table gives an empty result.
+The stages handle nulls, empty and very long texts, ties, repeated rows and extra
+columns as their operators say; of rows that repeat a doc_id all stay or all go in
+stage 2. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,7 +40,10 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return docs.join(partenum.duplicates(docs).select(F.col("doc_id").alias("__gone")), F.col("doc_id") == F.col("__gone"), "left_anti")
+    # the row travels as one value, so its columns' names clash with none here
+    rows = docs.select(F.col("doc_id").cast("long").alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    gone = partenum.duplicates(docs).select(F.col("doc_id").alias("key"))
+    return rows.join(gone, "key", "left_anti").select("row.*")
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
