@@ -9,7 +9,7 @@ score is linear in a text's presence vector, texts are scored in batches by one
 sparse product a length n.
 
 The model is fitted on a bounded, documented sample of labelled rows
-(``SAMPLE_DOCS``, those whose ids hash lowest), of which ``LANDMARKS`` are the
+(``SAMPLE_DOCS``, those whose ids hash lowest, one row an id), of which ``LANDMARKS`` are the
 landmarks. Everything is scored, whole texts, never prefixes.
 
 Definitions: a null text, or one without any letter or digit, has no language
@@ -129,7 +129,9 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Model from labelled rows of ``docs`` (columns doc_id, text, lang)."""
     known = docs.filter("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").select("text", "lang", F.xxhash64("doc_id").alias("h"))
     lowest = known.select("h").distinct().orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
-    rows = known.filter(F.col("h") <= F.lit(lowest)).collect() if lowest is not None else []
+    # of rows that repeat an id one counts, so there are no more rows than ids
+    one = F.min(F.struct("lang", "text")).alias("row")
+    rows = known.filter(F.col("h") <= F.lit(lowest)).groupBy("h").agg(one).select("h", "row.*").collect() if lowest is not None else []
     rows.sort(key=lambda r: (r.h, r.lang, r.text))
     return fit([r.text for r in rows], [r.lang for r in rows])
 

@@ -5,14 +5,19 @@ the vocabulary needs it) and one zstandard frame of their own, compressed with a
 dictionary that all documents share. A short document is read alone: its shard,
 offset and length come from the index, the dictionary from its hash.
 
-The dictionary is a trained model: it sees the ids of the ``SAMPLE_DOCS``
-documents whose ids hash lowest, a documented bound; everything else covers all
-documents. With too little text to train on, frames carry no dictionary and the
+The dictionary is trained on all documents, step by step: each task trains one on
+the id arrays of ``TRAIN_BYTES`` at a time, and the parts of these dictionaries are
+what the next, wider step trains on, until one is left. No step holds more than
+``TRAIN_BYTES`` of arrays or ``FAN_IN`` dictionaries. Where the library finds too
+little that repeats, as much as a dictionary holds goes to the next step, evenly
+taken; if the last step has too little as well, frames carry no dictionary and the
 hash is that of the empty string.
 
 Definitions: a null text has null tokens, null frame and length 0; an empty text
-is a frame of no ids; repeated rows are stored each for itself; other columns
-are ignored.
+is a frame of no ids; repeated rows, and rows of null doc_id, are stored each for
+itself; texts of any length are stored whole; other columns are ignored. An empty
+table gives the dictionary's row alone. There are no ties: frames depend on their own
+text and on the dictionary, and the dictionary on the order in which tasks read.
 """
 
 from __future__ import annotations
@@ -29,10 +34,12 @@ from pyspark.sql import types as T
 
 from metaloom.llm.bpe import encoder, tokenizer_path
 from metaloom.llm.bytesvec import slices
+from metaloom.llm.durable import durable
 
-#: Documents that the dictionary is trained on, and its size in bytes.
-SAMPLE_DOCS = 1000
+#: Size of the dictionary in bytes, of the pieces that a dictionary is cut into for
+#: the next step, of what one training sees, and dictionaries that one step merges.
 DICT_BYTES = 64 * 1024
+PIECE_BYTES, TRAIN_BYTES, FAN_IN = 1024, 8 << 20, 64
 LEVEL = 3
 
 SCHEMA = T.StructType(
@@ -54,28 +61,71 @@ def _width(size: int) -> type:
     return np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
 
 
-def train_dictionary(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DICT_BYTES) -> bytes:
-    """Dictionary bytes, empty where the sample is too small to train on."""
+def _trained(samples: list[bytes], size: int) -> bytes | None:
+    """Dictionary of some samples; None where the library finds too little that repeats."""
     import zstandard
 
-    known = docs.filter("text IS NOT NULL AND doc_id IS NOT NULL").select("text", F.xxhash64("doc_id").alias("h"))
-    # the ids alone settle which documents these are, so no task sends texts that are not among them
-    lowest = known.select("h").distinct().orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
-    texts = [r.text for r in known.filter(F.col("h") <= F.lit(lowest)).select("text").collect()] if lowest is not None else []
-    texts.sort()
-    enc = encoder(path, "tiktoken")
-    kind = _width(len(enc.table))
-    samples = []
-    for s in slices(pa.array(texts, pa.string())) if texts else ():
-        ids, count = enc.encode(s)
-        samples += [x.astype(kind).tobytes() for x in np.split(ids, np.cumsum(count)[:-1]) if len(x)]
-    size = min(dict_bytes, sum(map(len, samples)) // 8)
+    samples = [x for x in samples if len(x) >= 8]
+    size = min(size, sum(map(len, samples)) // 8)
     if len(samples) < 8 or size < 256:
-        return b""
+        return None
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
-    except zstandard.ZstdError:  # the library finds too little that repeats
-        return b""
+        return zstandard.train_dictionary(size, samples, k=200, d=8, f=20, accel=2).as_bytes()
+    except zstandard.ZstdError:
+        return None
+
+
+def train_dictionary(docs: DataFrame, path: str, dict_bytes: int = DICT_BYTES) -> bytes:
+    """Dictionary bytes, empty where there is too little to train on."""
+    schema = T.StructType([T.StructField("piece", T.BinaryType())])
+
+    def cut(dictionary: bytes) -> list[bytes]:
+        return [dictionary[i : i + PIECE_BYTES] for i in range(0, len(dictionary), PIECE_BYTES)]
+
+    def step(samples: list[bytes]) -> pa.RecordBatch:
+        made = _trained(samples, dict_bytes)
+        every = max(1, -(-sum(map(len, samples)) // dict_bytes))
+        return pa.RecordBatch.from_arrays([pa.array(cut(made) if made else samples[::every], pa.binary())], names=schema.names)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path, "tiktoken")
+        kind = _width(len(enc.table))
+        samples, held = [], 0
+        for batch in batches:
+            for s in slices(batch.column(0)):
+                ids, count = enc.encode(s)
+                raw = ids.astype(kind).tobytes()
+                to = (np.cumsum(count) * kind.itemsize).tolist()
+                for a, b in zip([0, *to[:-1]], to):
+                    # long documents are several samples: a sample is what a window of the library can see
+                    samples += [raw[i : min(i + (1 << 16), b)] for i in range(a, b, 1 << 16)]
+                held += len(raw)
+                if held >= TRAIN_BYTES:
+                    yield step(samples)
+                    samples, held = [], 0
+        if samples:
+            yield step(samples)
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        samples, held = [], 0
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                samples.append(x)
+                held += len(x)
+                if held >= TRAIN_BYTES:
+                    yield step(samples)
+                    samples, held = [], 0
+        if samples:
+            yield step(samples)
+
+    pieces = durable(docs.filter("text IS NOT NULL").select("text").mapInArrow(first, schema))
+    most = FAN_IN * dict_bytes
+    while True:
+        size = pieces.agg(F.coalesce(F.sum(F.length("piece")), F.lit(0))).first()[0]
+        if size <= most:
+            return _trained(sorted(r.piece for r in pieces.collect()), dict_bytes) or b""
+        # pieces of all tasks meet, so what repeats across tasks is seen to repeat
+        pieces = durable(pieces.repartition(-(-size // most)).mapInArrow(again, schema))
 
 
 def encode_frames(docs: DataFrame, path: str | None = None, dictionary: bytes | None = None) -> DataFrame:

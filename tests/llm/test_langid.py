@@ -50,3 +50,41 @@ def test_odd_rows(spark):
     kept = langid.keep_identified(df)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} >= {1, 5}
     assert langid.identify(empty(spark)).collect() == [] and langid.keep_identified(empty(spark)).collect() == []
+
+
+def test_scores_are_those_of_kernel_ridge_over_n_gram_sets():
+    """By the definition, from sets of byte n-grams and dense matrices."""
+    rows = texts(60, 3)
+    train, langs, asked = [t for _, t, _ in rows[:40]], [x for _, _, x in rows[:40]], [t for _, t, _ in rows[40:]]
+
+    def grams(t, n):
+        b = " ".join(t.lower().split()).encode()
+        return {b[i : i + n] for i in range(len(b) - n + 1)}
+
+    def kernel(x, y):
+        return np.mean([len(grams(x, n) & grams(y, n)) / max(1, np.sqrt(len(grams(x, n)) * len(grams(y, n)))) for n in langid.ORDERS])
+
+    languages = sorted(set(langs))
+    k = np.array([[kernel(x, y) for y in train] for x in train])
+    y = np.array([[float(x == language) for language in languages] for x in langs])
+    # all rows are landmarks: features phi with phi phi' = k
+    value, vector = np.linalg.eigh(k)
+    good = value > 1e-6 * value.max()
+    root = vector[:, good] / np.sqrt(value[good])
+    phi = k @ root
+    beta = np.linalg.solve(phi.T @ phi + langid.RIDGE * len(train) * np.eye(phi.shape[1]), phi.T @ y)
+    want = np.array([[kernel(x, t) for t in train] for x in asked]) @ root @ beta
+    model = langid.fit(train, langs, landmarks=len(train))
+    got = np.concatenate([langid.score(model, s) for s in slices(pa.array(asked))])
+    # n-grams are hashed into buckets, so scores agree nearly and verdicts fully
+    assert model.languages == languages and np.abs(got - want).max() < 0.05
+    assert (got.argmax(axis=1) == want.argmax(axis=1)).all()
+
+
+def test_rows_that_repeat_an_id_do_not_widen_the_sample(spark, monkeypatch):
+    rows = [(7, t, "en") for _, t, _ in texts(30, 5)] + [(i + 10, t, x) for i, t, x in texts(30, 6)]
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda t, x: seen.append(len(t)) or langid.Model([], []))
+    langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), sample_docs=31)
+    langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), sample_docs=5)
+    assert seen == [31, 5]

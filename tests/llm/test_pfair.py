@@ -64,3 +64,19 @@ def test_mixed_is_in_the_order_of_the_schedule(spark):
     df = spark.createDataFrame(rows, DOCS).repartition(5)
     place = {r.doc_id: r.position for r in pfair.schedule(df, block_docs=4).collect()}
     assert [r.doc_id for r in pfair.mixed(df, block_docs=4).collect()] == sorted(place, key=place.get)
+
+
+def test_many_rows_without_an_id_take_linear_time(spark):
+    """They are one another's equals in every key; all of them keep their row."""
+    df = spark.range(200_000).selectExpr("CAST(NULL AS bigint) AS doc_id", "concat('t', id) AS text", "'en' AS lang", "CASE WHEN id % 3 = 0 THEN 'a' ELSE 'b' END AS source", "id AS n_chars")
+    out = pfair.mixed(df)
+    assert out.selectExpr("count(*)", "count(DISTINCT n_chars)").first() == (200_000, 200_000)
+    places = pfair.schedule(df).selectExpr("count(*)", "count(DISTINCT position)").first()
+    assert places == (200_000, 200_000)
+
+
+def test_repeated_ids_and_clashing_names(spark):
+    rows = [(1, f"t{i % 4}", "en", "a", 1) for i in range(12)] + [(2, "x", "en", "b", 1)] * 5
+    df = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 AS h", "2 AS own", "3 AS part", "4 AS row", "5 AS position", "6 AS slot", "7 AS phase", "8 AS s", "9 AS p", "10 AS before", "11 AS j_from", "12 AS __source")
+    out = pfair.mixed(df, block_docs=3)
+    assert out.columns == df.columns and sorted(map(str, out.collect())) == sorted(map(str, df.collect()))

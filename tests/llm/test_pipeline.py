@@ -29,7 +29,7 @@ def test_planted_cases(spark, tmp_path):
 
 
 def test_odd_rows_and_empty_tables(spark, tmp_path):
-    df = awkward(spark, "1 AS __row, 2 AS k")
+    df = awkward(spark, "1 AS __row, 2 AS k, 3 AS __gone, 4 AS __spans, 5 AS key, 6 AS row, 7 AS position")
     docs = df
     for name, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, str(tmp_path))

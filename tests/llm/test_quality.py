@@ -67,3 +67,20 @@ def test_odd_rows_and_labels(spark):
     none = quality.classify(df, spark.createDataFrame([], LABELS)).collect()
     assert all(r.probability is None and r.keep for r in none if r.doc_id in (1, 5, 6))
     assert quality.classify(empty(spark), labels).collect() == []
+
+
+def test_ridge_is_the_direct_solution(spark):
+    """Partition-summed equations against one least-squares problem over all rows."""
+    rng = np.random.default_rng(4)
+    width = len(quality.STATISTICS)
+    x = rng.normal(size=(300, width))
+    y = (x[:, 0] + 0.3 * rng.normal(size=300) > 0).astype(int)
+    stats = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(x)], "doc_id bigint, x binary").repartition(7)
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id bigint, quality int")
+    model = quality.fit(stats, labels, features=40, ridge=1e-2)
+    z = quality.fourier((x - x.mean(axis=0)) / x.std(axis=0), 40)
+    keep = np.full(z.shape[1], 1e-2 * len(x))
+    keep[-1] = 1e-9
+    rows = np.concatenate([z, np.diag(np.sqrt(keep))])
+    want = np.linalg.lstsq(rows, np.concatenate([y, np.zeros(z.shape[1])]), rcond=None)[0]
+    assert np.allclose(model.score(x), z @ want, atol=1e-6)

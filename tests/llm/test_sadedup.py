@@ -111,3 +111,29 @@ def test_odd_rows(spark):
     assert sorted(str(r) for r in out.collect() if r.doc_id != 5) == sorted(str(r) for r in df.collect() if r.doc_id != 5)
     assert sadedup.repeated_spans(empty(spark)).collect() == [] and sadedup.remove_repeats(empty(spark)).collect() == []
     assert LONG.split()
+
+
+def test_positions_beyond_a_million_words(spark):
+    filler = [f"f{i}" for i in range(1 << 20)]
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(1, " ".join(["a b c"] + passage + ["x y"])), (2, " ".join(filler + [f"odd{i}" for i in range(500)] + passage + ["end"]))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(tuple(r) for r in sadedup.repeated_spans(df).collect() if r.doc_id == 1 or r.start_word > (1 << 20) + 490)
+    at = (1 << 20) + 500
+    assert (1, 3, 63, True) in got and (2, at, at + 60, False) in got
+    assert all(r.end_word - r.start_word >= sadedup.LENGTH for r in sadedup.repeated_spans(df).collect())
+
+
+def test_columns_with_the_names_used_inside(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    df = spark.createDataFrame([(1, "one " + passage), (2, "two " + passage)], "doc_id bigint, text string").selectExpr("*", "1 AS spans", "2 AS doc", "3 AS key", "4 AS row", "5 AS c0", "6 AS __spans", "7 AS __doc")
+    out = sadedup.remove_repeats(df)
+    assert out.columns == df.columns and {r.doc_id: r.text.strip() for r in out.collect()} == {1: "one " + passage, 2: "two"}
+
+
+def test_words_that_only_a_weak_hash_confuses_do_not_repeat(spark):
+    one = ["ab"[bin(i).count("1") & 1] for i in range(2048)]
+    x, y = "".join(one), "".join("ba"[c == "b"] for c in one)
+    passage = " ".join(f"p{i}" for i in range(60))
+    df = spark.createDataFrame([(1, passage + " " + x), (2, passage + " " + y)], "doc_id bigint, text string")
+    assert {(r.start_word, r.end_word) for r in sadedup.repeated_spans(df).collect()} == {(0, 60)}

@@ -80,6 +80,64 @@ def test_frames_decode_alone(spark, tmp_path):
     assert some == {3: ids[3], 102: ids[102], 101: []}
 
 
+def test_frames_hold_the_library_s_ids(spark):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(bpe.tokenizer_path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = [*TRICKY, LONG, *morse(2048)]
+    frames = tokenout.encode_frames(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    dictionary = next(bytes(r.frame) for r in frames.collect() if r.kind == "dictionary")
+    got = {r.doc_id: r.ids for r in tokenout.decode_frames(frames, dictionary).collect()}
+    assert [got[i] for i in range(len(texts))] == [own.encode_ordinary(t) for t in texts]
+
+
+def morse(n):
+    """Two texts that a polynomial modulo 2**64 can't tell apart."""
+    one = ["ab"[bin(i).count("1") & 1] for i in range(n)]
+    return "".join(one), "".join("ba"[c == "b"] for c in one)
+
+
+def test_runs_that_only_a_weak_hash_confuses(spark):
+    texts = morse(2048)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    got = {r.doc_id: r for r in bpe.encode_documents(df).collect()}
+    assert [got[i].ids for i in (0, 1)] == [e.ids for e in direct(texts)] and all(r.exact for r in got.values())
+    assert {r.doc_id: r.n_tokens for r in tokencount.count_sections(df).collect()} == {i: len(e.ids) for i, e in enumerate(direct(texts))}
+
+
+def test_runs_that_meet_in_one_hash_get_their_own_ids(monkeypatch):
+    """Even where all hashes are equal."""
+    import numpy as np
+    import pyarrow as pa
+
+    from metaloom.llm.bytesvec import slices
+
+    monkeypatch.setattr(bpe, "span_hash", lambda data, start, end: np.full(len(start), 7, np.uint64))
+    enc = bpe.RunEncoder(bpe.tokenizer_path())
+    texts = ["some words here", "other words there", ""]
+    ids, count = enc.encode(next(slices(pa.array(texts))))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == [e.ids for e in direct(texts)]
+
+
+def test_the_dictionary_is_trained_on_all_documents(spark, monkeypatch):
+    """Also where it takes several steps, and what only the last documents hold is in it."""
+    rare = "zyxw vutsrq ponml kjihg fedcba " * 6
+    rows = [(i, f"document {i} about tokens and frames, number {i * i} " * 5 + (rare if i >= 700 else "")) for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    monkeypatch.setattr(tokenout, "TRAIN_BYTES", 8_000)
+    monkeypatch.setattr(tokenout, "FAN_IN", 2)
+    path = bpe.tokenizer_path("byte_bpe_50k.tiktoken")
+    dictionary = tokenout.train_dictionary(df, path, dict_bytes=2048)
+    ids, _ = bpe.encoder(path, "tiktoken").encode(next(tokenout.slices(tokenout.pa.array([" " + rare.strip()]))))
+    raw = ids.astype("<u2").tobytes()
+    assert any(raw[i : i + 12] in dictionary for i in range(0, len(raw) - 12, 2))
+
+
 def test_frames_of_awkward_and_empty_tables(spark):
     rows = tokenout.encode_frames(awkward(spark)).collect()
     assert len(rows) == 10 and all(r.frame is None for r in rows if r.doc_id == 2)
