@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from metaloom.llm.bytesvec import HashIndex, Slice, list_array, ragged_ranges, slices, span_hash
+from metaloom.llm.durable import tidy
 
 #: Distinct runs that a worker remembers; beyond it the memory starts afresh (no effect on results).
 MEMORY_RUNS = 800_000
@@ -246,7 +247,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, along: str | None
                     names=schema.names,
                 )
 
-    return docs.select("doc_id", "text", *([along] if along else [])).mapInArrow(run, schema)
+    return docs.select("doc_id", "text", *([along] if along else [])).mapInArrow(tidy(run), schema)
 
 
 def decode_documents(tokens: DataFrame, path: str | None = None) -> DataFrame:
@@ -271,4 +272,4 @@ def decode_documents(tokens: DataFrame, path: str | None = None) -> DataFrame:
                 texts.append(None if ids is None else enc.decode_bytes(ids).tobytes().decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, schema)
+    return tokens.select("doc_id", "ids").mapInArrow(tidy(run), schema)

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one numpy pass holds; a longer single text is handled whole.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 #: Two primes and a base for each: a hash is a pair of polynomials modulo these.
 _PRIMES = (2147483647, 2147483629)
 _BASES = (1297834573, 1783920611)

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from metaloom.llm.bytesvec import Slice, pieces, slices
+from metaloom.llm.durable import tidy
 
 #: Bound of the labelled sample, landmarks among it, and the ridge.
 SAMPLE_DOCS, LANDMARKS, RIDGE = 2000, 256, 1e-3
@@ -172,7 +173,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 lang, top, margin, ok = _verdicts(shared.value, s)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.rows), pa.array(lang, pa.string()), pa.array(top), pa.array(margin), pa.array(ok)], names=SCHEMA.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), SCHEMA)
 
 
 def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -186,4 +187,4 @@ def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
             ok = [_verdicts(shared.value, s)[3] for s in slices(batch.column(at))]
             yield batch.filter(pa.array(np.concatenate(ok) if ok else np.zeros(0, bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

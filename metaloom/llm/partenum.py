@@ -60,7 +60,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from metaloom.llm.bytesvec import Slice, Words, column_bytes, mix, ragged_ranges, slices, span_hash, united, words
-from metaloom.llm.durable import durable, shuffle_width
+from metaloom.llm.durable import durable, shuffle_width, tidy
 
 #: Words of an n-gram, and the threshold; the README gives the recall on edited copies by which it was chosen.
 N, THRESHOLD = 3, 0.6
@@ -76,7 +76,7 @@ GATHERING = 32
 SURPLUS = ((0, 0), (16, 2), (64, 5), (160, 11))
 _MET = 12
 #: Signatures that a worker packs at once, features that a task holds, features compared at once (cost only).
-_FLUSH, TASK_FEATURES, BATCH_FEATURES = 4_000_000, 8_000_000, 1_000_000
+_FLUSH, TASK_FEATURES, BATCH_FEATURES = 800_000, 8_000_000, 1_000_000
 #: zstandard level of what travels (cost only).
 LEVEL = 3
 
@@ -291,7 +291,7 @@ def _members(docs: DataFrame, n: int, salt: int) -> DataFrame:
             pieces = pa.array([zlib.compress(x.tobytes(), 1) for x in np.split(sketch, PIECES)], pa.binary())
             yield pa.RecordBatch.from_arrays([*none, pa.array(np.arange(PIECES, dtype=np.int32)), pieces], names=_MEMBER.names)
 
-    return docs.mapInArrow(run, _MEMBER)
+    return docs.mapInArrow(tidy(run), _MEMBER)
 
 
 def _sketch(seen: DataFrame) -> np.ndarray:
@@ -307,7 +307,7 @@ def _sketch(seen: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], names=schema.names)
 
     out = np.zeros((PIECES, (1 << SKETCH_BITS) // PIECES), np.int64)
-    for r in seen.filter("piece IS NOT NULL").select("piece", "counts").repartition("piece").mapInArrow(run, schema).collect():
+    for r in seen.filter("piece IS NOT NULL").select("piece", "counts").repartition("piece").mapInArrow(tidy(run), schema).collect():
         out[r.piece] += np.frombuffer(zlib.decompress(r.counts), np.int64)
     return out.ravel()
 
@@ -382,7 +382,7 @@ def _blobs(docs: DataFrame, n: int, salt: int, bands: Bands, info: np.ndarray, b
         if held:
             yield _pack(np.concatenate(sigs), np.concatenate(ids), buckets)
 
-    return docs.mapInArrow(run, _BLOB)
+    return docs.mapInArrow(tidy(run), _BLOB)
 
 
 def _run_pairs(key: np.ndarray, ids: np.ndarray, chunk: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -444,7 +444,7 @@ def _candidates(blobs: DataFrame, width: int) -> DataFrame:
         if got:
             yield from solve(got)
 
-    return blobs.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _EDGE)
+    return blobs.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(run), _EDGE)
 
 
 def _named(met: DataFrame, sets: DataFrame) -> DataFrame:
@@ -470,7 +470,7 @@ def _compressed(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([press.compress(t.as_buffer()) for t in batch.column(1)], pa.binary())], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def overlaps(features: np.ndarray, bounds: np.ndarray, a: np.ndarray, b: np.ndarray, chunk: int = 1 << 20) -> np.ndarray:
@@ -667,7 +667,7 @@ def _verify(edges: DataFrame, sets: DataFrame, texts: DataFrame, n: int, salt: i
         if parts:
             yield from solve()
 
-    return rows.repartition(width, "task", "i", "j").sortWithinPartitions("task", "i", "j", "set_id").mapInArrow(run, _LINK)
+    return rows.repartition(width, "task", "i", "j").sortWithinPartitions("task", "i", "j", "set_id").mapInArrow(tidy(run), _LINK)
 
 
 def components(edges: DataFrame) -> DataFrame:

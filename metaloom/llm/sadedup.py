@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from metaloom.llm.bytesvec import mix, ragged_ranges, slices, window_hash, words
-from metaloom.llm.durable import durable, shuffle_width
+from metaloom.llm.durable import durable, shuffle_width, tidy
 
 LENGTH = 50
 #: Words of an anchor. Longer ones bring fewer false meetings and more anchors.
@@ -116,7 +116,7 @@ def _anchor_rows(docs: DataFrame, length: int, k: int) -> DataFrame:
                     names=_ROW.names,
                 )
 
-    return docs.mapInArrow(run, _ROW)
+    return docs.mapInArrow(tidy(run), _ROW)
 
 
 _CONTEXT = T.StructType([T.StructField(c, T.LongType()) for c in ("h", "ch", "n", "doc_id")] + [T.StructField("pos", T.IntegerType()), T.StructField("before", T.IntegerType()), T.StructField("words", T.BinaryType())])
@@ -148,7 +148,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                     names=_CONTEXT.names,
                 )
 
-    return joined.mapInArrow(run, _CONTEXT)
+    return joined.mapInArrow(tidy(run), _CONTEXT)
 
 
 def shard_transform(symbols: np.ndarray, start: np.ndarray, end: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -318,7 +318,7 @@ def _merge(contexts: DataFrame, length: int, width: int) -> DataFrame:
         if held:
             yield solve(held)
 
-    return contexts.repartition(width, "h").sortWithinPartitions("h", "ch").mapInArrow(run, _FOUND)
+    return contexts.repartition(width, "h").sortWithinPartitions("h", "ch").mapInArrow(tidy(run), _FOUND)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
@@ -374,7 +374,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     at, counted = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 1024) for b in batches for i in range(0, len(b), 1024)):
             lists = batch.column(len(columns))
             hit = np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False))
             arrays = [batch.column(i) for i in range(len(columns))]
@@ -402,7 +402,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
                     arrays[counted] = pc.replace_with_mask(arrays[counted], changed, pa.array(counts, arrays[counted].type))
             yield pa.RecordBatch.from_arrays(arrays, names=columns).filter(pa.array(keep))
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(tidy(run), docs.schema)
 
 
 ORACLE_SQL = r"""

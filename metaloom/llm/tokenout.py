@@ -61,12 +61,12 @@ def _width(size: int) -> type:
     return np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
 
 
-def _trained(samples: list[bytes], size: int) -> bytes | None:
-    """Dictionary of some samples; None where the library finds too little that repeats."""
+def _trained(samples: list[bytes], size: int, share: int = 2) -> bytes | None:
+    """Dictionary of some samples, of a share of their size at most; None where the library finds too little that repeats."""
     import zstandard
 
     samples = [x for x in samples if len(x) >= 8]
-    size = min(size, sum(map(len, samples)) // 8)
+    size = min(size, sum(map(len, samples)) // share)
     if len(samples) < 8 or size < 256:
         return None
     try:
@@ -80,10 +80,11 @@ def train_dictionary(docs: DataFrame, path: str, dict_bytes: int = DICT_BYTES) -
     schema = T.StructType([T.StructField("piece", T.BinaryType())])
 
     def cut(dictionary: bytes) -> list[bytes]:
-        return [dictionary[i : i + PIECE_BYTES] for i in range(0, len(dictionary), PIECE_BYTES)]
+        size = max(256, min(PIECE_BYTES, dict_bytes // 8))
+        return [dictionary[i : i + size] for i in range(0, len(dictionary), size)]
 
-    def step(samples: list[bytes]) -> pa.RecordBatch:
-        made = _trained(samples, dict_bytes)
+    def step(samples: list[bytes], share: int = 2) -> pa.RecordBatch:
+        made = _trained(samples, dict_bytes, share)
         every = max(1, -(-sum(map(len, samples)) // dict_bytes))
         return pa.RecordBatch.from_arrays([pa.array(cut(made) if made else samples[::every], pa.binary())], names=schema.names)
 
@@ -101,10 +102,10 @@ def train_dictionary(docs: DataFrame, path: str, dict_bytes: int = DICT_BYTES) -
                     samples += [raw[i : min(i + (1 << 16), b)] for i in range(a, b, 1 << 16)]
                 held += len(raw)
                 if held >= TRAIN_BYTES:
-                    yield step(samples)
+                    yield step(samples, 8)
                     samples, held = [], 0
         if samples:
-            yield step(samples)
+            yield step(samples, 8)
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         samples, held = [], 0

@@ -125,17 +125,16 @@ def test_runs_that_meet_in_one_hash_get_their_own_ids(monkeypatch):
 
 
 def test_the_dictionary_is_trained_on_all_documents(spark, monkeypatch):
-    """Also where it takes several steps, and what only the last documents hold is in it."""
-    rare = "zyxw vutsrq ponml kjihg fedcba " * 6
-    rows = [(i, f"document {i} about tokens and frames, number {i * i} " * 5 + (rare if i >= 700 else "")) for i in range(800)]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
-    monkeypatch.setattr(tokenout, "TRAIN_BYTES", 8_000)
-    monkeypatch.setattr(tokenout, "FAN_IN", 2)
+    """Also where it takes several steps: without the last documents it is another."""
+    rows = [(i, f"document {i} about tokens and frames, number {i * i} " * 5 + ("zyxw vutsrq ponml kjihg fedcba " * 6 if i >= 700 else "")) for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartitionByRange(8, "doc_id")
+    monkeypatch.setattr(tokenout, "TRAIN_BYTES", 16_000)
+    monkeypatch.setattr(tokenout, "FAN_IN", 4)
     path = bpe.tokenizer_path("byte_bpe_50k.tiktoken")
-    dictionary = tokenout.train_dictionary(df, path, dict_bytes=2048)
-    ids, _ = bpe.encoder(path, "tiktoken").encode(next(tokenout.slices(tokenout.pa.array([" " + rare.strip()]))))
-    raw = ids.astype("<u2").tobytes()
-    assert any(raw[i : i + 12] in dictionary for i in range(0, len(raw) - 12, 2))
+    whole, part = (tokenout.train_dictionary(x, path, dict_bytes=2048) for x in (df, df.filter("doc_id < 700")))
+    assert whole != part and 256 <= len(part) <= 2048 and 256 <= len(whole) <= 2048
+    got = {r.doc_id: r.n_tokens for r in tokenout.encode_frames(df, path, whole).collect()}
+    assert len(got) == 801
 
 
 def test_frames_of_awkward_and_empty_tables(spark):
