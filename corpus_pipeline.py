@@ -87,7 +87,11 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what is between them stands in the folder
     that the cluster names in ``spark.checkpoint.dir``."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pipeline-")
+    sc = spark.sparkContext
+    shared = sc.getConf().get("spark.checkpoint.dir")
+    if not shared and not sc.master.startswith("local"):
+        raise RuntimeError("a cluster names its shared folder in spark.checkpoint.dir")
+    shared = shared or tempfile.mkdtemp(prefix="pipeline-")
     folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES):

@@ -1,12 +1,12 @@
 """Scalar functions of the fusion engine as Column expressions.
 
-All are built from Catalyst's own functions, so they stay in generated code;
-``ascii_fold`` alone, for characters beyond the Latin ranges, has an Arrow variant.
+All are built from Catalyst's own functions, so they stay in generated code.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -24,8 +24,22 @@ XSD_OF_SQL = {
 }
 XSD_OF_PYTHON = {"str": "string", "int": "integer", "float": "double", "bool": "boolean", "Decimal": "decimal", "date": "date", "datetime": "dateTime", "time": "time", "timedelta": "duration", "bytes": "base64Binary", "UUID": "string"}
 SIMPLE_OF_XSD = {"integer": "integer", "decimal": "decimal", "double": "decimal", "dateTime": "datetime", "dateTimeStamp": "datetime", "date": "date", "boolean": "boolean"}
-_FOLD_FROM = "àáâãäåèéêëìíîïòóôõöùúûüýÿñçÀÁÂÃÄÅÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜÝÑÇ"
-_FOLD_TO = "aaaaaaeeeeiiiiooooouuuuyyncAAAAAAEEEEIIIIOOOOOUUUUYNC"
+
+
+def _foldings() -> tuple[str, str, dict[str, str]]:
+    """Characters whose compatibility decomposition has ASCII characters in it, with these:
+    those that stand for one, and those that stand for several."""
+    one, several = {}, {}
+    for n in range(0x80, 0x10000):
+        ch = chr(n)
+        plain = "".join(x for x in unicodedata.normalize("NFKD", ch) if x.isascii())
+        if plain:
+            (one if len(plain) == 1 else several)[ch] = plain
+    return "".join(one), "".join(one.values()), several
+
+
+_FOLD_FROM, _FOLD_TO, _FOLD_SEVERAL = _foldings()
+_COMBINING = "[\\u0300-\\u036f\\u1ab0-\\u1aff\\u1dc0-\\u1dff\\u20d0-\\u20ff\\ufe20-\\ufe2f]"
 
 
 def lookup(table: dict[str, str], key: Column, default: Column) -> Column:
@@ -39,7 +53,14 @@ def name_key(c: Column) -> Column:
 
 
 def ascii_fold(c: Column) -> Column:
-    return F.translate(c, _FOLD_FROM, _FOLD_TO)
+    """The ASCII characters of the compatibility decomposition in place of what they come
+    from (characters of the basic plane), and no combining marks. A text that is ASCII already costs one match."""
+    marks = "[" + "".join(_FOLD_SEVERAL) + "]"
+    single = F.translate(F.regexp_replace(c, _COMBINING, ""), _FOLD_FROM, _FOLD_TO)
+    # one character at a time, and only where there is one that stands for several
+    table = F.create_map(*[F.lit(x) for pair in _FOLD_SEVERAL.items() for x in pair])
+    spread = F.array_join(F.transform(F.split(single, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), "")
+    return F.when(~c.rlike("[^\\x00-\\x7f]"), c).when(single.rlike(marks), spread).otherwise(single)
 
 
 def label_key(c: Column) -> Column:

@@ -77,14 +77,13 @@ def disagreements(rules: DataFrame) -> DataFrame:
     return rules.groupBy("entity", "attribute").agg(n.alias("n"), F.count("*").alias("rules")).filter("n > 1")
 
 
-def table_classes(fields: DataFrame) -> DataFrame:
-    """Columns, keys that point to other tables, keys that point here; a table
+def table_classes(fields: DataFrame, owners: dict[str, str]) -> DataFrame:
+    """G08, with the table that each key name points to: columns, keys that point to other tables, keys that point here; a table
     of two such keys or more and nothing else is a bridge, one that is pointed to, has
     three columns at most and a name column is a code table."""
     key = F.regexp_extract("name", "^[a-z]+_([a-z]+)key$", 1)
     cols = fields.withColumn("target", F.when(key != "", key))
-    owner = {"region": "region", "nation": "nation", "cust": "customer", "supp": "supplier", "part": "part", "order": "orders"}
-    target = F.create_map(*[F.lit(v) for p in owner.items() for v in p])
+    target = F.create_map(*[F.lit(v) for p in owners.items() for v in p])
     cols = cols.withColumn("ref", F.try_element_at(target, F.col("target"))).withColumn("ref", F.when(F.col("ref") != F.col("model"), F.col("ref")))
     per = cols.groupBy("model").agg(F.count("*").alias("columns"), F.count("ref").alias("fk_out"), F.count_if(F.endswith("name", F.lit("_name"))).alias("names"))
     fk_in = cols.filter("ref IS NOT NULL").groupBy(F.col("ref").alias("model")).agg(F.count("*").alias("fk_in"))

@@ -169,3 +169,13 @@ def closure(pairs: DataFrame) -> DataFrame:
         before, n = n, have.count()
         if n == before:
             return have
+
+
+def worst(rows: DataFrame, order: list, keep: int) -> DataFrame:
+    """The first ``keep`` rows in an order, and one row with the number of the
+    others (``more``; null in the rows shown). 0 shows nothing at all."""
+    shown = rows.orderBy(*order).limit(keep).withColumn("more", F.lit(None).cast("bigint"))
+    if not keep:
+        return shown
+    rest = rows.agg(F.count("*").alias("n")).filter(F.col("n") > keep)
+    return shown.unionByName(rest.select(*[F.lit(None).cast(t).alias(c) for c, t in rows.dtypes], (F.col("n") - keep).alias("more")))

@@ -11,5 +11,8 @@ def durable(df: DataFrame) -> DataFrame:
     """``checkpoint()`` in the cluster's folder (``spark.checkpoint.dir``), in one of our own only where none is named."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not (sc.master or "").startswith("local"):
+            raise RuntimeError("a cluster names its shared folder in spark.checkpoint.dir")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()

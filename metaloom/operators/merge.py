@@ -89,9 +89,11 @@ def fuse(mentions: DataFrame) -> DataFrame:
     """One row an element: name, sources, mentions, documents, fields with source
     and confidence, conflicts, mean confidence of the fields, review flag."""
     rows = identify(mentions)
+    cited = F.col("citation") if "citation" in mentions.columns else F.lit(None).cast("string")
     base = rows.groupBy("element_key").agg(
         F.min_by("name", "seq").alias("name"), F.array_join(F.array_sort(F.collect_set("source")), "+").alias("sources"), F.count("*").alias("mentions"), F.count_distinct("document").alias("documents"),
         F.bool_or(F.coalesce("critical", F.lit(False))).alias("critical"), F.max(F.col("source") == "B").alias("governed"),
+        F.min_by(F.trim(cited), F.when(F.coalesce(F.trim(cited), F.lit("")) != "", F.col("seq"))).alias("citation"),
     )
     definition = fold_in_passes(rows, "definition").select("element_key", F.col("value").alias("definition"), F.col("source").alias("definition_source"), F.col("conf").alias("definition_conf"), F.col("conflicts").alias("definition_conflicts"))
     domain = fold_in_passes(rows, "domain").select("element_key", F.col("value").alias("domain"), F.col("conf").alias("domain_conf"))
@@ -130,6 +132,6 @@ def fused_sql() -> str:
   SELECT g.*, d.r.value AS definition, d.r.source AS definition_source, e.r.value AS domain, coalesce(d.r.n, 0)::BIGINT AS conflicts,
     CASE WHEN d.r IS NULL AND e.r IS NULL THEN 0.0 ELSE (coalesce(d.r.conf, 0) + coalesce(e.r.conf, 0)) / ((d.r IS NOT NULL)::INT + (e.r IS NOT NULL)::INT) END AS confidence
   FROM (SELECT element_key, arg_min(name, seq) AS name, array_to_string(list_sort(list(DISTINCT source)), '+') AS sources, count(*) AS mentions, count(DISTINCT document) AS documents,
-      bool_or(coalesce(critical, false)) AS critical, bool_or(source = 'B') AS governed FROM m GROUP BY element_key) g
+      bool_or(coalesce(critical, false)) AS critical, bool_or(source = 'B') AS governed, arg_min(trim(citation), seq) FILTER (WHERE coalesce(trim(citation), '') <> '') AS citation FROM m GROUP BY element_key) g
   LEFT JOIN ({folded('definition')}) d USING (element_key) LEFT JOIN ({folded('domain')}) e USING (element_key)
 )"""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from metaloom.functions.text import name_key
+from metaloom.operators.lineage import durable
 
 
 def bridge_prompts(holes: DataFrame, groups: DataFrame, listed: int = 8) -> DataFrame:
@@ -22,10 +23,25 @@ def parse_bridges(answers: DataFrame) -> DataFrame:
     return answers.select("i", "j", F.trim(F.regexp_extract("answer", r"(?im)^\W*concept\W*:\s*\**\s*([^\n*]+)", 1)).alias("concept"), arrows.alias("links"), F.trim(F.regexp_extract("answer", r"(?im)^\W*(?:rationale|why)\W*:\s*\**\s*([^\n]+)", 1)).alias("rationale"))
 
 
+def ranked(rows: DataFrame, order: list) -> DataFrame:
+    """``rows`` with ``rank`` from 1 in a global order: range partitions are numbered each
+    for itself and shifted by the counts of those before, so no task sees all rows."""
+    placed = durable(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.spark_partition_id()))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = placed.groupBy("part").agg(F.count("*").alias("n")).select("part", before.alias("before"))  # one row a partition
+    own = F.row_number().over(Window.partitionBy("part").orderBy("at"))
+    return placed.withColumn("own", own).join(shift, "part").withColumn("rank", F.col("own") + F.col("before")).drop("at", "part", "own", "before")
+
+
 def eligible(fused: DataFrame, attributes: DataFrame) -> DataFrame:
     """Elements of source A without attributes, the surest first, then by name (``rank``)."""
     rows = fused.filter(F.contains("sources", F.lit("A"))).join(attributes.select(name_key(F.col("element")).alias("element_key")).distinct(), "element_key", "left_anti")
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("confidence"), F.lower("name"))))
+    return ranked(rows, [F.desc("confidence"), F.lower("name").asc(), F.asc("element_key")])
+
+
+def first_wins(rows: DataFrame, key: list, order: list) -> DataFrame:
+    """The first row of each key in an order."""
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("n = 1").drop("n")
 
 
 def parse_attributes(answers: DataFrame) -> DataFrame:

@@ -72,9 +72,10 @@ def domains_and_ranges(triples: DataFrame, entities: DataFrame, predicates: Data
     rows = endpoint_types(triples, entities).join(F.broadcast(predicates), F.lower("p") == F.lower("predicate")).filter("s_type IS NOT NULL AND o_type IS NOT NULL")
     out = []
     for end, allowed in (("s", "subjects"), ("o", "objects")):
-        parents = types.select(F.col("type").alias("t"), F.col("parent").alias("up"))
-        side = rows.join(F.broadcast(parents), F.lower(F.col(f"{end}_type")) == F.lower("t"), "left")
-        bad = side.filter(~F.array_contains(allowed, F.col(f"{end}_type")) & ~F.coalesce(F.array_contains(allowed, F.col("up")), F.lit(False)))
+        # a type stands for its declared name, case aside, a subtype for its parent
+        declared = types.select(F.lower("type").alias("t"), F.coalesce("parent", "type").alias("declared"))
+        side = rows.join(F.broadcast(declared), F.lower(F.col(f"{end}_type")) == F.col("t"), "left")
+        bad = side.filter(~F.array_contains(allowed, F.col(f"{end}_type")) & ~F.coalesce(F.array_contains(allowed, F.col("declared")), F.lit(False)))
         out.append(finding(bad, "VR005", "warning", "relationship", arrow(), F.concat(F.lit(f"{allowed}: "), F.col(f"{end}_type"))))
     return out[0].union(out[1])
 

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from metaloom.functions.text import label_key, simple_of_xsd, xsd_of_sql
-from metaloom.operators import discover
+from metaloom.functions.text import label_key, name_key
+from metaloom.operators import attributes, discover, review, suppress
 from metaloom.sources import bindings as b
-from metaloom.sources.bindings import LABEL_KEY_SQL, table
+from metaloom.sources.bindings import LABEL_KEY_SQL, NAME_KEY_SQL, table
+
+
+_GLOSSARY = [("Event Type", "varchar(20)", "view; click;buy", "what happened"), ("O TOTALPRICE", "DECIMAL(12,2)", None, "price"), ("n-name", None, "a,b", "name of a nation"), ("Margin", "double", None, "a ratio"), ("Colour", None, None, "nothing known"), ("Region", "text", None, "also a table")]
+_CODE_ATTRIBUTES = [("Events", "value", "float", "measured value", False), ("events", "props", "dict", "", False), ("events", "derived", "int", "made in code", False), ("Orders", "o-totalprice", "decimal.Decimal", "total", False), ("Basket", "items", "str", "what is in it", True)]
 
 
 def events(spark, d):
@@ -55,27 +59,62 @@ def rule_disagreement(spark, d):
 
 
 def table_classes(spark, d):
-    return discover.table_classes(b.schema_fields(spark, d))
+    return discover.table_classes(b.schema_fields(spark, d), b.KEY_OWNERS)
 
 
 def fk_triples(spark, d):
     f = b.schema_fields(spark, d).select("model", "name", F.regexp_extract("name", "^[a-z]+_([a-z]+)key$", 1).alias("t")).filter("t <> ''")
-    own = f.select("t", "model").filter("(t = model) OR (t = 'cust' AND model = 'customer') OR (t = 'supp' AND model = 'supplier') OR (t = 'order' AND model = 'orders')").select("t", F.col("model").alias("target"))
+    own = spark.createDataFrame(list(b.KEY_OWNERS.items()), "t string, target string")
     return f.join(own, "t").filter("model <> target").select(F.col("model").alias("s"), F.concat(F.lit("FK:"), "name").alias("p"), F.col("target").alias("o"))
 
 
+def _glossary(spark, d):
+    """Elements with names of columns, as a governance glossary has them."""
+    return spark.createDataFrame(_GLOSSARY, "name string, data_type string, enum_values string, definition string")
+
+
 def schema_enrichment(spark, d):
-    """Columns joined to elements by name; columns without one become elements."""
-    c = b.schema_fields(spark, d).select("model", "name", xsd_of_sql(F.col("field_type")).alias("xsd"), label_key(F.regexp_replace("name", "^[a-z]+_", "")).alias("k"))
-    used = b.code_rules(spark, d).select(label_key(F.col("attribute")).alias("k")).distinct().withColumn("in_code", F.lit(True))
-    return c.join(used, "k", "left").select("model", "name", "xsd", simple_of_xsd(F.col("xsd")).alias("simple"), F.coalesce("in_code", F.lit(False)).alias("in_code"))
+    """Columns and the elements that they enrich; columns without one become elements."""
+    fields = b.schema_fields(spark, d).withColumn("nullable", ~F.col("name").endswith("key"))
+    return attributes.schema_matches(_glossary(spark, d), fields)
 
 
 def attribute_merge(spark, d):
-    """Schema and code attributes joined by name on both sides."""
-    c = b.schema_fields(spark, d).select(F.col("model").alias("e"), label_key(F.col("name")).alias("a"), xsd_of_sql(F.col("field_type")).alias("xsd"))
-    r = b.code_rules(spark, d).groupBy(F.lit("events").alias("e"), label_key(F.col("attribute")).alias("a")).agg(F.count("*").alias("rules")).union(spark.createDataFrame([("events", "derived", 1)], "e string, a string, rules bigint"))
-    return c.join(r, ["e", "a"], "full_outer").select("e", "a", "xsd", F.coalesce("rules", F.lit(0)).alias("rules"), F.when(F.col("xsd").isNull(), "D").when(F.col("rules").isNull(), "C").otherwise("C+D").alias("sources"))
+    """Attributes of tables and of classes in code, by entity and name."""
+    c = b.schema_fields(spark, d).select(F.col("model").alias("entity"), "name", "field_type", (F.col("pos") == 0).alias("is_id"), (F.col("pos") > 0).alias("nullable"))
+    code = spark.createDataFrame(_CODE_ATTRIBUTES, "entity string, name string, python_type string, description string, many boolean")
+    return attributes.merged(c, code)
+
+
+def governed_attributes(spark, d):
+    """Attributes of governance records for elements that neither a table nor a class has."""
+    taken = b.schema_fields(spark, d).select(F.col("model").alias("entity"))
+    return attributes.governed(_glossary(spark, d), taken)
+
+
+_NOISE_NAMES = ["orders_audit", "tmp_load", "TMP_keep", "vw_orders_audit", "journal", "created_at", "birth_at", "Updated_By", "report_ts", "etag", "sys_id", "valuation_timestamp", "event_ts", "ts"]
+
+
+def suppression_audit(spark, d):
+    """tables, columns and a few noisy names, each with the reason for which it is left out."""
+    extra = spark.createDataFrame([(n,) for n in _NOISE_NAMES], "name string")
+    fields = b.schema_fields(spark, d)
+    tables = fields.select(F.col("model").alias("name")).distinct().union(extra).select(F.lit("table").alias("kind"), "name", suppress.table_reason(F.col("name"), ["part"], ["tmp_keep"]).alias("reason"))
+    columns = fields.select("name").union(extra).select(F.lit("column").alias("kind"), "name", suppress.column_reason(F.col("name"), ["*_comment", "props"], ["sys_*"]).alias("reason"))
+    return tables.union(columns)
+
+
+def eligible_concepts(spark, d):
+    """Concepts of A without attributes, the surest first."""
+    c = b.concepts(spark, d).groupBy(name_key(F.col("name")).alias("element_key")).agg(F.min("name").alias("name"), F.max("conf").alias("confidence")).withColumn("sources", F.lit("A"))
+    having = b.governance(spark, d).select(F.col("name").alias("element"))
+    return review.eligible(c, having).select("element_key", "confidence", F.col("rank").cast("long").alias("rank"))
+
+
+def profile_subtypes(spark, d):
+    """Subtypes of an induced profile: labels of a kind, the first of those that differ in case only."""
+    e = events(spark, d).filter("kind IN ('vocabulary', 'attribute')").select("kind", "label", "seq")
+    return review.first_wins(e, ["kind", F.lower(F.trim("label"))], ["seq", "label"]).groupBy("kind").agg(F.count("*").alias("subtypes"), F.min("label").alias("least"))
 
 
 def rule_attach(spark, d):
@@ -120,6 +159,14 @@ re AS (SELECT *, CASE WHEN score >= 0.70 THEN 'core_business' WHEN score >= 0.40
 _XSD = "'xsd:' || CASE field_type WHEN 'STRING' THEN 'string' WHEN 'INT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'double' ELSE 'dateTime' END"
 _REF = "CASE regexp_extract(name, '^[a-z]+_([a-z]+)key$', 1) WHEN 'region' THEN 'region' WHEN 'nation' THEN 'nation' WHEN 'cust' THEN 'customer' WHEN 'supp' THEN 'supplier' WHEN 'part' THEN 'part' WHEN 'order' THEN 'orders' END"
 
+_GL = "gl AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" for v in row) + ")" for row in _GLOSSARY) + ") AS x(name, data_type, enum_values, definition))"
+_SIMPLE = "CASE field_type WHEN 'INT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'decimal' WHEN 'TIMESTAMP_NTZ' THEN 'datetime' ELSE 'string' END"
+
+
+def _globs(patterns: list[str]) -> str:
+    return " ".join(f"WHEN lower(name) GLOB '{p}' THEN 'noise {p}'" for p in patterns)
+
+
 ORACLES = {
     "candidate_merge": f"{_EV} SELECT merge_key, kind, norm, aliases, n_a, n_b, n_c, n_d FROM ca",
     "corroboration_boost": f"{_EV} SELECT merge_key, strength FROM ca",
@@ -130,10 +177,14 @@ ORACLES = {
     "rule_disagreement": f"WITH {b.CODE_RULES} SELECT entity, attribute, count(DISTINCT predicate || ' ' || tag || ' ' || value) AS n, count(*) AS rules FROM d GROUP BY ALL HAVING count(DISTINCT predicate || ' ' || tag || ' ' || value) > 1",
     "table_classes": f"WITH {b.SCHEMA_FIELDS}, x AS (SELECT *, {_REF} AS r0 FROM c), y AS (SELECT *, CASE WHEN r0 <> model THEN r0 END AS ref FROM x), p AS (SELECT model, count(*) AS columns, count(ref) AS fk_out, count_if(suffix(name, '_name')) AS nm FROM y GROUP BY model), i AS (SELECT ref AS model, count(*) AS fk_in FROM y WHERE ref IS NOT NULL GROUP BY ref) SELECT model, columns, fk_out, coalesce(fk_in, 0) AS fk_in, CASE WHEN fk_out >= 2 AND fk_out = columns THEN 'bridge' WHEN (coalesce(fk_in, 0) > 0)::INT + (columns <= 3)::INT + (nm > 0)::INT >= 2 THEN 'code_table' ELSE 'entity' END AS class FROM p LEFT JOIN i USING (model)",
     "fk_triples": f"WITH {b.SCHEMA_FIELDS}, x AS (SELECT *, {_REF} AS ref FROM c) SELECT model AS s, 'FK:' || name AS p, ref AS o FROM x WHERE ref <> model",
-    "schema_enrichment": f"WITH {b.SCHEMA_FIELDS} SELECT model, name, {_XSD} AS xsd, CASE field_type WHEN 'INT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'decimal' WHEN 'TIMESTAMP_NTZ' THEN 'datetime' ELSE 'string' END AS simple, regexp_replace(name, '^[a-z]+_', '') = 'value' AS in_code FROM c",
-    "attribute_merge": f"WITH {b.SCHEMA_FIELDS}, {b.CODE_RULES}, q AS (SELECT count(*) AS k FROM d) SELECT model AS e, name AS a, {_XSD} AS xsd, CASE WHEN model = 'events' AND name = 'value' THEN k ELSE 0 END AS rules, CASE WHEN model = 'events' AND name = 'value' THEN 'C+D' ELSE 'C' END AS sources FROM c, q UNION ALL SELECT 'events', 'derived', NULL, 1, 'D'",
+    "schema_enrichment": f"WITH {b.SCHEMA_FIELDS}, {_GL} SELECT c.model, c.name, g.name AS element, {_SIMPLE} AS data_type, CASE WHEN suffix(c.name, 'key') THEN 'M' END AS mandatory, 0.95::DOUBLE AS confidence, CASE WHEN g.name IS NULL THEN 'new' ELSE 'enriched' END AS outcome FROM c LEFT JOIN gl g ON {NAME_KEY_SQL.format('c.name')} = {NAME_KEY_SQL.format('g.name')}",
+    "attribute_merge": f"WITH {b.SCHEMA_FIELDS}, co AS (SELECT * FROM (VALUES ('Events', 'value', 'xsd:double', 'float', 'measured value', false), ('events', 'props', 'xsd:string', 'dict', '', false), ('events', 'derived', 'xsd:integer', 'int', 'made in code', false), ('Orders', 'o-totalprice', 'xsd:decimal', 'decimal.Decimal', 'total', false), ('Basket', 'items', 'xsd:string', 'str', 'what is in it', true)) AS x(entity, name, xsd, raw, description, many)), l AS (SELECT {NAME_KEY_SQL.format('model')} AS e, {NAME_KEY_SQL.format('name')} AS a, {_XSD} AS cx, field_type, pos FROM c), r AS (SELECT {NAME_KEY_SQL.format('entity')} AS e, {NAME_KEY_SQL.format('name')} AS a, xsd AS dx, raw, description, many FROM co) SELECT coalesce(l.e, r.e) AS entity_key, coalesce(l.a, r.a) AS attribute_key, coalesce(cx, dx) AS xsd, coalesce(field_type, raw) AS raw_type, coalesce(description, '') AS description, coalesce(pos = 0, false) AS is_id, coalesce(pos > 0, true) AS nullable, coalesce(many, false) AS many, CASE WHEN raw IS NULL THEN 'C' WHEN field_type IS NULL THEN 'D' ELSE 'C+D' END AS sources, CASE WHEN cx <> dx THEN dx END AS rejected FROM l FULL JOIN r ON l.e = r.e AND l.a = r.a",
+    "governed_attributes": f"WITH {_GL} SELECT {NAME_KEY_SQL.format('name')} AS entity_key, name AS attribute, CASE upper(regexp_replace(coalesce(data_type, ''), '\\(.*\\)', '')) WHEN 'DECIMAL' THEN 'xsd:decimal' WHEN 'DOUBLE' THEN 'xsd:double' ELSE 'xsd:string' END AS xsd, definition AS description, CASE WHEN enum_values IS NULL THEN '' ELSE array_to_string(list_transform(string_split(replace(enum_values, ';', ','), ','), lambda v: trim(v)), ';') END AS enum_values, 0.7::DOUBLE AS confidence FROM gl WHERE (data_type IS NOT NULL OR enum_values IS NOT NULL) AND lower(name) NOT IN ('region')",
+    "suppression_audit": f"WITH {b.SCHEMA_FIELDS}, x AS (SELECT unnest({_NOISE_NAMES}) AS name), ta AS (SELECT DISTINCT model AS name FROM c UNION ALL SELECT name FROM x), cn AS (SELECT name FROM c UNION ALL SELECT name FROM x) SELECT 'table' AS kind, name, CASE WHEN lower(name) GLOB 'part' THEN 'excluded by part' WHEN lower(name) GLOB 'tmp_keep' THEN NULL {_globs(suppress.TABLE_NOISE)} END AS reason FROM ta UNION ALL SELECT 'column', name, CASE WHEN lower(name) GLOB '*_comment' THEN 'excluded by *_comment' WHEN lower(name) GLOB 'props' THEN 'excluded by props' WHEN lower(name) GLOB 'sys_*' THEN NULL WHEN regexp_matches(lower(name), '^({'|'.join(suppress.MEANINGFUL)})') THEN NULL {_globs(suppress.COLUMN_NOISE)} END FROM cn",
+    "eligible_concepts": f"WITH {b.CONCEPTS}, {b.GOVERNANCE}, k AS (SELECT {NAME_KEY_SQL.format('name')} AS element_key, min(name) AS name, max(conf) AS confidence FROM a GROUP BY 1) SELECT element_key, confidence, row_number() OVER (ORDER BY confidence DESC, lower(name), element_key) AS rank FROM k WHERE element_key NOT IN (SELECT {NAME_KEY_SQL.format('name')} FROM b)",
+    "profile_subtypes": f"{_EV} SELECT kind, count(*) AS subtypes, min(label) AS least FROM (SELECT *, row_number() OVER (PARTITION BY kind, lower(trim(label)) ORDER BY seq, label) AS r FROM ev WHERE kind IN ('vocabulary', 'attribute')) WHERE r = 1 GROUP BY kind",
     "rule_attach": f"WITH {b.CODE_RULES} SELECT rule, {LABEL_KEY_SQL.format('entity')} AS element FROM d",
     "budget_admission": f"WITH RECURSIVE {b.CONCEPTS}, k AS (SELECT name, max(conf) AS conf, count(*) AS cost FROM a GROUP BY name), o AS (SELECT lower(name) AS name, cost, row_number() OVER (ORDER BY conf DESC, lower(name)) AS n FROM k), w AS (SELECT 0::BIGINT AS n, 0::BIGINT AS used, 0::BIGINT AS got, NULL::VARCHAR AS name UNION ALL SELECT o.n, CASE WHEN used + cost <= 1000 AND got < 60 THEN used + cost ELSE used END, CASE WHEN used + cost <= 1000 AND got < 60 THEN got + 1 ELSE got END, CASE WHEN used + cost <= 1000 AND got < 60 THEN o.name END FROM w JOIN o ON o.n = w.n + 1) SELECT name FROM w WHERE name IS NOT NULL",
 }
 
-QUERIES = {f.__name__: f for f in (candidate_merge, corroboration_boost, graph_degree, relevance_scores, relevance_bands, induced_profile, rule_disagreement, table_classes, fk_triples, schema_enrichment, attribute_merge, rule_attach, budget_admission)}
+QUERIES = {f.__name__: f for f in (candidate_merge, corroboration_boost, graph_degree, relevance_scores, relevance_bands, induced_profile, rule_disagreement, table_classes, fk_triples, schema_enrichment, attribute_merge, governed_attributes, suppression_audit, eligible_concepts, profile_subtypes, rule_attach, budget_admission)}

@@ -61,13 +61,14 @@ def document_corroboration(spark, d):
 
 def coverage_gaps(spark, d):
     f = _fused(spark, d)
-    missing = F.coalesce(F.trim("definition"), F.lit("")) == ""
-    return f.filter(missing | F.col("domain").isNull()).select("element_key", F.when(missing, "warning").otherwise("info").alias("severity"))
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    missing = F.concat_ws(",", F.when(blank("definition"), "definition"), F.when(blank("citation"), "citation"))
+    return f.filter(blank("definition") | blank("citation")).select("element_key", F.when(blank("definition"), "warning").otherwise("info").alias("severity"), missing.alias("missing"))
 
 
 def reference_prf1(spark, d):
     found = merge.identify(_mentions(spark, d)).select("element_key")
-    truth = merge.identify(b.concepts(spark, d).filter("seq % 5 <> 0")).select("element_key").union(b.table(spark, d, "region").select(F.lower("r_name")))
+    truth = merge.identify(b.concepts(spark, d).filter("definition NOT LIKE 'SMALL%'")).select("element_key").union(b.table(spark, d, "region").select(F.lower("r_name")))
     return report.precision_recall(found, truth, ["element_key"])
 
 
@@ -86,7 +87,7 @@ def anchor_coverage(spark, d):
 def lookup(spark, d):
     """Exact lookup of names taken from the suppliers' table of parts."""
     f = _fused(spark, d)
-    asked = b.table(spark, d, "part").filter("p_partkey % 5 = 0").select(name_key(F.upper("p_name")).alias("element_key")).distinct()
+    asked = b.table(spark, d, "part").select(name_key(F.upper("p_name")).alias("element_key")).distinct()
     return f.join(asked, "element_key").select("element_key", "name", "definition")
 
 
@@ -105,7 +106,7 @@ def element_card(spark, d):
 
 def plausible_terms(spark, d):
     words = b.table(spark, d, "documents").select(F.explode(F.split(F.lower("text"), r"[^a-z]+")).alias("term")).filter("term <> ''")
-    return words.groupBy("term").count().filter(is_plausible_term(F.col("term")) & (F.col("count") >= 50)).select("term", F.col("count").alias("n"))
+    return words.groupBy("term").count().filter(is_plausible_term(F.col("term"))).select("term", F.col("count").alias("n"))
 
 
 def review_summary(spark, d):
@@ -141,11 +142,11 @@ ORACLES = {
     "confidence_stats": f"{_FUSED} SELECT min(confidence) AS least, median(confidence) AS median, avg(confidence) AS mean, max(confidence) AS greatest, count_if(confidence < 0.5)::BIGINT AS below_50, count_if(confidence >= 0.5 AND confidence < 0.7)::BIGINT AS below_70, count_if(confidence >= 0.7 AND confidence < 0.9)::BIGINT AS below_90, count_if(confidence >= 0.9)::BIGINT AS from_90, count_if(confidence < 0.7)::BIGINT AS needs_review FROM f",
     "corroboration_distribution": f"{_FUSED} SELECT CASE WHEN documents = 1 THEN '1' WHEN documents = 2 THEN '2' ELSE '3+' END AS documents, count(*) AS elements FROM f WHERE documents > 0 GROUP BY 1",
     "document_corroboration": f"WITH {b.CONCEPTS}, {b.GOVERNANCE}, {merge.identified_sql(_KEY).replace('SELECT * FROM a UNION ALL SELECT * FROM b', 'SELECT * FROM a')} SELECT element_key, string_agg(document, ',' ORDER BY q) AS documents, count(*) AS n FROM (SELECT element_key, document, min(seq) AS q FROM m GROUP BY ALL) GROUP BY element_key",
-    "coverage_gaps": f"{_FUSED} SELECT element_key, CASE WHEN coalesce(trim(definition), '') = '' THEN 'warning' ELSE 'info' END AS severity FROM f WHERE coalesce(trim(definition), '') = '' OR domain IS NULL",
-    "lookup": f"{_FUSED} SELECT element_key, name, definition FROM f WHERE element_key IN (SELECT {_KEY.format('upper(p_name)')} FROM part WHERE p_partkey % 5 = 0)",
+    "coverage_gaps": f"{_FUSED} SELECT element_key, CASE WHEN coalesce(trim(definition), '') = '' THEN 'warning' ELSE 'info' END AS severity, concat_ws(',', CASE WHEN coalesce(trim(definition), '') = '' THEN 'definition' END, CASE WHEN coalesce(trim(citation), '') = '' THEN 'citation' END) AS missing FROM f WHERE coalesce(trim(definition), '') = '' OR coalesce(trim(citation), '') = ''",
+    "lookup": f"{_FUSED} SELECT element_key, name, definition FROM f WHERE element_key IN (SELECT {_KEY.format('upper(p_name)')} FROM part)",
     "search": f"{_FUSED} SELECT element_key, name, sources FROM f WHERE contains(element_key, 'red')",
     "anchor_coverage": f"{_ID} SELECT field, count_if(anchored)::BIGINT AS with_anchor, count_if(NOT anchored)::BIGINT AS without_anchor FROM (SELECT element_key, 'definition' AS field, bool_or(document IS NOT NULL) AS anchored FROM m WHERE definition IS NOT NULL GROUP BY 1 UNION ALL SELECT element_key, 'domain', bool_or(document IS NOT NULL) FROM m WHERE domain IS NOT NULL GROUP BY 1) GROUP BY field",
-    "reference_prf1": f"""{_ID}, ref AS (SELECT * FROM a WHERE seq % 5 <> 0), r0 AS (SELECT *, {_KEY.format('name')} AS name_key FROM ref),
+    "reference_prf1": f"""{_ID}, ref AS (SELECT * FROM a WHERE definition NOT LIKE 'SMALL%'), r0 AS (SELECT *, {_KEY.format('name')} AS name_key FROM ref),
   r1 AS (SELECT *, CASE WHEN eid IS NULL THEN true ELSE row_number() OVER (PARTITION BY eid ORDER BY seq) = 1 END AS touches FROM r0),
   r2 AS (SELECT *, first_value(CASE WHEN touches THEN eid END IGNORE NULLS) OVER (PARTITION BY name_key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS base FROM r1),
   r3 AS (SELECT *, CASE WHEN eid IS NULL OR eid = base THEN name_key ELSE name_key || '#id:' || eid END AS own FROM r2),
@@ -156,7 +157,7 @@ ORACLES = {
     "element_card": f"""{_FUSED}, {b.TRIPLES}, e AS (SELECT {_KEY.format('s')} AS element_key, 'out ' || p AS role FROM t UNION ALL SELECT {_KEY.format('o')}, 'in ' || p FROM t),
   l AS (SELECT element_key, array_to_string(list_sort(list(role || '=' || n)), '; ') AS links FROM (SELECT element_key, role, count(*) AS n FROM e GROUP BY ALL) GROUP BY element_key)
   SELECT element_key, concat_ws(' | ', name, definition, 'sources: ' || sources, 'conflicts: ' || conflicts, coalesce(links, 'no links')) AS card FROM f LEFT JOIN l USING (element_key)""",
-    "review_summary": f"""{_FUSED}, r AS (SELECT 'contradiction' AS rule, 'warning' AS severity FROM f WHERE conflicts > 0 UNION ALL SELECT 'coverage_gap', CASE WHEN coalesce(trim(definition), '') = '' THEN 'warning' ELSE 'info' END FROM f WHERE coalesce(trim(definition), '') = '' OR domain IS NULL)
+    "review_summary": f"""{_FUSED}, r AS (SELECT 'contradiction' AS rule, 'warning' AS severity FROM f WHERE conflicts > 0 UNION ALL SELECT 'coverage_gap', CASE WHEN coalesce(trim(definition), '') = '' THEN 'warning' ELSE 'info' END FROM f WHERE coalesce(trim(definition), '') = '' OR coalesce(trim(citation), '') = '')
   SELECT coalesce(rule, 'all') AS rule, coalesce(severity, 'all') AS severity, count(*) AS n FROM r GROUP BY GROUPING SETS ((rule, severity), (rule), ())""",
     "f1_scores": "SELECT p_partkey, CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END AS f1 FROM (SELECT p_partkey, (p_size % 10) / 10 AS p, (p_size % 7) / 7 AS r FROM part)",
 }
@@ -170,4 +171,4 @@ def _stop_sql() -> str:
     return ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 
-ORACLES["plausible_terms"] = f"SELECT term, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS term FROM documents) WHERE term <> '' AND term NOT IN ({_stop_sql()}) GROUP BY term HAVING count(*) >= 50"
+ORACLES["plausible_terms"] = f"SELECT term, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS term FROM documents) WHERE term <> '' AND term NOT IN ({_stop_sql()}) GROUP BY term"

@@ -29,7 +29,7 @@ def concept_graph(spark, d):
 
 
 def components(spark, d):
-    e = b.triples(spark, d).filter("p <> 'supplies'").select(F.least("s", "o").alias("x"), F.greatest("s", "o").alias("y"))
+    e = b.triples(spark, d).select(F.least("s", "o").alias("x"), F.greatest("s", "o").alias("y"))
     return graph.components(e)
 
 
@@ -39,19 +39,30 @@ def link_components(spark, d):
 
 
 def communities(spark, d):
-    return graph.communities(_edges(spark, d).filter("w > 0.75").select("x", "y"))
+    return graph.communities(_edges(spark, d).select("x", "y"))
+
+
+def _holes(spark, d):
+    """Holes between fixed groups: the entities by the first letter of their names."""
+    groups = validation.entities(spark, d).select(name_key(F.col("name")).alias("node")).distinct().select("node", F.left("node", F.lit(1)).alias("community"))
+    return graph.structural_holes(_edges(spark, d).select("x", "y"), groups)
 
 
 def structural_holes(spark, d):
-    """Holes between fixed groups: the components of the region graph."""
-    e = b.triples(spark, d).filter("p <> 'supplies'").select(F.least("s", "o").alias("x"), F.greatest("s", "o").alias("y"))
-    return graph.structural_holes(_edges(spark, d).select(F.col("x"), F.col("y")), graph.components(e).select(name_key(F.col("node")).alias("node"), F.col("component").alias("community"))).select("i", "j", "n_i", "n_j", "edges", "density")
+    return _holes(spark, d).select("i", "j", "n_i", "n_j", "edges", "density")
+
+
+def worst_gaps(spark, d):
+    """The ten worst holes, and a row with the number of those not shown."""
+    return graph.worst(_holes(spark, d), [F.asc("density"), F.desc(F.col("n_i") + F.col("n_j")), F.asc("i"), F.asc("j")], 10).select("i", "j", "density", "more")
 
 
 def bridge_concepts(spark, d):
-    e = _edges(spark, d).filter("w > 0.75")
+    """The ten most central concepts, and a row with the number of those not shown."""
+    e = _edges(spark, d)
     n = e.select("x").union(e.select("y")).distinct().count()
-    return graph.betweenness(e, n).filter(F.col("centrality") > 1 / max(1, n - 1)).orderBy(F.desc("centrality"), "node").limit(10)
+    found = graph.betweenness(e, n).filter(F.col("centrality") > 1 / max(1, n - 1))
+    return graph.worst(found, [F.desc("centrality"), F.asc("node")], 10)
 
 
 def _hierarchy(spark, d):
@@ -91,7 +102,7 @@ def definition_enrichment(spark, d):
 def _ontology(spark, d):
     fused = merge.fuse(b.concepts(spark, d).unionByName(b.governance(spark, d)))
     fields = b.schema_fields(spark, d).select("model", "name", xsd_of_sql(F.col("field_type")).alias("xsd"))
-    return ontology.project(fused, b.triples(spark, d).filter("p <> 'supplies'"), fields)
+    return ontology.project(fused, b.triples(spark, d), fields)
 
 
 def owl_triples(spark, d):
@@ -116,7 +127,7 @@ def ontology_merge(spark, d):
 
 def ontology_rename(spark, d):
     names = table(spark, d, "nation").select(F.col("n_name").alias("old"), F.concat(F.lit("country "), F.col("n_nationkey").cast("string")).alias("new"))
-    return ontology.rename(b.triples(spark, d).filter("p <> 'supplies'"), names)
+    return ontology.rename(b.triples(spark, d), names)
 
 
 def ontology_lint(spark, d):
@@ -135,13 +146,14 @@ def domain_range_rollup(spark, d):
 
 _N = NAME_KEY_SQL
 _G = f"""{validation._E}, ed AS (SELECT least(x, y) AS x, greatest(x, y) AS y, arg_max(conf, seq) AS w FROM (SELECT {_N.format('s')} AS x, {_N.format('o')} AS y, conf, CASE p WHEN 'in' THEN 1 WHEN 'based in' THEN 2 ELSE 3 END AS seq FROM t) WHERE x <> y AND x IN (SELECT k FROM e) AND y IN (SELECT k FROM e) GROUP BY 1, 2)"""
+_HOLES = "gr AS (SELECT DISTINCT k AS node, left(k, 1) AS component FROM e), sz AS (SELECT component, count(*) AS n FROM gr GROUP BY component), cr AS (SELECT least(a.component, b.component) AS i, greatest(a.component, b.component) AS j, count(*) AS edges FROM ed JOIN gr a ON x = a.node JOIN gr b ON y = b.node GROUP BY 1, 2), ho AS (SELECT p.component AS i, q.component AS j, p.n AS n_i, q.n AS n_j, coalesce(edges, 0) AS edges, coalesce(edges, 0) / (p.n * q.n) AS density FROM sz p JOIN sz q ON p.component < q.component LEFT JOIN cr ON cr.i = p.component AND cr.j = q.component WHERE coalesce(edges, 0) / (p.n * q.n) < 0.05)"
 _REACH = "both_ AS (SELECT s AS x, o AS y FROM {0} UNION SELECT o, s FROM {0}), reach AS (SELECT x AS node, x AS seen FROM both_ UNION SELECT node, y FROM reach JOIN both_ ON seen = x), comp AS (SELECT node, min(seen) AS component FROM reach GROUP BY node)"
 _H = r"h AS (SELECT DISTINCT p_name AS child, regexp_extract(p_name, '(\S+)$', 1) AS parent FROM part UNION SELECT regexp_extract(p_name, '(\S+)$', 1), 'kind ' || left(regexp_extract(p_name, '(\S+)$', 1), 1) FROM part UNION SELECT 'kind ' || left(regexp_extract(p_name, '(\S+)$', 1), 1), 'thing' FROM part), cl AS (SELECT child, parent FROM h UNION SELECT cl.child, h.parent FROM cl JOIN h ON cl.parent = h.child)"
 _SIM = "CASE WHEN x = y THEN 1 WHEN x || 's' = y OR y || 's' = x OR x || 'es' = y OR y || 'es' = x THEN 0.95 WHEN contains(x, y) OR contains(y, x) THEN least(length(x), length(y)) / greatest(length(x), length(y)) ELSE 0 END::DOUBLE"
 _C = r"regexp_replace(lower({0}), '[\s_/.-]+', '', 'g')"
 _W = r"list_distinct(list_filter(string_split_regex(lower({0}), '[\s_/.-]+'), lambda q: q <> ''))"
 _O = f"""WITH {b.CONCEPTS}, {b.GOVERNANCE}, {merge.identified_sql(_N)}, {merge.fused_sql()}, {b.TRIPLES}, {b.SCHEMA_FIELDS},
-pf AS (SELECT '{BASE}' || regexp_replace(lower(trim(element_key)), '[ /]', '_', 'g') AS i, * FROM f), pr AS (SELECT '{BASE}rel/' || regexp_replace(lower(trim(p)), '[ /]', '_', 'g') AS i, p, '{BASE}' || regexp_replace(lower(trim(s)), '[ /]', '_', 'g') AS s, '{BASE}' || regexp_replace(lower(trim(o)), '[ /]', '_', 'g') AS o FROM t WHERE p <> 'supplies'),
+pf AS (SELECT '{BASE}' || regexp_replace(lower(trim(element_key)), '[ /]', '_', 'g') AS i, * FROM f), pr AS (SELECT '{BASE}rel/' || regexp_replace(lower(trim(p)), '[ /]', '_', 'g') AS i, p, '{BASE}' || regexp_replace(lower(trim(s)), '[ /]', '_', 'g') AS s, '{BASE}' || regexp_replace(lower(trim(o)), '[ /]', '_', 'g') AS o FROM t),
 pc AS (SELECT '{BASE}' || model || '/' || name AS i, model, name, 'xsd:' || CASE field_type WHEN 'STRING' THEN 'string' WHEN 'INT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'double' ELSE 'dateTime' END AS xsd FROM c),
 ow AS (SELECT i AS s, 'rdf:type' AS p, 'owl:Class' AS o FROM pf UNION SELECT i, 'rdfs:label', name FROM pf UNION SELECT i, 'rdfs:comment', definition FROM pf WHERE definition IS NOT NULL UNION SELECT i, 'dc:source', sources FROM pf
   UNION SELECT i, 'rdf:type', 'owl:ObjectProperty' FROM pr UNION SELECT i, 'rdfs:label', p FROM pr UNION SELECT i, 'rdfs:domain', s FROM pr UNION SELECT i, 'rdfs:range', o FROM pr
@@ -150,9 +162,10 @@ _LINKS = "lk AS (SELECT DISTINCT url AS s, o FROM (SELECT url, unnest(regexp_ext
 
 ORACLES = {
     "concept_graph": f"{_G} SELECT x, y, w FROM ed",
-    "components": f"WITH RECURSIVE {b.TRIPLES}, tt AS (SELECT s, o FROM t WHERE p <> 'supplies'), {_REACH.format('tt')} SELECT node, component FROM comp",
+    "components": f"WITH RECURSIVE {b.TRIPLES}, tt AS (SELECT s, o FROM t), {_REACH.format('tt')} SELECT node, component FROM comp",
     "link_components": f"WITH RECURSIVE {_LINKS}, {_REACH.format('lk')} SELECT component, count(*) AS n FROM comp GROUP BY component",
-    "structural_holes": f"{_G.replace('WITH ', 'WITH RECURSIVE ', 1)}, tt AS (SELECT s, o FROM t WHERE p <> 'supplies'), {_REACH.format('tt')}, gr AS (SELECT {_N.format('node')} AS node, component FROM comp), sz AS (SELECT component, count(*) AS n FROM gr GROUP BY component), cr AS (SELECT least(a.component, b.component) AS i, greatest(a.component, b.component) AS j, count(*) AS edges FROM ed JOIN gr a ON x = a.node JOIN gr b ON y = b.node GROUP BY 1, 2) SELECT p.component AS i, q.component AS j, p.n AS n_i, q.n AS n_j, coalesce(edges, 0) AS edges, coalesce(edges, 0) / (p.n * q.n) AS density FROM sz p JOIN sz q ON p.component < q.component LEFT JOIN cr ON cr.i = p.component AND cr.j = q.component WHERE coalesce(edges, 0) / (p.n * q.n) < 0.05",
+    "structural_holes": f"{_G}, {_HOLES} SELECT * FROM ho",
+    "worst_gaps": f"{_G}, {_HOLES}, ra AS (SELECT *, row_number() OVER (ORDER BY density, n_i + n_j DESC, i, j) AS r FROM ho) SELECT i, j, density, NULL::BIGINT AS more FROM ra WHERE r <= 10 UNION ALL SELECT NULL, NULL, NULL, count(*) - 10 FROM ra HAVING count(*) > 10",
     "subclass_closure": f"WITH RECURSIVE {_H} SELECT child, parent FROM cl",
     "reasoned_types": f"WITH RECURSIVE {_H}, ty AS (SELECT 'part ' || p_partkey AS s, p_name AS o FROM part), al AS (SELECT s, o FROM ty UNION SELECT s, parent FROM ty JOIN cl ON o = child) SELECT o, count(*) AS n FROM al GROUP BY o",
     "duplicate_names": f"WITH n AS (SELECT DISTINCT p_name || ' ' || p_brand AS name FROM part), k AS (SELECT name, regexp_replace(lower(name), '[_-]', '', 'g') AS k FROM n), p AS (SELECT a.name AS a, b.name AS b, a.k AS x, b.k AS y FROM k a JOIN k b ON a.name < b.name) SELECT a, b, {_SIM} AS similarity FROM p WHERE {_SIM} >= 0.8",
@@ -162,9 +175,9 @@ ORACLES = {
     "ontology_lint": f"{_O}, cs AS (SELECT s FROM ow WHERE p = 'rdf:type' AND o = 'owl:Class'), ps AS (SELECT s FROM ow WHERE p = 'rdf:type' AND o <> 'owl:Class'), l AS (SELECT 'no_comment' AS rule FROM cs WHERE s NOT IN (SELECT s FROM ow WHERE p = 'rdfs:comment') UNION ALL SELECT 'lonely_class' FROM cs UNION ALL SELECT 'no_domain' FROM ps WHERE s NOT IN (SELECT s FROM ow WHERE p = 'rdfs:domain') UNION ALL SELECT 'no_range' FROM ps WHERE s NOT IN (SELECT s FROM ow WHERE p = 'rdfs:range') UNION ALL SELECT 'shared_label' FROM (SELECT lower(o) FROM cs JOIN ow USING (s) WHERE p = 'rdfs:label' GROUP BY 1 HAVING count(DISTINCT s) > 1)) SELECT rule, count(*) AS n FROM l GROUP BY rule",
     "ontology_diff": f"WITH {b.TRIPLES} SELECT CASE p WHEN 'in' THEN 'added' ELSE 'removed' END AS change, p, count(*) AS n FROM (SELECT DISTINCT s, p, o FROM t) WHERE p <> 'supplies' GROUP BY ALL",
     "ontology_merge": "WITH ba AS (SELECT DISTINCT p_name AS s, 'rdfs:label' AS p, p_type AS o FROM part WHERE p_type <> 'PROMO' UNION SELECT n_name, 'rdf:type', 'owl:Class' FROM nation), ot AS (SELECT DISTINCT p_name AS s, 'rdfs:label' AS p, p_type || ' 2' AS o FROM part UNION SELECT r_name, 'rdfs:label', r_name FROM region) SELECT s, p, o FROM ba UNION SELECT s, p, min(o) FROM ot WHERE (s, p) NOT IN (SELECT (s, p) FROM ba) GROUP BY s, p",
-    "ontology_rename": f"WITH {b.TRIPLES}, n AS (SELECT n_name, 'country ' || n_nationkey AS new FROM nation) SELECT DISTINCT coalesce(x.new, s) AS s, p, coalesce(y.new, o) AS o FROM t LEFT JOIN n x ON s = x.n_name LEFT JOIN n y ON o = y.n_name WHERE p <> 'supplies'",
+    "ontology_rename": f"WITH {b.TRIPLES}, n AS (SELECT n_name, 'country ' || n_nationkey AS new FROM nation) SELECT DISTINCT coalesce(x.new, s) AS s, p, coalesce(y.new, o) AS o FROM t LEFT JOIN n x ON s = x.n_name LEFT JOIN n y ON o = y.n_name",
     "class_listing": f"WITH RECURSIVE {_H} SELECT h.child AS s, array_to_string(list_transform(string_split(h.child, ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ') AS label, string_agg(DISTINCT h.parent, ',' ORDER BY h.parent) AS parents, (SELECT count(DISTINCT g.child) FROM h g WHERE g.parent = h.child) AS children FROM h GROUP BY h.child",
     "domain_range_rollup": f"WITH {b.TRIPLES} SELECT p, count(DISTINCT s) AS domains, count(DISTINCT o) AS ranges, min(s) AS first_domain, min(o) AS first_range FROM t GROUP BY p",
 }
 
-QUERIES = {f.__name__: f for f in (concept_graph, components, link_components, communities, structural_holes, bridge_concepts, subclass_closure, reasoned_types, duplicate_names, fuzzy_best_match, definition_enrichment, owl_triples, ontology_diff, ontology_merge, ontology_rename, ontology_lint, class_listing, domain_range_rollup)}
+QUERIES = {f.__name__: f for f in (concept_graph, components, link_components, communities, structural_holes, worst_gaps, bridge_concepts, subclass_closure, reasoned_types, duplicate_names, fuzzy_best_match, definition_enrichment, owl_triples, ontology_diff, ontology_merge, ontology_rename, ontology_lint, class_listing, domain_range_rollup)}

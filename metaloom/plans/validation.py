@@ -122,7 +122,7 @@ _F = {
 }
 _OWNED = "(SELECT e.*, coalesce(parent, type) AS owner FROM e JOIN ty ON lower(entity_type) = lower(type))"
 _KEPT = "kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS n FROM e) WHERE n = 1 AND lower(trim(entity_type)) IN (SELECT lower(type) FROM ty)), keys AS (SELECT k FROM kept UNION SELECT id FROM kept)"
-_SIDE = "SELECT 'VR005' AS rule, 'warning' AS severity, 'relationship' AS kind, s || '->' || p || '->' || o AS target, '{a}: ' || {e}_type AS detail FROM x LEFT JOIN ty ON lower({e}_type) = lower(type) WHERE NOT list_contains({a}, {e}_type) AND NOT coalesce(list_contains({a}, parent), false)"
+_SIDE = "SELECT 'VR005' AS rule, 'warning' AS severity, 'relationship' AS kind, s || '->' || p || '->' || o AS target, '{a}: ' || {e}_type AS detail FROM x LEFT JOIN ty ON lower({e}_type) = lower(type) WHERE NOT list_contains({a}, {e}_type) AND NOT coalesce(list_contains({a}, coalesce(parent, type)), false)"
 
 ORACLES = {
     "vr001_duplicates": f"{_E} {_F['001']}",

@@ -22,44 +22,46 @@ def concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat("p_type", F.lit(" item of "), "p_brand").alias("definition"),
         F.element_at(F.array(F.lit(0.95), F.lit(0.75), F.lit(0.55)), (F.col("p_partkey") % 3 + 1).cast("int")).alias("conf"),
         F.concat(F.lit("doc"), F.col("p_size").cast("string")).alias("document"),
-        F.lit(None).cast("string").alias("domain"), F.lit(None).cast("boolean").alias("critical"),
+        F.lit(None).cast("string").alias("domain"), F.lit(None).cast("boolean").alias("critical"), F.when(F.col("p_size") > 45, F.concat(F.lit("annex "), F.col("p_size").cast("string"))).alias("citation"),
     )
 
 
 CONCEPTS = """a AS (
   SELECT p_partkey AS seq, 'A' AS source, p_name AS name, CASE WHEN p_partkey % 11 = 0 THEN 'id' || (p_partkey % 40) END AS eid,
     p_type || ' item of ' || p_brand AS definition, CASE p_partkey % 3 WHEN 0 THEN 0.95 WHEN 1 THEN 0.75 ELSE 0.55 END::DOUBLE AS conf,
-    'doc' || p_size AS document, NULL::VARCHAR AS domain, NULL::BOOLEAN AS critical FROM part
+    'doc' || p_size AS document, NULL::VARCHAR AS domain, NULL::BOOLEAN AS critical, CASE WHEN p_size > 45 THEN 'annex ' || p_size END AS citation FROM part
 )"""
 
 
 def governance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Source B: every seventh part under an upper-case name, and the nations, which A lacks."""
-    part = table(spark, sf_dir, "part").filter("p_partkey % 7 = 0").select(
+    """Source B: the promotion parts under upper-case names, and the nations, which A lacks."""
+    part = table(spark, sf_dir, "part").filter("p_type = 'PROMO'").select(
         (F.col("p_partkey") + 10**12).alias("seq"), F.lit("B").alias("source"), F.regexp_replace(F.upper("p_name"), " ", "_").alias("name"),
         F.when(F.col("p_partkey") % 77 == 0, F.concat(F.lit("id"), (F.col("p_partkey") % 40).cast("string"))).alias("eid"),
         F.concat("p_type", F.lit(" item of "), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise("stock")).alias("definition"),
-        F.lit(0.95).alias("conf"), F.lit(None).cast("string").alias("document"), F.col("p_brand").alias("domain"), (F.col("p_size") > 25).alias("critical"),
+        F.lit(0.95).alias("conf"), F.lit(None).cast("string").alias("document"), F.col("p_brand").alias("domain"), (F.col("p_size") > 25).alias("critical"), F.lit(None).cast("string").alias("citation"),
     )
     nation = table(spark, sf_dir, "nation").select(
         (F.col("n_nationkey").cast("long") + 2 * 10**12).alias("seq"), F.lit("B").alias("source"), F.col("n_name").alias("name"), F.lit(None).cast("string").alias("eid"),
         F.concat(F.lit("nation "), F.col("n_nationkey").cast("string")).alias("definition"), F.lit(0.95).alias("conf"), F.lit(None).cast("string").alias("document"),
-        F.concat(F.lit("region "), F.col("n_regionkey").cast("string")).alias("domain"), (F.col("n_nationkey") % 2 == 0).alias("critical"),
+        F.concat(F.lit("region "), F.col("n_regionkey").cast("string")).alias("domain"), (F.col("n_nationkey") % 2 == 0).alias("critical"), F.when(F.col("n_regionkey") == 1, "article 1").alias("citation"),
     )
     return part.unionByName(nation)
 
 
 GOVERNANCE = """b AS (
   SELECT p_partkey + 1000000000000 AS seq, 'B' AS source, replace(upper(p_name), ' ', '_') AS name, CASE WHEN p_partkey % 77 = 0 THEN 'id' || (p_partkey % 40) END AS eid,
-    p_type || ' item of ' || CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'stock' END AS definition, 0.95::DOUBLE AS conf, NULL::VARCHAR AS document, p_brand AS domain, p_size > 25 AS critical
-  FROM part WHERE p_partkey % 7 = 0
-  UNION ALL SELECT n_nationkey::BIGINT + 2000000000000, 'B', n_name, NULL, 'nation ' || n_nationkey, 0.95, NULL, 'region ' || n_regionkey, n_nationkey % 2 = 0 FROM nation
+    p_type || ' item of ' || CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'stock' END AS definition, 0.95::DOUBLE AS conf, NULL::VARCHAR AS document, p_brand AS domain, p_size > 25 AS critical, NULL::VARCHAR AS citation
+  FROM part WHERE p_type = 'PROMO'
+  UNION ALL SELECT n_nationkey::BIGINT + 2000000000000, 'B', n_name, NULL, 'nation ' || n_nationkey, 0.95, NULL, 'region ' || n_regionkey, n_nationkey % 2 = 0, CASE WHEN n_regionkey = 1 THEN 'article 1' END FROM nation
 )"""
 
 #: P01 in DuckDB's SQL.
 NAME_KEY_SQL = r"trim(regexp_replace(regexp_replace(lower({0}), '[_-]', ' ', 'g'), '\s+', ' ', 'g'))"
 LABEL_KEY_SQL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(strip_accents({0}))), '[\s_\-/.]+', '_', 'g'), '[^a-z0-9_]', '', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g')"
 
+#: Table that a key column's name points to.
+KEY_OWNERS = {"region": "region", "nation": "nation", "cust": "customer", "supp": "supplier", "part": "part", "order": "orders"}
 SCHEMA_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 
 
