@@ -33,7 +33,7 @@ def column_reason(name: Column, exclude: list[str] = (), include: list[str] = ()
 
 def file_reason(path: Column, text: Column, exclude: list[str] = ()) -> Column:
     """the user's paths, the default paths, then marks of generated code in the first five lines."""
-    place = F.regexp_replace(path, r"\\\\", "/")
+    place = F.translate(path, "\\", "/")
     head = F.array_join(F.slice(F.split(text, r"\r\n|\r|\n"), 1, 5), "\n")
     mark = F.coalesce(*[F.when(F.contains(head, F.lit(m)), F.lit(f"generated {m}")) for m in GENERATED])
     return F.coalesce(_first(place, list(exclude), matches_path, "excluded by"), _first(place, PATH_NOISE, matches_path, "noise"), mark)
