@@ -26,12 +26,13 @@ it can only overestimate). c is 0 for small sets and grows with the instance.
 
 Sets that meet in a signature are candidates. Those of a small gathering are listed
 as pairs with their number of meetings, and what stays below the c + 1 of its
-instance goes before any text is sent. A larger gathering is listed as edges to its
-least member, its hub. All sets at one hub are compared with each other, which
-covers every pair of a gathering without listing it once a signature. Hubs that
-share members are one task; a task of more than ``TASK_FEATURES`` is cut into blocks
-and each pair of blocks is a task of its own, so no task holds more. A pair that
-meets at several hubs counts at the least of them only. Tasks return, for each set,
+instance goes before any text is sent; a listed pair is compared by itself. A larger
+gathering is listed as edges to its least member, its hub. All sets at one hub are
+compared with each other, which covers every pair of a gathering without listing it
+once a signature. Hubs that share members are one task; a task of more than
+``TASK_FEATURES`` or ``TASK_SETS`` is cut into blocks and each pair of blocks is a
+task of its own, so no task holds more. A pair that meets at several hubs counts at
+the least of them only, which is found by bits of their hubs for many pairs at once. Tasks return, for each set,
 how many documents it is linked with and one set that it hangs together with: pairs
 are never written.
 
@@ -67,16 +68,20 @@ N, THRESHOLD = 3, 0.6
 #: Counters of the document-frequency sketch, and the pieces that they travel in (cost only).
 SKETCH_BITS, PIECES = 21, 64
 #: Parts of a group; groups beyond the k/2 + 1 that the argument needs, as a share (cost only).
-PARTS, SPARE = 2, 0.6
+PARTS, SPARE = 2, 1.4
+#: Groups of any instance beyond these: parts without features are the same in all sets, so none should be among those sent (cost only).
+MORE = 64
 _BITS = 54
 #: Sets up to which a signature's pairs are listed one by one (cost only).
-GATHERING = 32
+GATHERING = 128
 #: (differences from which on, c): meetings that a similar pair has beyond one (cost only).
 #: c + 1 divides _MET, the sum that a listed pair needs when each meeting counts _MET / (c + 1).
-SURPLUS = ((0, 0), (16, 2), (64, 5), (160, 11))
+SURPLUS = ((0, 0), (12, 2), (64, 5), (160, 11))
 _MET = 12
-#: Signatures that a worker packs at once, features that a task holds, features compared at once (cost only).
-_FLUSH, TASK_FEATURES, BATCH_FEATURES = 800_000, 8_000_000, 1_000_000
+#: What a meeting in a larger gathering counts.
+_STAR = 1 << 20
+#: Signatures that a worker packs at once, features and sets that a task holds, features compared at once (cost only).
+_FLUSH, TASK_FEATURES, TASK_SETS, BATCH_FEATURES = 800_000, 8_000_000, 4096, 1_000_000
 #: zstandard level of what travels (cost only).
 LEVEL = 3
 
@@ -97,7 +102,7 @@ class Bands:
         self.kind = np.searchsorted([k for k, _ in SURPLUS], most, side="right") - 1
         self.surplus = np.array([c for _, c in SURPLUS])[self.kind]
         need = (most + self.surplus) // 2 + 1
-        self.groups = need + np.ceil(need * SPARE).astype(np.int64)
+        self.groups = need + np.ceil(need * SPARE).astype(np.int64) + MORE
 
     def differences(self, total: np.ndarray) -> np.ndarray:
         """Most features in which a similar pair of so many features in all differs."""
@@ -387,7 +392,7 @@ def _blobs(docs: DataFrame, n: int, salt: int, bands: Bands, info: np.ndarray, b
 
 def _run_pairs(key: np.ndarray, ids: np.ndarray, chunk: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs of ids that share a key and what the meeting counts, some at a time: all
-    of a small gathering, those with the least id of a larger one, which count _MET."""
+    of a small gathering, those with the least id of a larger one, which count _STAR."""
     order = np.argsort(key, kind="stable")
     key, ids = key[order], ids[order]
     if len(key):  # what stands alone goes first, the rest is sorted in full
@@ -406,7 +411,7 @@ def _run_pairs(key: np.ndarray, ids: np.ndarray, chunk: int = 1 << 20) -> Iterat
     hub = np.repeat(ids[start[large]], rest), ids[ragged_ranges(start[large] + 1, rest)]
     for at in range(0, len(hub[0]), chunk):
         a, b = hub[0][at : at + chunk], hub[1][at : at + chunk]
-        yield a, b, np.full(len(a), _MET)
+        yield a, b, np.full(len(a), _STAR)
     start, size = start[~large & (size > 1)], size[~large & (size > 1)]
     counts = (_MET // (np.array([c for _, c in SURPLUS]) + 1))[(key & np.uint32(3)).astype(np.int64)]
     # the i-th member of a run meets those after it
@@ -429,7 +434,7 @@ def _candidates(blobs: DataFrame, width: int) -> DataFrame:
             order = np.lexsort((b, a))
             a, b, met = a[order], b[order], met[order]
             fresh = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, np.int64)
-            total = np.minimum(np.add.reduceat(met, fresh), _MET) if len(a) else met
+            total = np.minimum(np.add.reduceat(met, fresh), _STAR if met[0] == _STAR else _MET) if len(a) else met
             yield pa.RecordBatch.from_arrays([pa.array(a[fresh].view(np.int64)), pa.array(b[fresh].view(np.int64)), pa.array(total.astype(np.int32))], names=_EDGE.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -448,15 +453,16 @@ def _candidates(blobs: DataFrame, width: int) -> DataFrame:
 
 
 def _named(met: DataFrame, sets: DataFrame) -> DataFrame:
-    """``(a, b)``: candidates with enough meetings, by their set ids. Sets that share
-    a short id are candidates as well."""
+    """``(a, b, wide)``: candidates with enough meetings, by their set ids; wide: b is
+    compared with all that meet at a, not with a alone. Sets that share a short id are
+    candidates as well."""
     short = F.shiftrightunsigned("set_id", 64 - SHORT_BITS)
     one, two = (sets.select(short.alias(f"short_{x}"), F.col("set_id").alias(f"set_{x}")) for x in "ab")
-    same = sets.groupBy(short.alias("a")).agg(F.count("*").alias("c")).filter("c > 1").select("a", F.col("a").alias("b"))
-    asked = met.groupBy("a", "b").agg(F.sum("met").alias("met")).filter(F.col("met") >= _MET).select("a", "b").unionByName(same)
+    same = sets.groupBy(short.alias("a")).agg(F.count("*").alias("c")).filter("c > 1").select("a", F.col("a").alias("b"), F.lit(True).alias("wide"))
+    asked = met.groupBy("a", "b").agg(F.sum("met").alias("met")).filter(F.col("met") >= _MET).select("a", "b", (F.col("met") >= _STAR).alias("wide")).unionByName(same)
     # where a short id stands for several sets, each of them is a hub of what the id meets
     joined = asked.join(one, F.col("a") == F.col("short_a")).join(two, F.col("b") == F.col("short_b"))
-    return joined.filter("set_a <> set_b AND (a <> b OR set_a < set_b)").select(F.col("set_a").alias("a"), F.col("set_b").alias("b"))
+    return joined.filter("set_a <> set_b AND (a <> b OR set_a < set_b)").select(F.col("set_a").alias("a"), F.col("set_b").alias("b"), "wide")
 
 
 def _compressed(docs: DataFrame) -> DataFrame:
@@ -534,54 +540,146 @@ _LINK = _schema(set_id=_LONG, links=_LONG, other=_LONG)
 _LISTED = 24
 
 
-def _links(task: np.ndarray, left: np.ndarray, right: np.ndarray, ids: np.ndarray, weight: np.ndarray, features: np.ndarray, bounds: np.ndarray, hub_row: np.ndarray, hub: np.ndarray, hub_task: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _found(keys: np.ndarray, ask: np.ndarray) -> np.ndarray:
+    """Which of ask are among the sorted keys."""
+    return keys[np.minimum(np.searchsorted(keys, ask), len(keys) - 1)] == ask if len(keys) else np.zeros(len(ask), bool)
+
+
+class _Meetings:
+    """At which hub two rows meet first. A row has wide hubs, where it meets all that
+    have the hub as a wide one, and others, where it meets the hub itself only. Hubs
+    are numbered in the order of their ids; ``none`` stands for no hub."""
+
+    def __init__(self, row: np.ndarray, hub: np.ndarray, wide: np.ndarray, own: np.ndarray, none: int):
+        self.own, self.none = own, none
+        self.near = np.sort(row[~wide] * none + hub[~wide])
+        self.key = np.sort(row[wide] * none + hub[wide])
+        self.hub = self.key % max(none, 1)
+        self.first = np.searchsorted(self.key, np.arange(len(own) + 1) * none)
+        self.count = np.diff(self.first)
+
+    def _single(self, a: np.ndarray, b: np.ndarray, least: np.ndarray) -> np.ndarray:
+        for x, y in ((a, b), (b, a)):
+            hub = self.own[x]
+            met = (hub < self.none) & _found(self.near, y * self.none + hub)
+            least = np.where(met, np.minimum(least, hub), least)
+        return least
+
+    def listed(self, a: np.ndarray, b: np.ndarray, chunk: int = 1 << 20) -> np.ndarray:
+        """The least hub of each pair, by looking up the hubs of one row at the other."""
+        least = np.full(len(a), self.none, np.int64)
+        small, large = np.where(self.count[a] <= self.count[b], a, b), np.where(self.count[a] <= self.count[b], b, a)
+        some = np.flatnonzero(self.count[small] > 0)
+        todo = np.cumsum(self.count[small[some]])
+        at = 0
+        while at < len(some):
+            to = max(at + 1, int(np.searchsorted(todo, (todo[at - 1] if at else 0) + chunk, side="right")))
+            i = some[at:to]
+            lens = self.count[small[i]]
+            hub = self.hub[ragged_ranges(self.first[small[i]], lens)]
+            met = _found(self.key, np.repeat(large[i] * self.none, lens) + hub)
+            least[i] = np.minimum.reduceat(np.where(met, hub, self.none), np.cumsum(lens) - lens)
+            at = to
+        return self._single(a, b, least)
+
+    def among(self, members: np.ndarray):
+        """The same for many pairs among the members: a function that ands bits of their wide hubs."""
+        lens = self.count[members]
+        hubs, bit, times = np.unique(self.hub[ragged_ranges(self.first[members], lens)], return_inverse=True, return_counts=True)
+        place = np.zeros(len(self.own), np.int64)
+        place[members] = np.arange(len(members))
+        shared = times > 1
+        row, bit = np.repeat(np.arange(len(members)), lens)[shared[bit]], (np.cumsum(shared) - 1)[bit[shared[bit]]]
+        hubs = hubs[shared]
+        bits = np.zeros((-(-len(hubs) // 64), len(members)), np.uint64)
+        np.bitwise_or.at(bits, (bit >> 6, row), np.uint64(1) << (bit & 63).astype(np.uint64))
+
+        def least(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            out, todo = np.full(len(a), self.none, np.int64), np.arange(len(a))
+            for w, word in enumerate(bits):
+                both = word[place[a[todo]]] & word[place[b[todo]]]
+                hit = both > 0
+                low = np.bitwise_count((both[hit] & (~both[hit] + np.uint64(1))) - np.uint64(1))
+                out[todo[hit]] = hubs[64 * w + low.astype(np.int64)]
+                todo = todo[~hit]
+                if not len(todo):
+                    break
+            return self._single(a, b, out)
+
+        return least
+
+
+def _links(task: np.ndarray, left: np.ndarray, right: np.ndarray, ids: np.ndarray, weight: np.ndarray, features: np.ndarray, bounds: np.ndarray, hub_row: np.ndarray, hub: np.ndarray, hub_task: np.ndarray, hub_wide: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """``(set ids, linked documents, another set of the group)`` of rows of whole cells.
 
     A row is a set in one cell of a task: on the left side, the right, or (in an
-    undivided task or block) both. hub_row, hub, hub_task: the hubs of each row, and
-    the task of each hub.
+    undivided task or block) both. hub_row, hub, hub_task, hub_wide: the hubs of each
+    row, the task of each hub, and whether the row meets all at the hub or it alone.
     """
     n = len(ids)
-    # rows of one cell that share a hub hang together; a cell is named by its first row
     cell = np.cumsum(np.append(True, (task[1:] != task[:-1]).any(axis=1))) - 1
-    order = np.lexsort((hub_row, hub, cell[hub_row]))
-    r, h = hub_row[order], hub[order]
-    near = np.flatnonzero((h[1:] == h[:-1]) & (cell[r[1:]] == cell[r[:-1]]))
-    label = united(np.arange(n), r[near], r[near + 1])
-    by = np.argsort(label, kind="stable")
-    start = np.flatnonzero(np.append(True, label[by][1:] != label[by][:-1]))
-    size = np.diff(np.append(start, n))
-    few = (size > 1) & (size <= _LISTED)
+    names, code = np.unique(hub, return_inverse=True)
+    task_of = np.zeros(len(names), np.int64)
+    task_of[code] = hub_task
+    at = np.minimum(np.searchsorted(names, ids), len(names) - 1)
+    own = np.where(names[at] == ids, at, len(names))
+    meetings = _Meetings(hub_row, code, hub_wide, own, len(names))
+    # the rows of each hub in each cell
+    order = np.lexsort((hub_row, code, cell[hub_row]))
+    r, h, wide = hub_row[order], code[order], hub_wide[order]
+    run = np.cumsum(np.append(True, (h[1:] != h[:-1]) | (cell[r[1:]] != cell[r[:-1]]))) - 1
+    center = np.full(run[-1] + 1, -1)
+    center[run[own[r] == h]] = r[own[r] == h]
+    single = ~wide & (center[run] >= 0)
+    x, y = [r[single]], [center[run[single]]]
+    r, run = r[wide], run[wide]
+    start = np.flatnonzero(np.append(True, run[1:] != run[:-1])) if len(r) else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, len(r)))
+    few = size <= _LISTED
     members = ragged_ranges(start[few], size[few])
     after = np.repeat(start[few] + size[few], size[few]) - members - 1
-    found = []
-    a, b = by[np.repeat(members, after)], by[ragged_ranges(members + 1, after)]
+    x.append(r[np.repeat(members, after)])
+    y.append(r[ragged_ranges(members + 1, after)])
+    # large gatherings that share members are compared in one
+    near = ragged_ranges(start[~few], size[~few] - 1)
+    label = united(np.arange(n), r[near], r[near + 1])
+    x, y = np.concatenate(x), np.concatenate(y)
+    apart = label[x] != label[y]
+    key = np.unique(np.minimum(x, y)[apart] * n + np.maximum(x, y)[apart])
+    a, b = key // n, key % n
     length = np.diff(bounds)
     fits = np.minimum(length[a], length[b]) >= threshold * np.maximum(length[a], length[b]) - 1e-9
     a, b = a[fits], b[fits]
     common = overlaps(features, bounds, a, b)
     ok = common / np.maximum(length[a] + length[b] - common, 1) >= threshold - 1e-12
-    found.append((a[ok], b[ok]))
-    for e in np.flatnonzero(size > _LISTED).tolist():
-        found += gathered(features, bounds, by[start[e] : start[e] + size[e]], threshold)
-    # hubs of each row, and whether all of them are of the row's own task
-    first = np.searchsorted(hub_row, np.arange(n + 1))
     foreign = np.zeros(n, bool)
     foreign[hub_row[hub_task != task[hub_row, 0]]] = True
+
+    def found() -> Iterator[tuple]:
+        yield a[ok], b[ok], meetings.listed
+        by = np.argsort(label, kind="stable")
+        begin = np.flatnonzero(np.append(True, label[by][1:] != label[by][:-1]))
+        count = np.diff(np.append(begin, n))
+        for e in np.flatnonzero(count > 1).tolist():
+            group = by[begin[e] : begin[e] + count[e]]
+            least = meetings.among(group)
+            for p, q in gathered(features, bounds, group, threshold):
+                yield p, q, least
+
     links, group = np.zeros(n, np.int64), np.arange(n)
-    for a, b in found:
+    for p, q, least in found():
         # in a pair of blocks, only pairs across them count
-        across = (left[a] & right[b]) | (left[b] & right[a])
-        a, b = a[across], b[across]
-        mine = np.ones(len(a), bool)
-        for i in np.flatnonzero(foreign[a] & foreign[b]).tolist():
-            x, y = slice(first[a[i]], first[a[i] + 1]), slice(first[b[i]], first[b[i] + 1])
-            both, p, _ = np.intersect1d(hub[x], hub[y], return_indices=True)
-            mine[i] = len(both) > 0 and hub_task[x][p[0]] == task[a[i], 0]
-        a, b = a[mine], b[mine]
-        np.add.at(links, a, weight[b])
-        np.add.at(links, b, weight[a])
-        group = united(group, a, b)
+        across = (left[p] & right[q]) | (left[q] & right[p])
+        p, q = p[across], q[across]
+        # where both have hubs of other tasks, the task of the first hub at which they meet counts them
+        unsure = np.flatnonzero(foreign[p] & foreign[q])
+        first = least(p[unsure], q[unsure])
+        mine = np.ones(len(p), bool)
+        mine[unsure] = (first < len(names)) & (task_of[np.minimum(first, len(names) - 1)] == task[p[unsure], 0])
+        p, q = p[mine], q[mine]
+        np.add.at(links, p, weight[q])
+        np.add.at(links, q, weight[p])
+        group = united(group, p, q)
     some = np.flatnonzero(links > 0)
     yield ids[some], links[some], ids[group[some]]
 
@@ -597,18 +695,18 @@ def _verify(edges: DataFrame, sets: DataFrame, texts: DataFrame, n: int, salt: i
     least = pairs.union(pairs.select("b", "a")).groupBy(F.col("a").alias("s")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
     far = least.select(F.col("s").alias("m"), F.col("m").alias("task"))
     placed = hubs.join(least, F.col("a") == F.col("s")).join(far, "m").select(F.col("a").alias("hub"), "task")
-    at = durable(pairs.select(F.col("a").alias("hub"), F.col("b").alias("set_id")).union(hubs.select("a", F.col("a").alias("set_id"))).join(placed, "hub"))
+    at = durable(edges.select(F.col("a").alias("hub"), F.col("b").alias("set_id"), "wide").union(hubs.select("a", F.col("a").alias("set_id"), F.lit(True))).join(placed, "hub"))
     shown = at.select("task", "set_id").distinct().join(sets.select("set_id", "size"), "set_id")
-    loads = shown.groupBy("task").agg(F.ceil(F.sum("size") / TASK_FEATURES).cast("int").alias("blocks"))
+    loads = shown.groupBy("task").agg(F.greatest(F.ceil(F.sum("size") / TASK_FEATURES), F.ceil(F.count("*") / TASK_SETS)).cast("int").alias("blocks"))
     # cells (task, i, j) with i <= j; a set of block x is on the left of (x, j) and on the right of (i, x)
     x = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
     cells = shown.join(loads, "task").withColumn("x", x).select(
         "set_id", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda y: F.struct("task", F.least("x", y).alias("i"), F.greatest("x", y).alias("j"), (F.col("x") <= y).alias("left"), (F.col("x") >= y).alias("right")))).alias("cell")
     )
-    own = at.groupBy("set_id").agg(F.collect_set(F.struct("hub", "task")).alias("hubs"))
+    own = at.groupBy("set_id").agg(F.collect_set(F.struct("hub", "task", "wide")).alias("hubs"))
     wanted = cells.groupBy("set_id").agg(F.collect_list("cell").alias("cells")).join(own, "set_id").join(sets.select("set_id", "doc_id", "n_docs"), "set_id")
     shipped = _compressed(texts).join(wanted, "doc_id")
-    rows = shipped.select(F.explode("cells").alias("cell"), "set_id", "n_docs", F.col("hubs.hub").alias("hub"), F.col("hubs.task").alias("hub_task"), "z").select("cell.*", "set_id", "n_docs", "hub", "hub_task", "z")
+    rows = shipped.select(F.explode("cells").alias("cell"), "set_id", "n_docs", F.col("hubs.hub").alias("hub"), F.col("hubs.task").alias("hub_task"), F.col("hubs.wide").alias("hub_wide"), "z").select("cell.*", "set_id", "n_docs", "hub", "hub_task", "hub_wide", "z")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -618,9 +716,9 @@ def _verify(edges: DataFrame, sets: DataFrame, texts: DataFrame, n: int, salt: i
         load, last, kept = 0, None, None
 
         def solve() -> Iterator[pa.RecordBatch]:
-            task, left, right, ids, weight, size, feature, count, hub, hub_task = (np.concatenate([p[c] for p in parts]) for c in range(10))
+            task, left, right, ids, weight, size, feature, count, hub, hub_task, hub_wide = (np.concatenate([p[c] for p in parts]) for c in range(11))
             bounds = np.concatenate([[0], np.cumsum(size)])
-            for found in _links(task, left, right, ids, weight, feature, bounds, np.repeat(np.arange(len(ids)), count), hub, hub_task, threshold):
+            for found in _links(task, left, right, ids, weight, feature, bounds, np.repeat(np.arange(len(ids)), count), hub, hub_task, hub_wide, threshold):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=_LINK.names)
 
         for batch in batches:
@@ -629,14 +727,14 @@ def _verify(edges: DataFrame, sets: DataFrame, texts: DataFrame, n: int, salt: i
                 task = np.stack([b.column(c).to_numpy().astype(np.int64) for c in range(3)], axis=1)
                 left, right = (b.column(c).to_numpy(zero_copy_only=False) for c in (3, 4))
                 ids, weight = b.column(5).to_numpy(), b.column(6).to_numpy()
-                frames = pa.array([open_.decompress(z.as_buffer()) for z in b.column(9)], pa.large_binary())
+                frames = pa.array([open_.decompress(z.as_buffer()) for z in b.column(10)], pa.large_binary())
                 got = [Sets(s, n, salt) for whole in slices(frames) for s in _small(whole)]
                 of = np.concatenate([g.set_id for g in got])
                 size, feature = np.concatenate([g.size for g in got]), np.concatenate([g.feature for g in got])
                 bounds = np.concatenate([[0], np.cumsum(size)])
                 count = pa.compute.list_value_length(b.column(7)).to_numpy(zero_copy_only=False).astype(np.int64)
                 ends = np.cumsum(count)
-                hub, hub_task = (b.column(c).flatten().to_numpy() for c in (7, 8))
+                hub, hub_task, hub_wide = (b.column(c).flatten().to_numpy(zero_copy_only=False) for c in (7, 8, 9))
                 # rows of a doc_id with another text are none of ours, repeated rows are one
                 mine = np.flatnonzero(of == ids)
                 named = np.concatenate([task[mine], ids[mine, None]], axis=1)
@@ -657,7 +755,7 @@ def _verify(edges: DataFrame, sets: DataFrame, texts: DataFrame, n: int, salt: i
                     rows_ = rows_[fine[rows_]]
                     if len(rows_):
                         sel, hubs_ = ragged_ranges(bounds[rows_], size[rows_]), ragged_ranges(ends[rows_] - count[rows_], count[rows_])
-                        parts.append((task[rows_], left[rows_], right[rows_], ids[rows_], weight[rows_], size[rows_], feature[sel], count[rows_], hub[hubs_], hub_task[hubs_]))
+                        parts.append((task[rows_], left[rows_], right[rows_], ids[rows_], weight[rows_], size[rows_], feature[sel], count[rows_], hub[hubs_], hub_task[hubs_], hub_wide[hubs_]))
                         load += len(sel)
                     if e < len(b) and load >= BATCH_FEATURES:
                         yield from solve()

@@ -167,3 +167,32 @@ def test_a_copy_with_two_edited_words_of_forty_is_found(spark):
     words = [f"w{i}" for i in range(40)]
     rows = [(1, " ".join(words)), (2, " ".join([*words[:12], "x", *words[13:30], "y", *words[31:]]))]
     assert found(frame(spark, rows)) == {1: (1, 1), 2: (1, 1)}
+
+
+@pytest.mark.parametrize("size", [10, 30, 100, 400])
+def test_sets_without_a_common_feature_share_no_signature(size):
+    """Parts without features are the same everywhere; sent, they gather all sets of a size."""
+    import numpy as np
+
+    from metaloom.llm.bytesvec import slices
+
+    texts = [" ".join(f"w{i}_{j}" for j in range(size + 2)) for i in range(200)]
+    sets = partenum.Sets(next(iter(slices(partenum.pa.array(texts), 1 << 22))), 3)
+    sig, row = partenum.signatures(sets, partenum.Bands(0.6, 500), np.full(1 << partenum.SKETCH_BITS, 100, np.int16))
+    assert len(np.unique(sig)) == len(sig)
+
+
+def test_rows_meet_at_the_least_common_hub():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    n, hubs = 60, 150
+    has = {(int(r), int(h)): bool(w) for r, h, w in zip(rng.integers(0, n, 1500), rng.integers(0, hubs, 1500), rng.random(1500) < 0.6)}
+    own = np.where(np.arange(n) % 3, hubs, np.arange(n) * 2)
+    has |= {(r, int(own[r])): True for r in range(n) if own[r] < hubs}
+    row, hub = (np.array(x) for x in zip(*has))
+    meetings = partenum._Meetings(row, hub, np.array(list(has.values())), own, hubs)
+    a, b = (np.array(x) for x in zip(*combinations(range(n), 2)))
+    both = lambda x, y, h: (x, h) in has and (y, h) in has and (has[x, h] and has[y, h] or h in (own[x], own[y]))
+    want = [min((h for h in range(hubs) if both(x, y, h)), default=hubs) for x, y in zip(a.tolist(), b.tolist())]
+    assert meetings.listed(a, b, chunk=50).tolist() == want == meetings.among(np.arange(n))(a, b).tolist()
