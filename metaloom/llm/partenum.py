@@ -36,6 +36,15 @@ the least of them only, which is found by bits of their hubs for many pairs at o
 how many documents it is linked with and one set that it hangs together with: pairs
 are never written.
 
+Where only classes are asked for and no links (``duplicates``), the domain is cut as
+fine as it goes: a part is one feature. Then only features that a set has and its
+partner lacks take parts from it, (1 - t) * |r| at most, or (1-t)/(1+t) * 2 * |r| if the
+partner is not smaller; so a set sends the (1 - t) * |r| + 1 + c most informative
+features, and those that only a smaller set may meet are marked. One list serves
+partners of all sizes. (For parts of one feature, the argument is that of prefix
+filters.) c is the smaller one of the two sets. Tasks then compare only what does not
+hang together already.
+
 Documents with equal feature sets are one set (128 bits of hash: a set id of 64 that
 is checked against another 64, and salted anew should two sets meet in it).
 
@@ -51,7 +60,7 @@ ignored, whatever their names. An empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +76,8 @@ from metaloom.llm.durable import durable, shuffle_width, tidy
 N, THRESHOLD = 3, 0.6
 #: Counters of the document-frequency sketch, and the pieces that they travel in (cost only).
 SKETCH_BITS, PIECES = 21, 64
+#: The same counters for the finest cut: with many features a counter, the order of rare ones is chance (cost only).
+FINE_BITS = 25
 #: Parts of a group; groups beyond the k/2 + 1 that the argument needs, as a share (cost only).
 PARTS, SPARE = 2, 1.4
 #: Groups of any instance beyond these: parts without features are the same in all sets, so none should be among those sent (cost only).
@@ -82,6 +93,8 @@ _MET = 12
 _STAR = 1 << 20
 #: Signatures that a worker packs at once, features and sets that a task holds, features compared at once (cost only).
 _FLUSH, TASK_FEATURES, TASK_SETS, BATCH_FEATURES = 800_000, 8_000_000, 4096, 1_000_000
+#: Features that a worker counts before it packs their counters (cost only).
+_COUNTED = 2_000_000
 #: zstandard level of what travels (cost only).
 LEVEL = 3
 
@@ -261,6 +274,37 @@ def signatures(sets: Sets, bands: Bands, info: np.ndarray, rows: np.ndarray | No
     return np.concatenate(sigs), np.concatenate(owners)
 
 
+def fine_signatures(sets: Sets, threshold: float, info: np.ndarray, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The same for the finest cut, where a part is one feature. The lowest bit says
+    whether a larger set may meet this one here, the next two are the place in SURPLUS."""
+    chosen = np.flatnonzero(sets.size > 0) if rows is None else rows
+    size = sets.size[chosen]
+    mixed = sets.mixed[ragged_ranges(sets.bounds[chosen], size)]
+    bits = info[(mixed >> np.uint64(64 - FINE_BITS)).astype(np.int64)].astype(np.uint64)
+    which = np.repeat(np.arange(len(chosen), dtype=np.uint64), size)
+    # in each owner the most informative first; what is left of the feature is its signature
+    key = np.sort((which << np.uint64(54)) | (np.uint64(1023) - np.minimum(bits, np.uint64(1023)) << np.uint64(44)) | (mixed >> np.uint64(20)))
+    owner = (key >> np.uint64(54)).astype(np.int64)
+    hashed = mix(key & np.uint64((1 << 44) - 1))
+    least = np.ceil(threshold * size - 1e-9).astype(np.int64)
+    most = np.floor((1 - threshold) / (1 + threshold) * 2 * size + 1e-9)
+    kind = np.zeros(len(size), np.int64)
+    for place, (begin, c) in enumerate(SURPLUS):
+        kind[(most >= begin) & (least > c)] = place
+    surplus = np.array([c for _, c in SURPLUS])[kind]
+    sent = size - least + 1 + surplus
+    met = size - np.ceil(2 * threshold / (1 + threshold) * size - 1e-9).astype(np.int64) + 1 + surplus
+    # what travels is the lower half; where two of a set's are the same there, it sends all
+    place = np.arange(len(key)) - (np.cumsum(size) - size)[owner]
+    low = np.sort(((owner.astype(np.uint64) << np.uint64(29)) | (hashed & np.uint64((1 << 29) - 1)))[place < sent[owner]])
+    again = (low[1:][low[1:] == low[:-1]] >> np.uint64(29)).astype(np.int64)
+    sent[again], met[again] = size[again], size[again]
+    keep = place < sent[owner]
+    owner, place, hashed = owner[keep], place[keep], hashed[keep]
+    upper, key = hashed >> np.uint64(32) << np.uint64(32), (hashed & np.uint64((1 << 29) - 1)) << np.uint64(3)
+    return upper | key | (kind[owner] * 2 + (place < met[owner])).astype(np.uint64), chosen[owner]
+
+
 def _schema(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
@@ -271,17 +315,43 @@ _BLOB = _schema(bucket=_INT, sigs=_BINARY, at=_BINARY, ids=_BINARY)
 _EDGE = _schema(a=_LONG, b=_LONG, met=_INT)
 
 
-def _members(docs: DataFrame, n: int, salt: int) -> DataFrame:
+def _packed(counters: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+    """Counters that features fall on: in order, as differences, piece by piece."""
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=1)
+    at = np.sort(np.concatenate(counters))
+    each = np.uint32((1 << FINE_BITS) // PIECES)
+    cut = np.searchsorted(at, np.arange(PIECES + 1, dtype=np.uint32) * each)
+    for piece in np.flatnonzero(np.diff(cut)).tolist():
+        step = np.diff(at[cut[piece] : cut[piece + 1]], prepend=np.uint32(piece) * each)
+        yield piece, press.compress(np.ascontiguousarray(step.view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _members(docs: DataFrame, n: int, salt: int, fine: bool = False) -> DataFrame:
     """Set of each document, and each task's pieces of the frequency sketch."""
 
+    def piecewise(got: Iterator[tuple[int, bytes]]) -> pa.RecordBatch:
+        number, raw = zip(*got)
+        none = [pa.nulls(len(number), pa.int64())] * 4
+        return pa.RecordBatch.from_arrays([*none, pa.array(number, pa.int32()), pa.array(raw, pa.binary())], names=_MEMBER.names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.int32)
+        sketch = np.zeros(0 if fine else 1 << SKETCH_BITS, np.int32)
+        counters, held = [], 0
         for batch in batches:
             for whole in slices(batch.column(1)):
                 for s in _small(whole):
                     sets = Sets(s, n, salt)
                     some = np.flatnonzero(sets.size > 0)
-                    np.add.at(sketch, (sets.mixed >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+                    if fine:
+                        counters.append((sets.mixed >> np.uint64(64 - FINE_BITS)).astype(np.uint32))
+                        held += len(counters[-1])
+                    else:
+                        np.add.at(sketch, (sets.mixed >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+                    if held >= _COUNTED:
+                        yield piecewise(_packed(counters))
+                        counters, held = [], 0
                     yield pa.RecordBatch.from_arrays(
                         [
                             batch.column(0).slice(s.first, s.rows).take(pa.array(some)),
@@ -291,10 +361,10 @@ def _members(docs: DataFrame, n: int, salt: int) -> DataFrame:
                         ],
                         names=_MEMBER.names,
                     )
+        if held:
+            yield piecewise(_packed(counters))
         if sketch.any():
-            none = [pa.nulls(PIECES, pa.int64())] * 4
-            pieces = pa.array([zlib.compress(x.tobytes(), 1) for x in np.split(sketch, PIECES)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*none, pa.array(np.arange(PIECES, dtype=np.int32)), pieces], names=_MEMBER.names)
+            yield piecewise((i, zlib.compress(x.tobytes(), 1)) for i, x in enumerate(np.split(sketch, PIECES)))
 
     return docs.mapInArrow(tidy(run), _MEMBER)
 
@@ -317,6 +387,31 @@ def _sketch(seen: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+def _fine_information(seen: DataFrame, total: int) -> np.ndarray:
+    """Information of a feature in 1/8 bit for each counter, worked out piece by piece on the executors."""
+    schema = _schema(piece=_INT, bits=_BINARY)
+    width = (1 << FINE_BITS) // PIECES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        open_ = zstandard.ZstdDecompressor()
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for piece, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                planes = np.frombuffer(open_.decompress(raw.as_buffer()), np.uint8).reshape(4, -1)
+                at = np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.uint32)
+                sums.setdefault(piece, np.zeros(width, np.int64))
+                sums[piece] += np.bincount(at, minlength=width)
+        bits = [np.rint(8 * np.log2(max(total, 1) / np.clip(x, 1, max(total, 1)))).clip(0, 255).astype(np.uint8) for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in bits], pa.binary())], names=schema.names)
+
+    out = np.zeros((PIECES, width), np.uint8)
+    for r in seen.filter("piece IS NOT NULL").select("piece", "counts").repartition("piece").mapInArrow(tidy(run), schema).collect():
+        out[r.piece] = np.frombuffer(zlib.decompress(r.bits), np.uint8)
+    return out.ravel()
+
+
 #: Bits by which a set goes in the search for candidates, 40 at most (cost only).
 SHORT_BITS = 40
 
@@ -362,7 +457,7 @@ def _unpack(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield x, own[i] if len(i) else own
 
 
-def _blobs(docs: DataFrame, n: int, salt: int, bands: Bands, info: np.ndarray, buckets: int) -> DataFrame:
+def _blobs(docs: DataFrame, n: int, salt: int, send: Callable[[Sets, np.ndarray, np.ndarray], tuple], info: np.ndarray, buckets: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(info)
     cut = 64 - SHORT_BITS
 
@@ -376,7 +471,7 @@ def _blobs(docs: DataFrame, n: int, salt: int, bands: Bands, info: np.ndarray, b
                     _, first = np.unique(sets.set_id, return_index=True)
                     new = np.array([i for i in first.tolist() if sets.size[i] and int(sets.set_id[i]) not in seen], np.int64)
                     seen.update(sets.set_id[new].tolist())
-                    sig, row = signatures(sets, bands, shared.value, new)
+                    sig, row = send(sets, shared.value, new)
                     sigs.append(sig)
                     ids.append(sets.set_id[row].view(np.uint64) >> np.uint64(cut))
                     held += len(sig)
@@ -390,22 +485,29 @@ def _blobs(docs: DataFrame, n: int, salt: int, bands: Bands, info: np.ndarray, b
     return docs.mapInArrow(tidy(run), _BLOB)
 
 
-def _run_pairs(key: np.ndarray, ids: np.ndarray, chunk: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _run_pairs(sig: np.ndarray, ids: np.ndarray, fine: bool = False, chunk: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs of ids that share a key and what the meeting counts, some at a time: all
-    of a small gathering, those with the least id of a larger one, which count _STAR."""
-    order = np.argsort(key, kind="stable")
-    key, ids = key[order], ids[order]
+    of a small gathering, those with the least id of a larger one, which count _STAR.
+    fine: signatures of the finest cut; one of two that meet must be there for larger sets."""
+    order = np.argsort(sig, kind="stable")
+    sig, ids = sig[order], ids[order]
+    key = sig >> np.uint32(3) if fine else sig
     if len(key):  # what stands alone goes first, the rest is sorted in full
         edge = np.append(True, key[1:] != key[:-1])
         shared = ~(edge & np.append(edge[1:], True))
-        key, ids = key[shared], ids[shared]
+        sig, key, ids = sig[shared], key[shared], ids[shared]
         order = np.lexsort((ids, key))
-        key, ids = key[order], ids[order]
+        sig, key, ids = sig[order], key[order], ids[order]
     if len(key):
         fresh = np.append(True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]))
-        key, ids = key[fresh], ids[fresh]
+        sig, key, ids = sig[fresh], key[fresh], ids[fresh]
     start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
     size = np.diff(np.append(start, len(key)))
+    place = (sig >> np.uint32(1) & np.uint32(3) if fine else sig & np.uint32(3)).astype(np.int64)
+    small = (sig & np.uint32(1)).astype(bool) | (not fine)
+    if len(key):
+        some = np.logical_or.reduceat(small, start)
+        start, size = start[some], size[some]
     large = size > GATHERING
     rest = size[large] - 1
     hub = np.repeat(ids[start[large]], rest), ids[ragged_ranges(start[large] + 1, rest)]
@@ -413,7 +515,7 @@ def _run_pairs(key: np.ndarray, ids: np.ndarray, chunk: int = 1 << 20) -> Iterat
         a, b = hub[0][at : at + chunk], hub[1][at : at + chunk]
         yield a, b, np.full(len(a), _STAR)
     start, size = start[~large & (size > 1)], size[~large & (size > 1)]
-    counts = (_MET // (np.array([c for _, c in SURPLUS]) + 1))[(key & np.uint32(3)).astype(np.int64)]
+    counts = (_MET // (np.array([c for _, c in SURPLUS]) + 1))[place]
     # the i-th member of a run meets those after it
     first = ragged_ranges(start, size)
     after = np.repeat(start + size, size) - first - 1
@@ -421,16 +523,18 @@ def _run_pairs(key: np.ndarray, ids: np.ndarray, chunk: int = 1 << 20) -> Iterat
     at = 0
     while at < len(first):
         to = max(at + 1, int(np.searchsorted(todo, (todo[at - 1] if at else 0) + chunk, side="right")))
-        n = after[at:to]
-        yield np.repeat(ids[first[at:to]], n), ids[ragged_ranges(first[at:to] + 1, n)], np.repeat(counts[first[at:to]], n)
+        x, y = np.repeat(first[at:to], after[at:to]), ragged_ranges(first[at:to] + 1, after[at:to])
+        meet = small[x] | small[y]
+        x, y = x[meet], y[meet]
+        yield ids[x], ids[y], np.maximum(counts[x], counts[y])
         at = to
 
 
-def _candidates(blobs: DataFrame, width: int) -> DataFrame:
+def _candidates(blobs: DataFrame, width: int, fine: bool = False) -> DataFrame:
     """``(a, b, met)`` of sets that share a signature, by their short ids; a bucket is solved by itself."""
 
     def solve(got: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        for a, b, met in _run_pairs(np.concatenate([x for x, _ in got]), np.concatenate([y for _, y in got])):
+        for a, b, met in _run_pairs(np.concatenate([x for x, _ in got]), np.concatenate([y for _, y in got]), fine):
             order = np.lexsort((b, a))
             a, b, met = a[order], b[order], met[order]
             fresh = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, np.int64)
@@ -502,8 +606,9 @@ def overlaps(features: np.ndarray, bounds: np.ndarray, a: np.ndarray, b: np.ndar
     return out
 
 
-def gathered(features: np.ndarray, bounds: np.ndarray, members: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs among the members at or above the threshold, by blocks of products."""
+def gathered(features: np.ndarray, bounds: np.ndarray, members: np.ndarray, threshold: float, group: Callable[[], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs among the members at or above the threshold, by blocks of products. With
+    group, only pairs between groups: it says the group of each set as known so far."""
     size = np.diff(bounds)[members]
     members, size = members[np.argsort(size, kind="stable")], np.sort(size)
     flat = features[ragged_ranges(bounds[members], size)]
@@ -527,12 +632,23 @@ def gathered(features: np.ndarray, bounds: np.ndarray, members: np.ndarray, thre
             sy = size[j * step : (j + 1) * step]
             if sy[0] * threshold > sx[-1] + 1e-9:
                 break
-            common = np.rint(x @ (x if j == i else block(j)).T).astype(np.int64)
-            jaccard = common / np.maximum(sx[:, None] + sy[None, :] - common, 1)
-            p, q = np.nonzero(jaccard >= threshold - 1e-12)
-            if i == j:
-                p, q = p[p < q], q[p < q]
-            yield members[i * step + p], members[j * step + q]
+            jobs = [(np.arange(len(sx)), np.arange(len(sy)))]
+            if group:
+                g = group()
+                gx, gy = g[members[i * step : (i + 1) * step]], g[members[j * step : (j + 1) * step]]
+                labels, times = np.unique(np.append(gx, gy), return_counts=True)
+                most = labels[np.argmax(times)]
+                jobs = [(np.flatnonzero(gx != most), jobs[0][1]), (np.flatnonzero(gx == most), np.flatnonzero(gy != most))][: 1 + (i < j)]
+            jobs = [(a, b) for a, b in jobs if len(a) and len(b)]
+            y = x if j == i or not jobs else block(j)
+            for a, b in jobs:
+                common = np.rint(x[a] @ y[b].T).astype(np.int64)
+                jaccard = common / np.maximum(sx[a][:, None] + sy[b][None, :] - common, 1)
+                p, q = np.nonzero(jaccard >= threshold - 1e-12)
+                p, q = a[p], b[q]
+                if i == j and not group:
+                    p, q = p[p < q], q[p < q]
+                yield members[i * step + p], members[j * step + q]
 
 
 _LINK = _schema(set_id=_LONG, links=_LONG, other=_LONG)
@@ -609,12 +725,14 @@ class _Meetings:
         return least
 
 
-def _links(task: np.ndarray, left: np.ndarray, right: np.ndarray, ids: np.ndarray, weight: np.ndarray, features: np.ndarray, bounds: np.ndarray, hub_row: np.ndarray, hub: np.ndarray, hub_task: np.ndarray, hub_wide: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _links(task: np.ndarray, left: np.ndarray, right: np.ndarray, ids: np.ndarray, weight: np.ndarray, features: np.ndarray, bounds: np.ndarray, hub_row: np.ndarray, hub: np.ndarray, hub_task: np.ndarray, hub_wide: np.ndarray, threshold: float, counted: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """``(set ids, linked documents, another set of the group)`` of rows of whole cells.
 
     A row is a set in one cell of a task: on the left side, the right, or (in an
     undivided task or block) both. hub_row, hub, hub_task, hub_wide: the hubs of each
     row, the task of each hub, and whether the row meets all at the hub or it alone.
+    Not counted: only what hangs together is of interest, so pairs of sets that do so
+    already are left out, and links is 1.
     """
     n = len(ids)
     cell = np.cumsum(np.append(True, (task[1:] != task[:-1]).any(axis=1))) - 1
@@ -666,8 +784,20 @@ def _links(task: np.ndarray, left: np.ndarray, right: np.ndarray, ids: np.ndarra
             for p, q in gathered(features, bounds, group, threshold):
                 yield p, q, least
 
+    def joined() -> Iterator[tuple]:
+        yield a[ok], b[ok]
+        by = np.argsort(label, kind="stable")
+        begin = np.flatnonzero(np.append(True, label[by][1:] != label[by][:-1]))
+        for members in np.split(by, begin[1:]):
+            if len(members) > 1:
+                yield from gathered(features, bounds, members, threshold, lambda: group)
+
     links, group = np.zeros(n, np.int64), np.arange(n)
-    for p, q, least in found():
+    if not counted:
+        for p, q in joined():
+            links[p] = links[q] = 1
+            group = united(group, p, q)
+    for p, q, least in found() if counted else ():
         # in a pair of blocks, only pairs across them count
         across = (left[p] & right[q]) | (left[q] & right[p])
         p, q = p[across], q[across]
@@ -684,7 +814,7 @@ def _links(task: np.ndarray, left: np.ndarray, right: np.ndarray, ids: np.ndarra
     yield ids[some], links[some], ids[group[some]]
 
 
-def _verify(edges: DataFrame, sets: DataFrame, texts: DataFrame, n: int, salt: int, threshold: float, width: int) -> DataFrame:
+def _verify(edges: DataFrame, sets: DataFrame, texts: DataFrame, n: int, salt: int, threshold: float, width: int, counted: bool = True) -> DataFrame:
     """``(set_id, links, other)``: rows of similar sets, from each task in which they are.
 
     sets: ``(set_id, doc_id, size, n_docs)``, doc_id being one of its documents.
@@ -718,7 +848,7 @@ def _verify(edges: DataFrame, sets: DataFrame, texts: DataFrame, n: int, salt: i
         def solve() -> Iterator[pa.RecordBatch]:
             task, left, right, ids, weight, size, feature, count, hub, hub_task, hub_wide = (np.concatenate([p[c] for p in parts]) for c in range(11))
             bounds = np.concatenate([[0], np.cumsum(size)])
-            for found in _links(task, left, right, ids, weight, feature, bounds, np.repeat(np.arange(len(ids)), count), hub, hub_task, hub_wide, threshold):
+            for found in _links(task, left, right, ids, weight, feature, bounds, np.repeat(np.arange(len(ids)), count), hub, hub_task, hub_wide, threshold, counted):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=_LINK.names)
 
         for batch in batches:
@@ -786,9 +916,9 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def _grouped(texts: DataFrame, n: int, salt: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _grouped(texts: DataFrame, n: int, salt: int, fine: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What ``_members`` says; ``(set_id, doc_id)``; and the sets."""
-    seen = durable(_members(texts, n, salt))
+    seen = durable(_members(texts, n, salt, fine))
     members = seen.filter("set_id IS NOT NULL").groupBy("set_id", "doc_id").agg(F.max("size").alias("size"), F.min("check").alias("low"), F.max("check").alias("high"))
     sets = members.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_docs"), F.max("size").alias("size"), (F.min("low") != F.max("high")).alias("mixed"))
     return seen, members.select("set_id", "doc_id"), durable(sets)
@@ -799,20 +929,33 @@ def similar_documents(docs: DataFrame, n: int = N, threshold: float = THRESHOLD)
     Jaccard similarity >= threshold with it, copies among them, and the least doc_id
     of those that it hangs together with by such links (its own where there are none).
     """
+    return _similar(docs, n, threshold, True)
+
+
+def _met(texts: DataFrame, n: int, salt: int, threshold: float, seen: DataFrame, sets: DataFrame, width: int, fine: bool) -> DataFrame:
+    """Candidates by the signatures of PartEnum, or (fine) of its finest cut."""
+    total, largest = sets.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.max("size"), F.lit(1))).first()
+    # of a fixed size, whatever the input
+    info = _fine_information(seen, total) if fine else information(_sketch(seen), total).astype(np.int16)
+    bands = Bands(threshold, largest)
+    send = lambda own, about, rows: fine_signatures(own, threshold, about, rows) if fine else signatures(own, bands, about, rows)
+    return _candidates(_blobs(texts, n, salt, send, info, width), width, fine)
+
+
+def _similar(docs: DataFrame, n: int, threshold: float, counted: bool) -> DataFrame:
+    """What ``similar_documents`` says; links are of no meaning where they aren't counted."""
     if n < 1 or not 0 < threshold <= 1:
         raise ValueError("n is at least 1 and the threshold in (0, 1]")
     width = shuffle_width(docs)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
     texts = named.filter("text IS NOT NULL")
     for salt in range(8):
-        seen, members, sets = _grouped(texts, n, salt)
+        seen, members, sets = _grouped(texts, n, salt, not counted)
         if sets.filter("mixed").isEmpty():
             break
-    total, largest = sets.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.max("size"), F.lit(1))).first()
-    info = information(_sketch(seen), total).astype(np.int16)  # of a fixed size, whatever the input
-    met = _candidates(_blobs(texts, n, salt, Bands(threshold, largest), info, width), width)
+    met = _met(texts, n, salt, threshold, seen, sets, width, not counted)
     edges = durable(_named(met, sets))
-    found = durable(_verify(edges, sets.select("set_id", "doc_id", "size", "n_docs"), texts, n, salt, threshold, width))
+    found = durable(_verify(edges, sets.select("set_id", "doc_id", "size", "n_docs"), texts, n, salt, threshold, width, counted))
     # a class hangs together by similar sets, and by documents that have several texts
     first = sets.select("set_id", F.col("doc_id").alias("first"))
     ties = found.select("set_id", "other").filter("set_id <> other").distinct().join(first.withColumnRenamed("first", "x"), "set_id").join(first.select(F.col("set_id").alias("other"), F.col("first").alias("y")), "other").select("x", "y")
@@ -829,7 +972,7 @@ def similar_documents(docs: DataFrame, n: int = N, threshold: float = THRESHOLD)
 def duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, keeper)`` of every document that goes when one of each class
     stays: the least doc_id does."""
-    return similar_documents(docs, n, threshold).filter("doc_id <> class_id").select("doc_id", F.col("class_id").alias("keeper"))
+    return _similar(docs, n, threshold, False).filter("doc_id <> class_id").select("doc_id", F.col("class_id").alias("keeper"))
 
 
 ORACLE_SQL = rf"""

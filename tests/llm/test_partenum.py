@@ -196,3 +196,73 @@ def test_rows_meet_at_the_least_common_hub():
     both = lambda x, y, h: (x, h) in has and (y, h) in has and (has[x, h] and has[y, h] or h in (own[x], own[y]))
     want = [min((h for h in range(hubs) if both(x, y, h)), default=hubs) for x, y in zip(a.tolist(), b.tolist())]
     assert meetings.listed(a, b, chunk=50).tolist() == want == meetings.among(np.arange(n))(a, b).tolist()
+
+
+def kept(df, n=partenum.N, threshold=partenum.THRESHOLD):
+    got = partenum.duplicates(df, n, threshold).collect()
+    out = {r.doc_id: r.keeper for r in got}
+    assert len(out) == len(got)
+    return out
+
+
+def expected(rows, n=partenum.N, threshold=partenum.THRESHOLD):
+    return {d: c for d, (c, _) in brute(rows, n, threshold).items() if d != c}
+
+
+@pytest.mark.parametrize("n,threshold,seed", [(1, 0.8, 1), (2, 0.6, 2), (3, 0.6, 3), (3, 0.5, 6), (3, 1.0, 4), (1, 0.1, 5)])
+def test_duplicates_are_those_of_all_pairs(spark, n, threshold, seed):
+    rows = corpus(seed)
+    assert kept(frame(spark, rows), n, threshold) == expected(rows, n, threshold) != {}
+
+
+@pytest.mark.parametrize("features_a_task,together", [(partenum.TASK_FEATURES, partenum._LISTED), (1500, 3), (400, 24)])
+def test_duplicates_at_hubs(spark, monkeypatch, features_a_task, together):
+    monkeypatch.setattr(partenum, "TASK_FEATURES", features_a_task)
+    monkeypatch.setattr(partenum, "_LISTED", together)
+    monkeypatch.setattr(partenum, "GATHERING", 4)
+    monkeypatch.setattr(partenum, "_COUNTED", 500)
+    rng = random.Random(5)
+    rows = []
+    for base in range(3):
+        for i in range(50):
+            words = [f"v{base}_{j}" for j in range(80)]
+            for _ in range(rng.randint(0, 24)):
+                words[rng.randrange(80)] = f"x{rng.randrange(500)}"
+            rows.append((base * 100 + i, " ".join(words)))
+    assert kept(frame(spark, rows)) == expected(rows)
+
+
+@pytest.mark.parametrize("fine", [True, False])
+def test_words_that_some_share_list_no_pairs_where_rarer_ones_suffice(spark, fine):
+    """Signatures of duplicates; those of several features to a part have to send some of these words."""
+    rng = random.Random(7)
+    docs = frame(spark, [(i, " ".join([f"own{i}_{j}" for j in range(75)] + rng.sample([f"pool{j}" for j in range(400)], 85))) for i in range(60)])
+    seen, _, sets = partenum._grouped(docs, 1, 0, fine)
+    assert partenum._met(docs, 1, 0, 0.6, seen, sets, 4, fine).isEmpty() == fine
+    assert kept(docs, 1) == {}
+
+
+def test_counters_of_features_give_their_information(spark):
+    import numpy as np
+
+    from metaloom.llm.bytesvec import slices
+
+    docs = frame(spark, [(i, " ".join(["all", f"half{i % 2}", f"own{i}"])) for i in range(64)])
+    seen, _, sets = partenum._grouped(docs, 1, 0, True)
+    info = partenum._fine_information(seen, 64)
+    words = partenum.Sets(next(iter(slices(partenum.pa.array(["all", "half0", "half1", "own7"]), 1 << 22))), 1)
+    assert info[(words.mixed >> np.uint64(64 - partenum.FINE_BITS)).astype(np.int64)].tolist() == [0, 8, 8, 48]
+
+
+def test_blocks_that_hang_together_are_left_out():
+    import numpy as np
+
+    from metaloom.llm.bytesvec import united
+
+    m, width = 2500, 12  # three blocks
+    features = np.tile(np.arange(width, dtype=np.uint64), m)
+    group, seen = np.arange(m), 0
+    for p, q in partenum.gathered(features, np.arange(m + 1) * width, np.arange(m), 0.6, lambda: group):
+        seen += 1
+        group = united(group, p, q)
+    assert (group == 0).all() and seen == 3  # of the first block with each; all six pairs of blocks before
