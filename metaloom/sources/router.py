@@ -1,13 +1,17 @@
 """Routing of files to the sources A (documents), B (governance), C (schemas), D (code).
 
-Everything is one projection over ``(path, head)``; only the first 8192 bytes are kept.
+Everything is one projection over ``(path, head)``; only the first 8192 bytes are kept,
+but for JSON: a file is JSON as a whole or not at all.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from metaloom.functions.code import whole_json
 from metaloom.functions.text import any_of
 
 HEAD = 8192
@@ -39,11 +43,18 @@ def _delimited(head: Column, sep: str) -> Column:
     return F.when((g >= s) & (g >= 1), _decision("B", 0.90, "sniff")).when(s >= 1, _decision("C", 0.90, "sniff")).otherwise(_decision("B", 0.60, "sniff"))
 
 
-def _json(head: Column, whole: Column) -> Column:
+@F.pandas_udf(T.BooleanType())
+def _whole_json(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t is not None and whole_json(t)).astype(bool)
+
+
+def _json(head: Column, whole: Column, ext: Column) -> Column:
+    """Only files of the extension go to Python, and of these such as begin with a
+    bracket or a quote or are one number or word."""
     key = lambda k: F.contains(head, F.lit(f'"{k}"'))
-    parsed = F.try_parse_json(whole)
+    like = whole.rlike(r'^[ \t\n\r]*(?:[\[{"]|-?(?:[0-9][0-9.eE+-]*|(?i:nan|inf|infinity|true|false|null))[ \t\n\r]*\z)')
     return (
-        F.when(parsed.isNull(), _decision("C", 0.60, "sniff"))
+        F.when(~_whole_json(F.when((ext == ".json") & like, whole)), _decision("C", 0.60, "sniff"))
         .when(key("element_name"), _decision("B", 0.95, "sniff"))
         .when(any_of([key(k) for k in ("$schema", "openapi", "swagger")]), _decision("C", 0.95, "sniff"))
         .when(key("type") & key("fields"), _decision("C", 0.90, "sniff"))
@@ -68,7 +79,7 @@ def route(files: DataFrame) -> DataFrame:
     chosen = (
         F.when(ext.isin(SKIPPED) | name.isin(SKIPPED_NAMES), _decision("", 0.99, "skip").cast("struct<sources:array<string>,confidence:double,layer:string>"))
         .when(ext == ".sql", _sql(head)).when(ext == ".csv", _delimited(head, ",")).when(ext == ".tsv", _delimited(head, "\t"))
-        .when(ext.isin(".xlsx", ".xls"), _decision("B", 0.60, "sniff")).when(ext == ".json", _json(head, F.col("text"))).when(ext.isin(".md", ".markdown"), _markdown(head))
+        .when(ext.isin(".xlsx", ".xls"), _decision("B", 0.60, "sniff")).when(ext == ".json", _json(head, F.col("text"), ext)).when(ext.isin(".md", ".markdown"), _markdown(head))
         .otherwise(F.coalesce(plain, _decision("", 0.95, "skip").cast("struct<sources:array<string>,confidence:double,layer:string>")))
     )
     return files.select("path", chosen.alias("r")).select("path", "r.*")

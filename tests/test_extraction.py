@@ -44,6 +44,15 @@ def test_routes(spark):
     assert got == [("C", 0.9), ("D", 0.85), ("D", 0.6), ("B", 0.9), ("C", 0.9), ("B", 0.95), ("C", 0.6), ("A+D", 0.85), ("A", 0.95), ("", 0.99), ("", 0.95)]
 
 
+def test_json_routes_of_whole_texts(spark):
+    """Against DuckDB: a text that only begins as JSON is none."""
+    duckdb = pytest.importorskip("duckdb")
+    texts = ["4501 Anth it", "45", " -1.5e3\n", "1 2", '"a" b', '{"a": 1} x', '{"a": {"b": [1, {}]}, "a": 2}', "[1,]", "[,]", "[1, 2", "1]", "01", "nan", "[-inf]", "true", "truex", '"\\ud800"', '"\\ud83d\\ude00\\u00e9"', '"a\tb"', "", " ", "1\x85", "inf it", "[" * 1100 + "]" * 1100, "1" * 1500, None]
+    got = [r.confidence for r in router.route(spark.createDataFrame([("j.json", t) for t in texts], "path string, text string").coalesce(1)).collect()]
+    con = duckdb.connect()
+    assert got == [0.5 if con.execute("SELECT json_valid(?)", [t]).fetchall()[0][0] else 0.6 for t in texts]
+
+
 def test_triples_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("https://x/a", "https://x/p", 'say "hi" \\ there'), ("https://x/a", "https://x/q", "https://x/b")], "s string, p string, o string")
     contracts.write_ntriples(df, str(tmp_path / "t"))
