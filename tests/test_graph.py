@@ -3,6 +3,8 @@
 import itertools
 import random
 
+from pyspark.sql import functions as F
+
 from metaloom.operators import fuzzy, graph
 
 
@@ -48,6 +50,54 @@ def test_components_and_communities(spark):
     assert {r.node: r.community for r in graph.communities(df).collect()} == {**dict.fromkeys("abcd", "a"), **dict.fromkeys("efgh", "e"), **dict.fromkeys("xyz", "x")}
 
 
+def naive_communities(edges):
+    near = {n: {} for e in edges for n in e}
+    for x, y in edges:
+        near[x][y] = near[y][x] = 1
+    m, member, a = len(edges), {n: {n} for n in near}, {n: len(near[n]) / (2 * len(edges)) for n in near}
+    while pairs := [(-2 * (near[i][j] / (2 * m) - a[i] * a[j]), i, j) for i in near for j in near[i] if i < j]:
+        g, i, j = min(pairs)
+        if g >= 0:
+            break
+        member[i] |= member.pop(j)
+        a[i] += a.pop(j)
+        for k, n in near.pop(j).items():
+            del near[k][j]
+            if k != i:
+                near[i][k] = near[k][i] = near[i].get(k, 0) + n
+    return {n: min(c) for c in member.values() for n in c}
+
+
+def blown_up(rng, sizes, density):
+    """Edges between groups of nodes, all or none of two groups, and a few edges fewer."""
+    names = [f"n{k:02d}" for k in range(sum(sizes))]
+    rng.shuffle(names)
+    groups = [[names.pop() for _ in range(n)] for n in sizes]
+    edges = [tuple(sorted((u, v))) for a, b in itertools.combinations(groups, 2) if rng.random() < density for u in a for v in b]
+    return edges[: len(edges) - rng.randrange(3)]
+
+
+def test_communities_of_twins():
+    rng = random.Random(7)
+    for _ in range(200):
+        edges = blown_up(rng, [rng.choice([1, 1, 2, 5]) for _ in range(rng.randint(3, 7))], rng.choice([0.3, 0.6, 0.9]))
+        near = {n: frozenset(y for e in edges if n in e for y in e if y != n) for e in edges for n in e}
+        first = {n: min(k for k in near if near[k] == near[n]) for n in near}
+        members = {c: [n for n in near if first[n] == c] for c in set(first.values())}
+        few = [(x, y, 1) for x, y in edges if x in members and y in members]
+        assert not edges or graph.greedy_communities(few, len(edges), members) == naive_communities(edges)
+
+
+def test_few_edges_stand_for_those_of_all_twins(spark):
+    edges = [(f"hub{h}", f"s{k:04d}") for h in range(4) for k in range(500) if (h, k) != (3, 7)] + [("far", "near")]
+    df = spark.createDataFrame(edges, "x string, y string").withColumn("w", F.lit(1.0))
+    twin = graph.twins(df, "w")
+    got = {r.node: r.twin for r in twin.collect()}
+    assert got == {**{f"s{k:04d}": "s0000" for k in range(500)}, "s0007": "s0007", **{f"hub{h}": "hub0" for h in range(3)}, "hub3": "hub3", "far": "far", "near": "near"}
+    assert {(r.x, r.y) for r in graph.among_first(df, twin).collect()} == {("hub0", "s0000"), ("hub0", "s0007"), ("hub3", "s0000"), ("far", "near")}
+    assert {r.node: r.community for r in graph.communities(df.select("x", "y")).collect()} == naive_communities(edges)
+
+
 def test_closure_with_a_loop(spark):
     df = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("d", "b")], "child string, parent string")
     got = {(r.child, r.parent) for r in graph.closure(df).collect()}
