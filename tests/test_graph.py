@@ -42,6 +42,26 @@ def test_betweenness(spark):
     assert all(abs(got.get(n, 0) - want[n] / 30) < 1e-9 for n in nodes)
 
 
+def test_betweenness_of_twins(spark):
+    """Twins are sources, ends and ways of each other's paths; equal lengths share."""
+    rng = random.Random(11)
+    for sizes in ([3, 2, 1], [1, 3, 2, 1], [2, 2, 2]):
+        edges = [(x, y, 1.0) for x, y in blown_up(rng, sizes, 1.0)] + [("n00", "z", 0.5)]
+        nodes = sorted({n for x, y, _ in edges for n in (x, y)})
+        got = {r.node: r.centrality for r in graph.betweenness(spark.createDataFrame(edges, "x string, y string, w double"), len(nodes), chunk=2).collect()}
+        want = paths_betweenness(nodes, edges)
+        assert all(abs(got.get(n, 0) - want[n] / ((len(nodes) - 1) * (len(nodes) - 2))) < 1e-9 for n in nodes)
+
+
+def test_betweenness_of_many_twins():
+    """Few sources stand for all, with the scores of each."""
+    hubs, leaves = [f"h{k}" for k in range(3)], [f"s{k:03d}" for k in range(40)]
+    every = [(h, s, 0.7) for h in hubs for s in leaves]
+    all_ = graph.brandes(every, [*hubs, *leaves], dict.fromkeys([*hubs, *leaves], 1))
+    few = graph.brandes([("h0", "s000", 0.7)], ["h0", "s000"], {"h0": 3, "s000": 40})
+    assert all(abs(all_[n] - few[n[0] + ("0" if n[0] == "h" else "000")]) < 1e-9 for n in [*hubs, *leaves])
+
+
 def test_components_and_communities(spark):
     clique = lambda names: list(itertools.combinations(names, 2))
     edges = clique("abcd") + clique("efgh") + [("d", "e")] + clique("xyz")
