@@ -24,6 +24,14 @@ def test_label_keys_fold_as_the_decomposition_does(spark):
     assert {r.n: r.k for r in got} == {n: brute(n) for n in names}
 
 
+def test_foldings_of_every_character_without_a_class_of_them_all(spark):
+    """A class of hundreds of characters costs a comparison each, for each character of a text."""
+    rows = [(f"a{ch}z", "a" + "".join(x for x in unicodedata.normalize("NFKD", ch) if x.isascii()) + "z") for ch in text._FOLD_FROM + "".join(text._FOLD_SEVERAL)]
+    df = spark.createDataFrame([*rows, ("plain", "plain"), (None, None)], "n string, want string").select("n", "want", text.ascii_fold(F.col("n")).alias("got"))
+    assert df.filter("NOT got <=> want").collect() == []
+    assert df._jdf.queryExecution().analyzed().toString().count("RLIKE(") == 1  # for texts that are ASCII
+
+
 def reasons(spark, names, column):
     return {r.n: r.r for r in spark.createDataFrame([(n,) for n in names], "n string").select("n", column(F.col("n")).alias("r")).collect()}
 
