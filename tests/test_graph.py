@@ -5,7 +5,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from metaloom.operators import fuzzy, graph
+from metaloom.operators import fuzzy, graph, ontology
+from metaloom.sources import bindings
 
 
 def paths_betweenness(nodes, edges):
@@ -126,3 +127,24 @@ def test_closure_with_a_loop(spark):
 
 def test_duplicate_names_of_an_empty_table(spark):
     assert fuzzy.duplicate_names(spark.createDataFrame([], "name string")).collect() == []
+
+
+def test_diff_is_one_aggregation(spark):
+    """Repeats count once, nulls are alike, and each side is read once."""
+    old = spark.createDataFrame([("a", "p", "x"), ("a", "p", "x"), ("b", "p", None), ("c", "p", "z"), ("c", "p", None)], "s string, p string, o string")
+    new = spark.createDataFrame([("b", "p", None), ("c", "p", "y"), ("c", "p", "y"), ("c", "p", "z")], "s string, p string, o string")
+    found = ontology.diff(old, new)
+    assert sorted((r.s, r.o or "-", r.change) for r in found.collect()) == [("a", "x", "removed"), ("c", "-", "removed"), ("c", "y", "added")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and "Generate" not in plan
+
+
+def test_rows_of_a_supplier_meet_before_names_are_distinct(spark, tmp_path):
+    """Two suppliers of one name and two parts of one name are one triple; keys are not made distinct."""
+    tables = {"region": "SELECT 0 AS r_regionkey, 'R' AS r_name", "nation": "SELECT 0 AS n_nationkey, 'N' AS n_name, 0 AS n_regionkey", "supplier": "SELECT id AS s_suppkey, concat('S', id % 2) AS s_name, 0 AS s_nationkey FROM range(4)", "part": "SELECT id AS p_partkey, concat('P', id % 3) AS p_name FROM range(6)", "lineitem": "SELECT id % 5 AS l_suppkey, id % 7 AS l_partkey FROM range(70)"}
+    for name, sql in tables.items():
+        spark.sql(sql).write.parquet(str(tmp_path / f"{name}.parquet"))
+    found = bindings.triples(spark, str(tmp_path))
+    assert sorted((r.s, r.o) for r in found.filter("p = 'supplies'").collect()) == [(f"S{s}", f"P{p}") for s in range(2) for p in range(3)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and "RepartitionByExpression [l_suppkey" in plan
